@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +30,7 @@ from tokenizers import Tokenizer
 from .common import batch_of, slices, source
 
 #: Fragments that a Python worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -47,31 +48,51 @@ def _byte_letters() -> list[str]:
 
 _LETTERS = _byte_letters()
 _BYTES = {c: b for b, c in enumerate(_LETTERS)}
+#: Marks the end of a word; UTF-8 has no such byte.
+_END = b"\xff"
+
+
+class _Known(dict):
+    """Words and what they encode and decode to; learns on a miss and starts afresh when full."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = self.learn(word)
+        return out
 
 
 class WordCodec:
     """Encode and decode with a word-end BPE vocabulary file, giving the tokenizers library's ids and text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, long: int = 48):
         spec = json.load(open(path, encoding="utf-8"))
-        self.whole = Tokenizer.from_file(path)
+        vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.whole, self.long = Tokenizer.from_file(path), long
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.end = spec["model"]["end_of_word_suffix"]
+        self.whole.encode_special_tokens = True  # `encode` cuts special tokens out first
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
-        spec["model"]["end_of_word_suffix"] = None
-        self._last, self._inner = self.whole.model, Tokenizer.from_str(json.dumps(spec)).model
+        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self._specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        raw = {t: bytes(_BYTES[c] for c in t.removesuffix(end)) + _END * t.endswith(end) for t in vocab if t not in self.special}
+        ranks = {raw[t]: i for t, i in vocab.items() if t in raw}
+        ranks[_END] = max(ranks.values()) + len(self.special) + 1  # every byte with the mark is a token: never left alone
+        self._bpe = tiktoken.Encoding("word-end", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._piece = self._bpe._encode_single_piece
         #: never[a, b]: no token has the byte a followed by b.
         self.never = np.ones((256, 256), bool)
-        for token in spec["model"]["vocab"]:
-            raw = [_BYTES[c] for c in token.removesuffix(self.end) if c in _BYTES]
-            self.never[raw[:-1], raw[1:]] = False
-        self._known: dict[str, tuple[bytes, str]] = {}
+        for token in ranks:
+            pair = list(token)
+            self.never[pair[:-1], pair[1:]] = False
+        self._known = _Known(self._learn)
 
     def fragments(self, pre_token: bytes) -> list[bytes]:
-        """Cut a pre-token at its forced boundaries."""
+        """Cut a marked pre-token at its forced boundaries."""
         raw = np.frombuffer(pre_token, np.uint8)
         cuts = (np.flatnonzero(self.never[raw[:-1], raw[1:]]) + 1).tolist()
         return [pre_token[a:b] for a, b in zip([0, *cuts], [*cuts, len(pre_token)])]
@@ -82,14 +103,10 @@ class WordCodec:
         else:
             ids = []
             for pre in _PRE.findall(word):
-                *head, last = self.fragments(pre.encode())
-                for piece in head:
-                    ids += [t.id for t in self._inner.tokenize("".join(_LETTERS[b] for b in piece))]
-                ids += [t.id for t in self._last.tokenize("".join(_LETTERS[b] for b in last))]
-        if len(self._known) >= REMEMBERED:
-            self._known.clear()
-        self._known[word] = out = (np.array(ids, "<u4").tobytes(), self.decode(ids))
-        return out
+                marked = pre.encode() + _END
+                for piece in (marked,) if len(marked) <= self.long else self.fragments(marked):
+                    ids += self._piece(piece)
+        return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -101,13 +118,13 @@ class WordCodec:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their decoding."""
-        known, out = self._known, []
+        found: list[tuple[bytes, str]] = []
         for part in self._specials.split(text) if self._specials and "<" in text else (text,):
             if part in self.special:
-                out.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                found.append((array("I", [self.special[part]]).tobytes(), part))
             elif part:
-                out += [known.get(w) or self._learn(w) for w in self._words(part)]
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+                found += map(self._known.__getitem__, self._words(part))
+        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
 
 
 @lru_cache(maxsize=2)
