@@ -70,8 +70,13 @@ def _named(batches, width: int):
 
 
 def _suffixes(batches, width: int, group: int):
-    """A row for each run of windows that name one shared prefix: its words as text for a small group, window digests for a large one."""
-    schema = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("passage", pa.binary()), ("windows", pa.list_(pa.binary()))])
+    """A row for each run of windows that name one shared prefix of a small group, with its words as text.
+
+    For large groups a document has one row: the digests of its windows, each once however
+    often it recurs there, with its places.
+    """
+    window = pa.struct([("window", pa.binary()), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("prefix", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("passage", pa.binary()), ("windows", pa.list_(window))])
     for part in slices(batches, "text"):
         words = Words(part["text"])
         out: dict[str, list] = {f.name: [] for f in schema}
@@ -84,17 +89,21 @@ def _suffixes(batches, width: int, group: int):
                 continue
             begins = np.concatenate(([0], np.flatnonzero(named[1:] != named[:-1]) + 1))
             ends, doc, base = np.concatenate((begins[1:], [len(named)])), part["doc_id"][i].as_py(), words.offsets[i]
-            hot = set(large.tolist())
+            hot, deep = set(large.tolist()), {}
+            rows = []
             for a, b in zip(begins[shared[begins]].tolist(), ends[shared[begins]].tolist()):
                 s, e = words.starts[base + a : base + b + width - 1].tolist(), words.ends[base + a : base + b + width - 1].tolist()
                 pieces = [words.data[x:y].tobytes() for x, y in zip(s, e)]
-                is_hot = int(named[a]) in hot
-                out["prefix"].append(int(named[a].astype(np.int64)))
-                out["doc_id"].append(doc)
-                out["first"].append(a)
-                out["n"].append(b - a)
-                out["passage"].append(None if is_hot else b" ".join(pieces))
-                out["windows"].append([xxhash.xxh3_128_digest(b" ".join(pieces[j : j + width])) for j in range(b - a)] if is_hot else None)
+                if int(named[a]) not in hot:
+                    rows.append((int(named[a].astype(np.int64)), doc, a, b - a, b" ".join(pieces), None))
+                    continue
+                for j in range(b - a):
+                    deep.setdefault(xxhash.xxh3_128_digest(b" ".join(pieces[j : j + width])), []).append(a + j)
+            if deep:
+                rows.append((0, doc, 0, 0, None, [{"window": w, "places": at} for w, at in deep.items()]))
+            for row in rows:
+                for c, v in zip(schema.names, row):
+                    out[c].append(v)
         if out["doc_id"]:
             yield batch_of(schema, out)
 
@@ -188,14 +197,14 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     entries = owned.where("doc_id = first").select("doc_id", F.explode("prefixes").alias("prefix"))
     shared = entries.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("docs")).where("lo < hi").select("prefix", (F.col("docs") > group).alias("hot"))
     wanted = entries.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("prefix"))).alias("small"), F.collect_set(F.when(F.col("hot"), F.col("prefix"))).alias("large"))
-    rows = docs.join(wanted, "doc_id").mapInArrow(lambda it: _suffixes(it, width, group), "prefix long, doc_id long, first int, n int, passage binary, windows array<binary>")
+    rows = docs.join(wanted, "doc_id").mapInArrow(lambda it: _suffixes(it, width, group), "prefix long, doc_id long, first int, n int, passage binary, windows array<struct<window:binary,places:array<int>>>")
     folder = new_folder(spark, "suffixes")
     rows.write.option("compression", "zstd").parquet(folder)
     rows = spark.read.parquet(folder)
     trees = rows.where("passage IS NOT NULL").select("prefix", "doc_id", "first", "n", "passage").repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lambda it: _from_trees(it, width), "doc_id long, first int, last int")
-    leaves = rows.where("windows IS NOT NULL").select("doc_id", "first", F.posexplode("windows").alias("at", "window"))
+    leaves = rows.where("windows IS NOT NULL").select("doc_id", F.inline("windows"))
     nodes = leaves.groupBy("window").agg(F.min("doc_id").alias("lo"))
-    deep = leaves.join(nodes, "window").where("doc_id > lo").select("doc_id", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at") + 1).alias("last"))
+    deep = leaves.join(nodes, "window").where("doc_id > lo").select("doc_id", F.explode("places").alias("first")).withColumn("last", F.col("first") + 1)
     return trees.unionByName(deep), whole
 
 
