@@ -46,7 +46,8 @@ def as_int(value: Column, default: int = 0) -> Column:
 def probability(value: Column) -> Column:
     """Clamp to 0..100 with two decimals; "" stays "", what is no number is null (an error for the caller)."""
     text = strip(F.coalesce(value, F.lit("")))
-    return F.when(text == "", F.lit("")).otherwise(two_decimals(F.greatest(F.lit(0.0), F.least(F.lit(100.0), number(text)))))
+    x = number(text)  # least and greatest skip nulls, so a null has to be kept out
+    return F.when(text == "", F.lit("")).when(x.isNotNull(), two_decimals(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))))
 
 
 def nature(value: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, cut, slices, source
 from .words import Words, mix
 
-CELLS, BANDS, ROWS, BLOCK = 1 << 20, 32, 6, 1024
+CELLS, BANDS, ROWS, BLOCK = 1 << 20, 32, 6, 256
 
 
 @lru_cache(maxsize=2)

@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +86,14 @@ def stale(index_files: DataFrame, files: DataFrame) -> DataFrame:
     return index_files.select("_file").join(files.select("_file"), "_file", "left_anti").distinct()
 
 
-def _delete(spark, path: str) -> None:
+def _prune(spark, path: str, files: set[str]) -> None:
+    """Delete the partition folders of these files; folder names are escaped as in URLs."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where):
+        if unquote(status.getPath().getName().removeprefix("_file=")) in files:
+            fs.delete(status.getPath(), True)
 
 
 def write_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words) -> None:
@@ -114,9 +120,9 @@ def refresh_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words)
         old = spark.createDataFrame([], "_file string, fingerprint string, version int")
     found = {r["_file"]: r["status"] for r in manifest_diff(old, manifest(messages)).where("status <> 'unchanged'").collect()}  # a row for each changed file
     fresh = sorted(f for f, s in found.items() if s != "removed")
-    for file in (f for f, s in found.items() if s == "removed"):
+    if gone := {f for f, s in found.items() if s == "removed"}:
         for name in ("postings", "doc_lengths", "terms", "manifest"):
-            _delete(spark, f"{path}/{name}/_file={file}")
+            _prune(spark, f"{path}/{name}", gone)
     if fresh:
         write_index(messages.join(F.broadcast(spark.createDataFrame([(f,) for f in fresh], "_file string")), "_file", "left_semi"), path, tokenizer)
     return fresh

@@ -160,7 +160,7 @@ def _docs(spark, d, *columns):
 _ODD = "CASE doc_id % 8 WHEN 0 THEN ' 12.345 ' WHEN 1 THEN '1_000' WHEN 2 THEN '-3' WHEN 3 THEN 'abc' WHEN 4 THEN '' WHEN 5 THEN '1e1' WHEN 6 THEN '2.675' ELSE concat(doc_id % 101, '.5') END"
 
 
-@query(f"SELECT doc_id, v, CASE WHEN v = '' THEN '' ELSE printf('%.2f', greatest(0, least(100, try_cast(replace(trim(v), '_', '') AS DOUBLE)))) END AS probability FROM (SELECT doc_id, {_ODD} AS v FROM documents)")
+@query(f"SELECT doc_id, v, CASE WHEN v = '' THEN '' WHEN try_cast(replace(trim(v), '_', '') AS DOUBLE) IS NOT NULL THEN printf('%.2f', greatest(0, least(100, try_cast(replace(trim(v), '_', '') AS DOUBLE)))) END AS probability FROM (SELECT doc_id, {_ODD} AS v FROM documents)")
 def normalize_probability(spark, d):
     return _docs(spark, d, F.expr(_ODD).alias("v")).withColumn("probability", values.probability(F.col("v")))
 

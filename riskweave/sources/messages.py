@@ -84,7 +84,7 @@ def write_table(table: DataFrame, folder: str, name: str) -> None:
     if "_row" in table.columns:
         table = table.orderBy("_row")
     stage = Path(folder, f".stage-{uuid.uuid4().hex}")
-    table.select(*COLUMNS).coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(stage.toString())
+    table.select(*COLUMNS).coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(stage.toString())
     part = next(s.getPath() for s in fs.listStatus(stage) if s.getPath().getName().startswith("part-"))
     target = Path(folder, name)
     if fs.exists(target):
