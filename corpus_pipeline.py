@@ -12,6 +12,8 @@ from riskweave.llm.queries import CAPACITY, END_ID
 
 #: Margin under which a language is uncertain: the best dictionary saves less than this share of the second best's bytes.
 LEAST_MARGIN = 0.002
+#: Similarity, in percent of five-word shingles, from which documents are near duplicates.
+SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each near-duplicate group."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id")
+    kept = near_dup.near_duplicates(docs, percent=SIMILAR).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi")
 
 
