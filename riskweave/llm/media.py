@@ -4,7 +4,8 @@ A payload is cut where a rolling gear hash of its last 32 bytes has enough zero
 equal stretches get equal chunks wherever they lie. Tasks compress each chunk and append it
 to a chunk file in the shared folder; a file never holds a chunk twice. The digests of all
 files are deduplicated by joins: one stored place of a digest becomes the place of every
-reference to it, and copies in other files are no longer referenced. A medium is the
+reference to it, and copies in other files are no longer referenced. The digests are joined
+once for each file, so a chunk that a third of all media has is no hot key. A medium is the
 ordered list of its chunks. Reading takes the chunks from their places, checks every digest
 and puts the payload together. Bytes never go through a shuffle.
 
@@ -94,8 +95,11 @@ def store(media: DataFrame, folder: str, payload: str, id: str, unit: int = 64)
     media = source(media, id=id, payload=payload).select(F.col("id").cast("long"), F.col("payload").cast("binary"))
     kept = cut(media.mapInArrow(lambda it: _stored(it, folder, unit), "id long, n_bytes long, path string, row long, chunks array<struct<digest:binary,size:int,at:bigint,stored:int>>"))
     parts = kept.select("path", "row", F.posexplode("chunks").alias("k", "c")).select("path", "row", "k", "c.*")
-    places = parts.groupBy("digest").agg(F.min(F.struct("path", "at", "stored")).alias("place"))
-    lists = parts.select("path", "row", "k", "digest", "size").join(places, "digest").groupBy("path", "row").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "size", "place"))).alias("chunks"))
+    copies = parts.select("digest", "path", "at", "stored").distinct()  # a chunk once for each file, however many rows refer to it
+    places = copies.groupBy("digest").agg(F.min(F.struct("path", "at", "stored")).alias("place"))
+    moved = copies.join(places, "digest").select("path", "at", "place")
+    listed = parts.select("path", "row", "k", "digest", "size", "at").join(moved, ["path", "at"])
+    lists = listed.groupBy("path", "row").agg(F.sort_array(F.collect_list(F.struct("k", "digest", "size", "place"))).alias("chunks"))
     chunks = F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["size"].alias("size"), c["place"]["path"].alias("path"), c["place"]["at"].alias("at"), c["place"]["stored"].alias("stored")))
     return kept.drop("chunks").join(lists.withColumn("chunks", chunks), ["path", "row"])
 
