@@ -19,6 +19,7 @@ import unicodedata
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,20 +79,20 @@ def _edited(doc, text: str, after: str) -> tuple:
 
 def _in_order(batches):
     """Results for all documents of a sorted partition but the last; the first and the last come with their texts."""
-    schema = pa.schema([*_RESULT, ("kind", pa.int32()), ("text", pa.string())])
-    empty, held, begun = (None,) * (len(_RESULT) - 1), None, False
+    schema = pa.schema([*_RESULT, ("kind", pa.int32()), ("part", pa.int32()), ("text", pa.string())])
+    empty, held, begun, part_no = (None,) * (len(_RESULT) - 1), None, False, TaskContext.get().partitionId()
     for part in slices(batches, "text"):
         out = []
         for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
             text = text or ""
             if begun:
-                out.append((*_edited(*held, text), 0, None))
+                out.append((*_edited(*held, text), 0, part_no, None))
             else:
-                out.append((doc, *empty, 1, text))
+                out.append((doc, *empty, 1, part_no, text))
             held, begun = (doc, text), True
         yield batch_of(schema, dict(zip(schema.names, zip(*out))))
     if begun:
-        yield batch_of(schema, dict(zip(schema.names, zip((held[0], *empty, 2, held[1])))))
+        yield batch_of(schema, dict(zip(schema.names, zip((held[0], *empty, 2, part_no, held[1])))))
 
 
 def _tails(batches):
@@ -105,14 +106,14 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """Per row: its fingerprint, that of its text edited with the next document's beginning, and their likenesses.
 
     Texts are shuffled once, into ranges of doc_id. Only the first and the last text of
-    each range, two rows a partition, are matched across ranges.
+    each range are matched across ranges, by joins on the ranges' numbers.
     """
     docs = source(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = docs.repartitionByRange(width(docs), "doc_id").sortWithinPartitions("doc_id")
-    rows = cut(ordered.mapInArrow(_in_order, f"{_DDL}, kind int, text string"))
-    ends = rows.where("kind > 0").select("doc_id", "kind", "text")
-    order = [F.col("doc_id").asc_nulls_first(), "kind"]
-    everything = Window.orderBy(*order)
-    after = F.coalesce(F.lead("text").over(everything), F.first("text").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tails = ends.withColumn("after", after).where("kind = 2").select("doc_id", "text", "after").mapInArrow(_tails, _DDL)
-    return rows.where("kind = 0").drop("kind", "text").unionByName(tails)
+    rows = cut(ordered.mapInArrow(_in_order, f"{_DDL}, kind int, part int, text string"))
+    heads = rows.where("kind = 1").select("part", "text")
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(1))))
+    order = heads.select("part").withColumn("next", following)  # a number for each range
+    after = heads.select(F.col("part").alias("next"), F.col("text").alias("after"))
+    tails = rows.where("kind = 2").select("part", "doc_id", "text").join(order, "part").join(after, "next").select("doc_id", "text", "after").mapInArrow(_tails, _DDL)
+    return rows.where("kind = 0").drop("kind", "part", "text").unionByName(tails)
