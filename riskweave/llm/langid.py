@@ -22,21 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, slices, source
 
-#: The sample: most documents and most bytes a language, most languages (by number of labelled rows).
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES = 200, 1 << 16, 64
+#: The sample: most documents and most bytes a language, most languages (by number of labelled rows), most characters of one document, so that no long one fills a dictionary.
+SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES, SAMPLE_CHARS = 200, 1 << 16, 64, 1024
 #: Bytes of a block, compression levels of all texts and of those with a margin below NARROW.
 BLOCK, LEVELS, NARROW = 2048, (9, 12), 0.02
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
-    """The dictionaries: (language, content) in order. Comes from at most languages x sample_docs labelled rows, chosen by hash."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
+    """The dictionaries: (language, content) in order. Comes from at most sample_chars characters each of languages x sample_docs labelled rows, chosen by hash."""
     labelled = source(labelled, doc_id=doc_id, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
     keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     few = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     first = keys.where(F.col("lang").isin(few)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= sample_docs)
     ids = [r["doc_id"] for r in first.select("doc_id").collect()]  # at most languages x sample_docs
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, sample_bytes).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(2 * languages * sample_docs).collect()
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(2 * languages * sample_docs).collect()
     content: dict[str, bytes] = {}
     for r in rows:
         have = content.get(r["lang"], b"")
