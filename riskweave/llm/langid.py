@@ -4,11 +4,13 @@ Each language has a zstandard raw-content dictionary: a bounded sample of its la
 texts. A text is compressed with every dictionary, in blocks, so that all of a long text
 counts and not only its beginning; the language whose dictionary gives the fewest bytes
 wins. Dictionaries and texts are in lower case. The margin is the saving over the second
-best; a narrow one is taken again at a higher compression level, and what is then still
-narrow can be rejected.
+best; a narrow one is taken again at a higher compression level. Sizes that still tie, or
+nearly, are taken a third time with each dictionary in several parts and in smaller blocks:
+the bytes over all parts are a finer measure, which long texts that compress mostly by
+themselves and short ones of few bytes need. What is then still narrow can be rejected.
 
 Null texts and texts without a letter are `und` with score 0. Equal sizes go to the language
-first in order. Without any labelled text everything is `und`. A null doc_id is kept.
+first in order, that is, with the most labelled rows. Without any labelled text everything is `und`. A null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from .common import batch_of, slices, source
 SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES, SAMPLE_CHARS = 200, 1 << 16, 64, 1024
 #: Bytes of a block, compression levels of all texts and of those with a margin below NARROW.
 BLOCK, LEVELS, NARROW = 2048, (9, 12), 0.02
+#: The third measure: for margins below TIE, with PARTS of each dictionary, in blocks of FINE bytes, at the last level.
+TIE, PARTS, FINE = 0.002, 4, 512
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
-    """The dictionaries: (language, content) in order. Comes from at most sample_chars characters each of languages x sample_docs labelled rows, chosen by hash."""
+    """The dictionaries: (language, content), those with the most labelled rows first. Comes from at most sample_chars characters each of languages x sample_docs labelled rows, chosen by hash."""
     labelled = source(labelled, doc_id=doc_id, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
     keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     few = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
@@ -42,7 +46,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         have = content.get(r["lang"], b"")
         if len(have) < sample_bytes:
             content[r["lang"]] = have + (r["text"].lower() + "\n").encode()[: sample_bytes - len(have)]
-    return sorted(content.items())
+    return [(name, content[name]) for name in few if name in content]
 
 
 def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -52,9 +56,12 @@ def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 class Classifier:
-    def __init__(self, dictionaries: list[tuple[str, bytes]], block: int = BLOCK, levels: tuple[int, ...] = LEVELS, narrow: float = NARROW):
-        self.languages, self.block, self.narrow = [name for name, _ in dictionaries], block, narrow
-        self.coders = [[_coder(content, level) for _, content in dictionaries] for level in levels]
+    def __init__(self, dictionaries: list[tuple[str, bytes]], block: int = BLOCK, levels: tuple[int, ...] = LEVELS, narrow: float = NARROW, tie: float = TIE, parts: int = PARTS, fine: int = FINE):
+        self.languages, contents = [name for name, _ in dictionaries], [content for _, content in dictionaries]
+        whole = [([[_coder(c, level)] for c in contents], block, narrow) for level in levels]
+        cuts = [[c[len(c) * k // parts : len(c) * (k + 1) // parts] for k in range(parts)] for c in contents]
+        #: Measures in order: the coders of each language, bytes of a block, the margin below which the next one is asked.
+        self.measures = [*whole[:-1], (whole[-1][0], block, tie), ([[_coder(x or c, levels[-1]) for x in few] for c, few in zip(contents, cuts)], fine, 0.0)]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not _LETTER.search(text):
@@ -62,13 +69,13 @@ class Classifier:
         if len(self.languages) == 1:
             return self.languages[0], 1.0
         data = text.lower().encode()
-        blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        for coders in self.coders:
-            sizes = [sum(len(c.compress(b)) for b in blocks) for c in coders]
+        for coders, block, enough in self.measures:
+            blocks = [data[i : i + block] for i in range(0, len(data), block)]
+            sizes = [sum(len(c.compress(b)) for c in few for b in blocks) for few in coders]
             best = min(range(len(sizes)), key=sizes.__getitem__)
             second = min(s for i, s in enumerate(sizes) if i != best)
             margin = (second - sizes[best]) / second
-            if margin >= self.narrow:
+            if margin >= enough:
                 break
         return self.languages[best], margin
 

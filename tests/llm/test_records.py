@@ -130,6 +130,19 @@ def test_language_held_out_accuracy(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
 
 
+def test_language_keeps_prose(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = langid.accepted(docs, langid.fit(docs), langid.TIE).select("doc_id")
+    gone = [r["text"] for r in docs.join(kept, "doc_id", "left_anti").collect()]
+    assert not [t for t in gone if len((t or "").split()) > 10 and any(c.isalpha() for c in t)]
+
+
+def test_language_ties_go_to_the_commonest():
+    model = [("xx", b"the same words in both\n"), ("aa", b"the same words in both\n")]
+    assert langid.Classifier(model)("The same words in both, and more.") == ("xx", 0.0)
+    assert langid.Classifier([("xx", b"\n"), ("aa", b"the same words in both\n")])("the same words in both")[0] == "aa"
+
+
 def test_language_odd_cases(spark):
     labelled = spark.createDataFrame([(1, "the cat and the dog were in the house", "en"), (2, "der Hund und die Katze waren in dem Haus", "de"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string")
     model = langid.fit(labelled)
