@@ -2,11 +2,15 @@
 
 Markup is stripped into lines, one for each block element. A line in an element that by
 its name, class, id or role is a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section has no weight, nor has a line that is mostly links; if the
-page marks its article or main part, lines outside have none either. Sums of the weights
-over a sliding window of lines show where text surges and where it dives: the text starts
-at the first weighty line of the largest surge and goes on until the sums dive to nothing.
-Lines without weight in between are left out, every other line is kept however short.
+script, style or comment section has no weight, nor has a line outside articles that is
+mostly links. Sums of the weights over a sliding window of lines show where text surges
+and where it dives: a stretch starts at the first weighty line of a surge and goes on until
+the sums dive to nothing. The heaviest stretch is the core of the text; an article or main
+element is one whole and counts twice. The text is the core and every stretch that belongs
+to it: one that surges to a quarter of the core's height, stands in the same element, or
+lies between stretches of the text. Other article elements stay too, but for cards beside a
+text that stands outside: those with a line of links and under a quarter of its length.
+Lines without weight are left out, every other line of the text is kept however short.
 
 Null and empty pages, and pages without any text, give an empty text. Text after an
 unfinished tag at the end is dropped with it; unknown character references stay.
@@ -16,6 +20,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import batch_of, slices, source
 
 WINDOW = 3
+#: How often an article or main element counts; the part of the core's height or length from which a stretch or an article is more than something beside it.
+ARTICLE, SHARE = 2, 4
+#: Elements whose stretches belong together.
+CONTAINERS = frozenset("article body div main td".split())
 #: Elements that start a line.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements without content.
@@ -41,19 +51,30 @@ _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, inside an article or main part) of each line in page order; white space is folded."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, beside, article
+class Line(NamedTuple):
+    text: str
+    weight: int
+    #: The numbers of the outermost article or main element and of the innermost container; 0 for none.
+    article: int
+    container: int
+    mostly_linked: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """Each line in page order; white space is folded."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, int]] = []  # name, beside, number of an article, container or 0
     words: list[str] = []
-    linked = at = 0
-    beside = article = link = False
+    linked = at = number = 0
+    beside = link = False
+    article = container = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((text, 0 if beside or 2 * linked > len(text) and not article else len(text), article))
+            mostly = 2 * linked > len(text)
+            out.append(Line(text, 0 if beside or mostly and not article else len(text), article, container, mostly))
         words.clear()
         linked = 0
 
@@ -97,32 +118,81 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 is_beside = False
             if is_article and marks & WORDS <= _HEADERS or name in ("html", "body"):
                 is_beside = is_beside and bool(_HIDDEN.search(rest))
-            stack.append((name, is_beside, is_article))
-        beside, article, link = any(s[1] for s in stack), any(s[2] for s in stack), any(s[0] == "a" for s in stack)
+            number += 1
+            stack.append((name, is_beside, number if name in CONTAINERS else 0))
+        beside, link = any(s[1] for s in stack), any(s[0] == "a" for s in stack)
+        article = next((s[2] for s in stack if s[0] in ("article", "main")), 0)
+        container = next((s[2] for s in reversed(stack) if s[2]), 0)
     end_line()
     return out
 
 
-def between(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
-    """First line and line after the last of the heaviest stretch between a surge and a dive."""
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """First line and line after the last of each stretch between a surge and a dive."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    best, start = (0, 0, 0), None
+    out, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
             start = i
         elif not s and start is not None:
-            best = max(best, (sum(weights[start:i]), -start, i))
+            out.append((start, i))
             start = None
-    return -best[1], best[2]
+    return out
+
+
+def between(weights: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """The heaviest stretch."""
+    return max(stretches(weights, window), key=lambda x: (sum(weights[slice(*x)]), -x[0]), default=(0, 0))
+
+
+def height(weights: list[int], window: int = WINDOW) -> int:
+    """The largest sum of a window."""
+    return max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
     lines = lines_of(page or "")
-    if any(article and weight for _, weight, article in lines):
-        kept = [line for line in lines if line[1] and line[2]]
-        return " ".join(line[0] for line in kept)
-    start, end = between([weight for _, weight, _ in lines], window)
-    return " ".join(text for text, weight, _ in lines[start:end] if weight)
+    weights = [line.weight for line in lines]
+    parts: list[list[int]] = []  # the weighty lines of each stretch outside, and of each article or main element as a whole
+    inside: dict[int, list[int]] = {}
+    for first, end in stretches(weights, window):
+        last = None
+        for i in range(first, end):
+            a = lines[i].article
+            if not weights[i]:
+                continue
+            if a:
+                if a not in inside:
+                    parts.append(inside.setdefault(a, []))
+                inside[a].append(i)
+            elif last == 0:
+                parts[-1].append(i)
+            else:
+                parts.append([i])
+            last = a
+    if not parts:
+        return ""
+    shared = Counter()  # a text outside counts whole, also when adverts split it
+    for line in lines:
+        if not line.article:
+            shared[line.container] += line.weight
+    mass = [sum(weights[i] for i in part) for part in parts]
+    mass = [m if lines[part[0]].article else max(m, *(shared[lines[i].container] for i in part)) for m, part in zip(mass, parts)]
+    core = max(range(len(parts)), key=lambda k: (mass[k] * (ARTICLE if lines[parts[k][0]].article else 1), -k))
+    high = [height(weights[part[0] : part[-1] + 1] if not lines[part[0]].article else [weights[i] for i in part], window) for part in parts]
+    outside = not lines[parts[core][0]].article
+    home = {lines[i].container for i in parts[core]}
+    card, kept = [False] * len(parts), [False] * len(parts)
+    for k, part in enumerate(parts):
+        if lines[part[0]].article:
+            card[k] = outside and SHARE * mass[k] < mass[core] and any(lines[i].mostly_linked for i in part)
+            kept[k] = not card[k]
+        else:
+            kept[k] = k == core or SHARE * high[k] >= high[core] or outside and any(lines[i].container in home for i in part)
+    of_text = [i for k, part in enumerate(parts) if kept[k] for i in part]
+    first, last = min(of_text), max(of_text)
+    chosen = {i for k, part in enumerate(parts) if not card[k] for i in part if kept[k] or first < i < last}
+    return " ".join(lines[i].text for i in sorted(chosen))
 
 
 def _extracted(batches):
