@@ -13,7 +13,10 @@ text that stands outside: those with a line of links and under a quarter of its
 Lines without weight are left out, every other line of the text is kept however short.
 
 Null and empty pages, and pages without any text, give an empty text. Text after an
-unfinished tag at the end is dropped with it; unknown character references stay.
+unfinished tag at the end is dropped with it; unknown character references stay. Optional
+end tags are implied, head among them. An element without page text that is never closed
+loses only its start tag, a title what follows up to the next tag; an open script or style
+takes the rest of the page, as in browsers.
 """
 
 from __future__ import annotations
@@ -39,18 +42,69 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not page text.
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head textarea title select".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title select".split())
+#: Of these, those that can stand in one another, those that "/>" closes, and those that take the rest of the page if not closed.
+NESTED, EMPTY, ENDLESS = frozenset("svg math object template".split()), frozenset("svg math".split()), frozenset("script style".split())
 #: Elements beside the article.
 BESIDE = frozenset("nav footer aside form menu dialog button fieldset header".split())
 #: Words of class, id or role that mark what is beside the article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 _HEADERS = frozenset(("header", "masthead"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open paragraph; elements that end others by their start, and the elements this does not reach beyond.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul dd dt li".split())
+_SCOPE = frozenset("button caption table td th".split())
+_LISTS, _TABLE = frozenset("ul ol menu dir table td th".split()), frozenset(("table",))
+_IMPLIED = {
+    "li": (frozenset(("li",)), _LISTS), "dd": (frozenset(("dd", "dt")), _LISTS | {"dl"}), "dt": (frozenset(("dd", "dt")), _LISTS | {"dl"}),
+    "td": (frozenset(("td", "th")), _TABLE), "th": (frozenset(("td", "th")), _TABLE), "tr": (frozenset(("tr", "caption", "colgroup")), _TABLE),
+    **{name: (frozenset(("tbody", "thead", "tfoot", "caption", "colgroup")), _TABLE) for name in ("tbody", "thead", "tfoot")},
+}
+#: How far an end tag reaches.
+_REACH = {"p": _SCOPE} | {name: bound for name, (_, bound) in _IMPLIED.items()}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</?\Z""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def closings(page: str, name: str, start: int) -> dict[int, int]:
+    """Where each element of this name from `start` on ends, by the end of its start tag; those never closed are left out."""
+    out, opened = {}, []
+    for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I).finditer(page, start):
+        if not tag[1]:
+            if not (name in EMPTY and tag[2].endswith("/")):
+                opened.append(tag.end())
+        elif opened:
+            out[opened.pop()] = tag.end()
+    return out
+
+
+def ended(stack: list[tuple], names: frozenset[str], bound: frozenset[str]) -> None:
+    """Take the innermost open element of these names, with all in it, off the stack, unless an element of `bound` is nearer."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k][0] in names:
+            del stack[k:]
+            return
+        if stack[k][0] in bound:
+            return
+
+
+def marked(name: str, rest: str, article: bool) -> set[str]:
+    """The words of class, id and role that mark what is beside the article.
+
+    Ids of headings are names of places. Inside an article only whole class names, ids
+    and roles count, and no ids of sections; outside, whole ids of sections.
+    """
+    found: set[str] = set()
+    for mark, value in _MARK.findall(rest):
+        value, is_id = value.strip("\"'").lower(), mark.lower() == "id"
+        if is_id and (name in HEADINGS or name == "section" and article):
+            continue
+        found.update(value.split() if article or is_id and name == "section" else _PART.findall(value))
+    return found & WORDS
+
+
 class Line(NamedTuple):
     text: str
     weight: int
@@ -66,6 +120,8 @@ def lines_of(page: str) -> list[Line]:
     stack: list[tuple[str, bool, int]] = []  # name, beside, number of an article, container or 0
     words: list[str] = []
     linked = at = number = 0
+    closed: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
     beside = link = False
     article = container = 0
 
@@ -102,21 +158,40 @@ def lines_of(page: str) -> list[Line]:
         elif name == "br":
             words.append(" ")
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            ended(stack, frozenset((name,)), _REACH.get(name, frozenset()))
+        elif name in NESTED:
+            if not (name in EMPTY and rest.endswith("/")):
+                if name not in closed:
+                    closed[name] = closings(page, name, tag.start())
+                at = closed[name].get(at, at)
+            continue
         elif name in RAW:
-            found = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = found.end() if found else end
+            found = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if found:
+                at = found.end()
+                continue
+            unclosed.add(name)
+            if name in ENDLESS:
+                at = end
+            elif name == "title":
+                at = found if (found := page.find("<", at)) >= 0 else end
+            continue
+        elif name == "head":
             continue
+        elif name == "hr":
+            ended(stack, frozenset(("p",)), _SCOPE)
         elif name not in VOID and not rest.rstrip().endswith("/"):
+            if name in _ENDS_P:
+                ended(stack, frozenset(("p",)), _SCOPE)
+            if name in _IMPLIED:
+                ended(stack, *_IMPLIED[name])
+            beside, article = any(s[1] for s in stack), next((s[2] for s in stack if s[0] in ("article", "main")), 0)
             is_article = name in ("article", "main")
-            marks = {w for _, value in _MARK.findall(rest) for w in _PART.findall(value.lower())}
-            is_beside = name in BESIDE or bool(marks & WORDS) or bool(_HIDDEN.search(rest))
-            if is_beside and article and not beside and (name == "header" or marks & WORDS <= _HEADERS and name not in BESIDE):
+            marks = marked(name, rest, bool(article) or is_article)
+            is_beside = name in BESIDE or bool(marks) or bool(_HIDDEN.search(rest))
+            if is_beside and article and not beside and (name == "header" or marks <= _HEADERS and name not in BESIDE):
                 is_beside = False
-            if is_article and marks & WORDS <= _HEADERS or name in ("html", "body"):
+            if is_article and marks <= _HEADERS or name in ("html", "body"):
                 is_beside = is_beside and bool(_HIDDEN.search(rest))
             number += 1
             stack.append((name, is_beside, number if name in CONTAINERS else 0))

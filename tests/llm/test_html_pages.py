@@ -33,3 +33,22 @@ def paragraphs(texts) -> str:
 )
 def test_main_text_is_whole(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<head><title>T</title><body><p>{TEXT[0]}", TEXT[0]),
+        (f"<head><title>T<body><p>{TEXT[0]}", TEXT[0]),
+        (f"<p>{TEXT[0]}</p><svg width=1 /><p>{TEXT[1]}</p><svg><svg><text>x</text></svg><text>y</text></svg><p>{TEXT[2]}</p>", " ".join(TEXT[:3])),
+        (f"<p>{TEXT[0]}</p><svg width=1><p>{TEXT[1]}</p>", " ".join(TEXT[:2])),
+        (f"<div><p class=ad>Ad<p>{TEXT[0]}<p>{TEXT[1]}</div>", " ".join(TEXT[:2])),
+        (f"<ul><li class=ad>Ad<li>{TEXT[0]}<ul><li>{TEXT[1]}</ul></ul>", " ".join(TEXT[:2])),
+        (f"<dl><dt class=ad>Ad<dd>{TEXT[0]}</dl><table><tr class=ad><td>Ad<tr><td class=ad>Ad<td>{TEXT[1]}</table>", " ".join(TEXT[:2])),
+        (f"<article><section id=related-work><h2 id=search-api>Search</h2><p class=share-of-text>{TEXT[0]}</p></section><div class='x share'>Share</div></article>", f"Search {TEXT[0]}"),
+        (f"<div><section id=related-work><h2 id=search>Search</h2><p>{TEXT[0]}</p></section><section id=comments>No</section></div>", f"Search {TEXT[0]}"),
+        (f"<p>{TEXT[0]}</p><script>var a = 1;<p>no</p>", TEXT[0]),
+    ],
+)
+def test_markup_loses_no_text(page, want):
+    assert main_text(page) == want
