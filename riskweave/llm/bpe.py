@@ -4,8 +4,9 @@
 vocabulary token can never be merged, so the place between its bytes is a certain cut,
 and fragments between cuts encode independently. White space is in no token: the first
 cuts are at white space, and the fragments between are looked up, since most recur. An
-unknown one is cut at its pre-token boundaries and then at every forced pair; only the
-last fragment of a pre-token carries the end-of-word mark. What the pieces encode to is
+unknown one is cut at its pre-token boundaries and then, whatever its script and length,
+at every forced pair; only the last fragment of a pre-token carries the end-of-word mark.
+A text is normalised once, as a whole; fragments are encoded from their bytes. What the pieces encode to is
 concatenated. Decoding concatenates the pieces' decodings in the same way.
 
 `byte_encoder` encodes with a byte-level vocabulary file of the tokenizers library; the
@@ -69,13 +70,11 @@ class _Known(dict):
 class WordCodec:
     """Encode and decode with a word-end BPE vocabulary file, giving the tokenizers library's ids and text."""
 
-    def __init__(self, path: str, long: int = 48):
+    def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
-        self.whole, self.long = Tokenizer.from_file(path), long
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.whole.encode_special_tokens = True  # `encode` cuts special tokens out first
+        library = Tokenizer.from_file(path)
+        self._normal, self._split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self._specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -97,15 +96,17 @@ class WordCodec:
         cuts = (np.flatnonzero(self.never[raw[:-1], raw[1:]]) + 1).tolist()
         return [pre_token[a:b] for a, b in zip([0, *cuts], [*cuts, len(pre_token)])]
 
-    def _learn(self, word: str) -> tuple[bytes, str]:
+    def _pre_tokens(self, word: str) -> list[bytes]:
+        """The bytes of each pre-token; where Unicode versions may differ, the library's own."""
         if _OTHER.search(word):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for pre in _PRE.findall(word):
-                marked = pre.encode() + _END
-                for piece in (marked,) if len(marked) <= self.long else self.fragments(marked):
-                    ids += self._piece(piece)
+            return [bytes(map(_BYTES.__getitem__, pre)) for pre, _ in self._split(word)]
+        return [pre.encode() for pre in _PRE.findall(word)]
+
+    def _learn(self, word: str) -> tuple[bytes, str]:
+        ids: list[int] = []
+        for pre in self._pre_tokens(word):
+            for piece in self.fragments(pre + _END):
+                ids += self._piece(piece)
         return array("I", ids).tobytes(), self.decode(ids)
 
     def decode(self, ids) -> str:
@@ -113,7 +114,7 @@ class WordCodec:
 
     def _words(self, text: str) -> list[str]:
         if _OTHER.search(text):
-            return [w for w in self.whole.normalizer.normalize_str(text).split(" ") if w]
+            return [w for w in self._normal(text).split(" ") if w]
         return text.lower().split()
 
     def encode(self, text: str) -> tuple[bytes, str]:
