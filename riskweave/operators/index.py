@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..functions.text import Tokenizer, words
 from ..schema import INDEX_VERSION
 
 KEY = ("_file", "_row")
+#: Rows of a file whose digests are joined together.
+DIGESTED = 64
 
 
 def tokenized(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
@@ -55,15 +59,40 @@ def terms(docs: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
     return term_df(docs, tokenizer).crossJoin(F.broadcast(meta)).select("term", "df", idf(F.col("doc_count"), F.col("df")).alias("idf"))
 
 
+def digest_ranges(messages: DataFrame) -> DataFrame:
+    """(_file, _range, n, digests): the row digests of each range of DIGESTED rows of a file, joined in row order."""
+    rows = messages.select("_file", F.floor(F.col("_row") / DIGESTED).alias("_range"), F.struct("_row", F.sha1(F.coalesce(F.col("content"), F.lit("")).cast("binary")).alias("h")).alias("r"))
+    ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"])
+    return rows.groupBy("_file", "_range").agg(F.count("*").alias("n"), F.array_join(ordered, "\x1f").alias("digests"))
+
+
+def _chained(batches):
+    schema = pa.schema([("_file", pa.string()), ("doc_count", pa.int64()), ("fingerprint", pa.string())])
+    file, count, sha = None, 0, None
+    for batch in batches:
+        done = []
+        for name, n, digests in zip(*(batch[c].to_pylist() for c in ("_file", "n", "digests"))):
+            if sha is not None and name == file:
+                sha.update(b"\x1f")
+            else:
+                if sha is not None:
+                    done.append((file, count, sha.hexdigest()))
+                file, count, sha = name, 0, hashlib.sha1()
+            sha.update(digests.encode())
+            count += n
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
+    if sha is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, count, sha.hexdigest()), schema)], schema=schema)
+
+
 def fingerprints(messages: DataFrame) -> DataFrame:
     """(_file, doc_count, fingerprint): SHA-1 over the row digests of a file in row order.
 
-    A row goes in as its own SHA-1, so a file's rows are gathered as 40 characters each
-    and never as texts.
+    A row goes in as its own SHA-1, joined to those of its range of rows in many tasks.
+    The ranges of a file stream through one running SHA-1; no file is gathered.
     """
-    rows = messages.select("_file", F.struct("_row", F.sha1(F.coalesce(F.col("content"), F.lit("")).cast("binary")).alias("h")).alias("r"))
-    ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"])
-    return rows.groupBy("_file").agg(F.count("*").alias("doc_count"), F.sha1(F.array_join(ordered, "\x1f").cast("binary")).alias("fingerprint"))
+    return digest_ranges(messages).repartition("_file").sortWithinPartitions("_file", "_range").select("_file", "n", "digests").mapInArrow(_chained, "_file string, doc_count long, fingerprint string")
 
 
 def manifest(messages: DataFrame) -> DataFrame:
