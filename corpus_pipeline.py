@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import langid, near_dup, packing, substring
-from riskweave.llm.common import new_folder
+from riskweave.llm.common import cut, new_folder
 from riskweave.llm.queries import CAPACITY, END_ID
 
 #: Margin under which a language is uncertain: the best dictionary saves less than this share of the second best's bytes.
 LEAST_MARGIN = 0.002
 #: Similarity, in percent of five-word shingles, from which documents are near duplicates.
 SIMILAR = 80
+#: The column that tells documents apart within a stage.
+KEY = "_document"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +23,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.fit(docs), LEAST_MARGIN)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Add KEY, and whether it tells rows apart: doc_id, if every row has its own; or a number of each doc_id and text, in order of doc_id, none last."""
+    number = F.col("doc_id").cast("long")
+    if docs.select(number.alias("doc_id")).groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(KEY, number), True
+    digest = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    ids = docs.select(F.col("doc_id").alias("_id"), digest.alias("_digest")).distinct()
+    order = [F.col("_id").cast("long").asc_nulls_last(), F.col("_id").asc_nulls_last(), F.col("_digest")]
+    ids = cut(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(KEY, F.monotonically_increasing_id()))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    return docs.join(ids, same).drop("_id", "_digest"), False
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each near-duplicate group."""
-    kept = near_dup.near_duplicates(docs, percent=SIMILAR).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Keep the smallest doc_id of each near-duplicate group, one without doc_id only if the group has none.
+
+    Rows with the same doc_id are documents of their own; of those with the same text
+    too, the least row stays. Rows without doc_id are compared like all others.
+    """
+    rows, unique = keyed(docs)
+    kept = near_dup.near_duplicates(rows, doc_id=KEY, percent=SIMILAR).where("kept").select(F.col("doc_id").alias(KEY))
+    if unique:
+        return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    return rows.join(kept.distinct(), KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated passages. Texts that lose nothing stay as they are; a text that loses every word goes."""
-    cut = substring.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("rest"))
-    joined = docs.join(cut, "doc_id", "left").where("rest IS NULL OR rest <> ''")
+    """Cut repeated passages. Texts that lose nothing stay as they are; a text that loses every word goes.
+
+    Rows with the same doc_id are cut each by its own text; rows with the same text too
+    stay as often as they are. Rows without doc_id are cut like all others, after them.
+    """
+    rows, unique = keyed(docs)
+    cuts = substring.remove_repeats(rows, doc_id=KEY).where("n_removed > 0").select(F.col("doc_id").alias(KEY), F.col("text").alias("rest"))
+    joined = rows.join(cuts if unique else cuts.dropDuplicates([KEY]), KEY, "left").where("rest IS NULL OR rest <> ''")
     text = F.coalesce("rest", "text")
     return joined.select(*(text.alias(c) if c == "text" else F.when(F.col("rest").isNull(), F.col(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
