@@ -1,8 +1,10 @@
-"""Helpers the corpus operators share: lineage cuts, shared folders, ranks, Arrow slices."""
+"""Helpers the corpus operators share: lineage cuts, shared folders, ranks, joins with hot groups, Arrow slices."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,13 +16,21 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time; a longer text comes alone.
 SLICE_BYTES = 1 << 20
+#: A group is hot that has more than one row in so many; so there are fewer hot groups than that.
+HEAVY = 4096
+#: Stands for a missing doc_id, after all others.
+LAST = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one set here for a local run."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one, which only a local master may use and which goes at exit."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='riskweave-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="riskweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -75,6 +85,24 @@ def ranked(df: DataFrame, group: str, order: list[Column], salt: Column, n_salts
     return salted.withColumn("_within", within).join(offsets, [group, "_salt"]).withColumn(name, F.col("_ahead") + F.col("_within") - 1).drop("_salt", "_within", "_ahead")
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """Add `doc`, the doc_id as a number with missing ones last, and `version`, a digest of the text: what tells documents apart."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("version", digest)
+
+
+def grouped(df: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Join `groups` (key, n, ...) to the rows of `df`, of which a group has `n`.
+
+    Hot groups, fewer than HEAVY by their definition, are broadcast, so that no task gets
+    all rows of one; the others are shuffled. `groups` should be cut before.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(n) * HEAVY > total))
+    rest = groups.where(F.col(n) * HEAVY <= total)
+    return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has at most `most` bytes in a slice, or one row."""
     for batch in batches:

@@ -1,38 +1,27 @@
 """Words, word windows and their 64-bit hashes, for whole slices of texts at once.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials
-modulo 2**64, taken as differences of prefix sums, then mixed; so a slice costs
-a few passes over its bytes, without a Python step for each word.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Its hash takes eight bytes at a
+time through a mixing function, a long word's is a digest; a sequence's hash mixes the
+hashes of its two halves at every doubling. Hashes only name candidates: whatever is
+removed or linked is decided on bytes, or on cryptographic digests of them.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_BYTE, _WORD = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
+#: Bytes from which a word is hashed, and stored, by a digest.
+LONG = 64
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-
-
-@lru_cache(maxsize=8)
-def _powers_of(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers_of(base, 1 << max(12, int(n).bit_length()))
-    return up[:n], down[:n]
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,6 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two sequences, one after the other."""
+    with np.errstate(over="ignore"):
+        return mix(a * _STEP + b)
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, one after another, and the n+1 offsets; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -54,6 +49,23 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(sizes.astype(np.uint64) + _SEED)
+    eights = np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    rows = np.flatnonzero(sizes <= LONG)
+    at = 0
+    while len(rows):
+        left = np.minimum(sizes[rows] - at, 8)
+        out[rows] = joined(out[rows], eights[starts[rows] + at] & _FIRST[left])
+        at += 8
+        rows = rows[sizes[rows] > at]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """The words of a slice of texts: byte spans, hashes, and where each text's words begin."""
 
@@ -71,33 +83,45 @@ class Words:
         self.ends = np.flatnonzero(word & ~after) + 1
         self.offsets = np.searchsorted(self.starts, offsets)  # of each text's words, n+1
         self.data, self.text_offsets = data, offsets
-        with np.errstate(over="ignore"):
-            up, down = _powers(_BYTE, n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
-            m = len(self.hashes)
-            self._up, self._down = _powers(_WORD, m + 1)
-            self._sums = np.zeros(m + 1, np.uint64)
-            np.cumsum(self.hashes * self._up[:m], out=self._sums[1:])
-
-    def spans(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the word sequences [first, last)."""
-        with np.errstate(over="ignore"):
-            return mix((self._sums[last] - self._sums[first]) * self._down[first] ^ (last - first).astype(np.uint64))
+        self.hashes = word_hashes(data, self.starts, self.ends)
+
+    def plain_text(self, i: int) -> bytes:
+        """The words of text i joined by one space."""
+        a, b = self.text_offsets[i : i + 2]
+        return b" ".join(self.data[a:b].tobytes().split())
+
+    def pieces(self, first: int, last: int) -> list[bytes]:
+        """The bytes of the words [first, last); a long word stands by its digest, after a byte that UTF-8 hasn't."""
+        spans = zip(self.starts[first:last].tolist(), self.ends[first:last].tolist())
+        return [self.data[a:b].tobytes() if b - a <= LONG else b"\xff" + blake2b(self.data[a:b].tobytes(), digest_size=32).hexdigest().encode() for a, b in spans]
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hash of the `width` words from each word on, as far as there are so many; text bounds don't count."""
+        out, have = self.hashes, 1
+        while have < width:
+            step = min(have, width - have)
+            out = joined(out[: max(0, len(out) - step)], out[step:])
+            have += step
+        return out
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of every window of `width` words inside one text, and the n+1 offsets of each text's windows."""
         counts = np.maximum(np.diff(self.offsets) - width + 1, 0)
         offsets = np.concatenate(([0], np.cumsum(counts)))
         first = np.arange(offsets[-1]) + np.repeat(self.offsets[:-1] - offsets[:-1], counts)
-        return self.spans(first, first + width), offsets
+        return self.runs(width)[first], offsets
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """As `windows`, but a text of fewer words has its whole sequence as the only one."""
         n = np.diff(self.offsets)
-        counts = np.where(n == 0, 0, np.maximum(n - width + 1, 1))
-        offsets = np.concatenate(([0], np.cumsum(counts)))
-        first = np.arange(offsets[-1]) + np.repeat(self.offsets[:-1] - offsets[:-1], counts)
-        last = np.minimum(first + width, np.repeat(self.offsets[1:], counts))
-        return self.spans(first, last), offsets
+        hashes, at = self.windows(width)
+        few = np.flatnonzero((n > 0) & (n < width))
+        begin, whole = self.offsets[few], None
+        for k in range(1, width):
+            if whole is None:
+                whole = joined(self.hashes[begin], n[few].astype(np.uint64))
+            more = n[few] > k
+            whole[more] = joined(whole[more], self.hashes[begin[more] + k])
+        if len(few):
+            hashes = np.insert(hashes, at[few], whole)
+        return hashes, np.concatenate(([0], np.cumsum(np.where(n == 0, 0, np.maximum(n - width + 1, 1)))))

@@ -53,9 +53,10 @@ def test_near_duplicates_table(spark, sf, documents):
 
 
 def test_sweep_gives_a_spanning_forest():
-    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 4, 8, 12, 500, 504, 900)]
+    texts = [" ".join(f"w{i}" for i in range(a, a + 100)) for a in (0, 4, 8, 12, 500, 504, 900)]
+    sets = [np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint64) for t in texts]
     docs = np.arange(7)
-    links = near_dup.spanning_links(docs, docs, sets, 85)
+    links = near_dup.spanning_links(docs, docs, sets, [t.encode() for t in texts], 1, 85)
     assert len(links) == 4 and {min(x) for x in links} <= {0, 1, 2, 4}
 
 
@@ -65,7 +66,7 @@ def test_circulant_coordinates_are_shifts():
     assert (one[1:] == next_cell[:-1]).all()
 
 
-@pytest.mark.parametrize("group", [512, 2])
+@pytest.mark.parametrize("group", [1 << 25, 2])
 def test_repeats_brute_force(spark, group):
     texts = variants(7)
     want = removed([r[:2] for r in rows(texts)], 50)
