@@ -43,6 +43,11 @@ def best_fit_decreasing(lengths, capacity: int) -> int:
     return len(gaps)
 
 
+def few(sequences: int, lengths, capacity: int) -> bool:
+    """As few as best-fit decreasing one by one, which the bulk sweeps may beat, or 0.3 percent more."""
+    return -(-sum(lengths) // capacity) <= sequences <= best_fit_decreasing(lengths, capacity) * 1.003
+
+
 def held(found, docs, capacity: int) -> None:
     coder, by_doc, by_sequence = library(BYTE), defaultdict(list), defaultdict(list)
     for r in found:
@@ -63,7 +68,7 @@ def held(found, docs, capacity: int) -> None:
             assert r["offset"] == at
             at += r["length"]
         assert at <= capacity
-    assert len(by_sequence) == best_fit_decreasing([r["length"] for r in found], capacity)
+    assert few(len(by_sequence), [r["length"] for r in found], capacity)
 
 
 def test_packing_odd_cases(spark):
@@ -77,7 +82,7 @@ def test_packing_table(spark, sf, documents):
 
 def test_packing_of_equal_rows_and_hot_lengths(spark):
     df = spark.range(3000).selectExpr("0L AS k", "CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE 1 + id % 60 END AS int) AS length")
-    found = packing.pack(df, ["k"], capacity=64).collect()
+    found = packing.pack(df, capacity=64).collect()
     by = defaultdict(list)
     for r in found:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -88,22 +93,50 @@ def test_packing_of_equal_rows_and_hot_lengths(spark):
             assert offset == at
             at += n
         assert at <= 64
-    assert len(by) == best_fit_decreasing([r["length"] for r in found], 64)
+    assert few(len(by), [r["length"] for r in found], 64)
 
 
 @pytest.mark.parametrize("bad", [0, 65, None])
 def test_packing_refuses_bad_lengths(spark, bad):
     with pytest.raises(ValueError):
-        packing.pack(spark.createDataFrame([(1, bad)], "k long, length int"), ["k"], capacity=64)
+        packing.pack(spark.createDataFrame([(1, bad)], "k long, length int"), capacity=64)
 
 
-def test_runs_pack_as_best_fit_decreasing():
+def test_sweeps_give_each_gap_its_nearest_predecessor():
     r = random.Random(1)
-    for _ in range(200):
-        capacity = r.choice([8, 20, 100])
-        lengths = [r.randint(1, capacity) for _ in range(r.randint(1, 120))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        assert packing.matched_runs(counts, capacity)[1] == best_fit_decreasing(lengths, capacity)
+    for _ in range(300):
+        pieces, gaps = (sorted(r.randint(1, 12) for _ in range(r.randint(0, 12))) for _ in range(2))
+        free, want = list(pieces), []
+        for g in gaps:
+            fit = [p for p in free if p <= g]
+            if fit:
+                free.remove(max(fit))
+                want.append((max(fit), g))
+        ours, theirs = packing.successors(np.array(pieces, int), np.array(gaps, int))
+        assert sorted((pieces[i], gaps[j]) for i, j in zip(ours, theirs)) == sorted(want)
+        assert len(set(ours.tolist())) == len(ours) and len(set(theirs.tolist())) == len(theirs)
+        met = packing.meetings(*({n: x.count(n) for n in set(x)} for x in (pieces, gaps)))
+        assert sorted((p, g) for p, _, g, _, n in met for _ in range(n)) == sorted(want)
+        for size, at in ((0, 1), (2, 3)):
+            taken = sorted((m[size], m[at] + k) for m in met for k in range(m[4]))
+            assert len(set(taken)) == len(taken)
+
+
+@pytest.mark.parametrize("rows_of_range", [100, 700, 10**6])
+def test_packing_in_ranges(spark, rows_of_range):
+    df = spark.range(1500).selectExpr("id AS sequence_id", "'x' AS _kind", "CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE 1 + id * 37 % 60 END AS int) AS length")
+    found = packing.pack(df.repartition(4), capacity=64, rows_of_range=rows_of_range).toDF("id", "_kind", "length", "sequence_id", "offset").collect()
+    assert sorted(r["id"] for r in found) == list(range(1500))
+    by = defaultdict(list)
+    for r in found:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+    assert few(len(by), [r["length"] for r in found], 64)
 
 
 def test_word_codec_odd_cases(spark):
