@@ -1,15 +1,16 @@
 """Document fingerprints: the digest of a canonical form, with byte comparison inside buckets.
 
 The canonical form is NFKC, case folding, NFKC again, and white space folded to single
-spaces; its fingerprint is a 128-bit xxhash. Documents with one fingerprint form a bucket,
-and inside a bucket the canonical bytes themselves are compared: `equal_groups` takes the
-least and the greatest bytes of each bucket, partially aggregated, so a bucket with a third
-of all rows is as good as any, and gives documents of a bucket that differ groups of their
-own. Likeness of two fingerprints is 1 if bucket and bytes agree, else 0.
-
-Null and empty texts have the canonical form "". A null doc_id sorts first; rows with equal
-doc_id follow one another in no fixed order; an empty table gives an empty one; a single
-document is its own next one.
+spaces; its fingerprint is a 128-bit xxhash. Documents with one fingerprint form a bucket.
+In buckets of several documents the canonical bytes themselves are compared: Spark groups
+by fingerprint and bytes, partially aggregated, so a bucket with a third of all rows is as
+good as any; documents of a bucket that differ get groups of their own. Likeness of two
+fingerprints is 1 if bucket and bytes agree, else 0.
+
+Null and empty texts have the canonical form "" and are one group. A null doc_id sorts
+first, and a group's id is the least doc_id that isn't null; rows with equal doc_id follow
+one another in no fixed order, repeated rows each get a result; an empty table gives an
+empty one; a single document is its own next one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, slices, source, width
+from .common import batch_of, cut, grouped, slices, source, width
 
 
 def canonical(text: str | None) -> bytes:
@@ -39,42 +40,40 @@ def fingerprint(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
-def _printed(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("canonical", pa.binary()), ("fingerprint", pa.string())])
+def _forms(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canonical", pa.binary())])
     for part in slices(batches, "text"):
-        texts = part["text"].to_pylist()
-        forms = [canonical(t) for t in texts]
-        yield batch_of(schema, {"doc_id": part["doc_id"], "n_chars": [len(t or "") for t in texts], "canonical": forms, "fingerprint": [fingerprint(f) for f in forms]})
+        forms = [canonical(t) for t in part["text"].to_pylist()]
+        yield batch_of(schema, {"doc_id": part["doc_id"], "fingerprint": [fingerprint(f) for f in forms], "canonical": forms})
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, n_chars, canonical, fingerprint. Needs no shuffle."""
-    docs = source(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(_printed, "doc_id long, n_chars long, canonical binary, fingerprint string")
-
+def equal_groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
+    """Add group_id, the least doc_id with the same canonical bytes, to `printed` (doc_id, fingerprint, form, ...) of the same `docs` (doc_id, text).
 
-def equal_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, fingerprint, group_id (smallest doc_id with the same canonical bytes)."""
-    printed = fingerprints(docs, text, doc_id)
-    buckets = printed.groupBy("fingerprint").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi"), F.min("doc_id").alias("group_id")).select("fingerprint", "group_id", (F.col("lo") == F.col("hi")).alias("equal"))
-    joined = cut(printed.join(buckets, "fingerprint"))
-    apart = joined.where(~F.col("equal"))
-    own = apart.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("own"))
-    split = apart.join(own, ["fingerprint", "canonical"]).select("doc_id", "fingerprint", F.col("own").alias("group_id"))
-    return joined.where("equal").select("doc_id", "fingerprint", "group_id").unionByName(split)
+    Only documents that share a fingerprint are read again; their bytes decide.
+    """
+    counts = cut(printed.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
+    several = cut(counts.where("n > 1").select("fingerprint", "n"))
+    members = grouped(docs.mapInArrow(_forms, "doc_id long, fingerprint string, canonical binary"), several, "fingerprint")
+    own = cut(members.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("own")).select("fingerprint", "own", F.unhex(F.sha2("canonical", 256)).alias("bytes")))
+    apart = cut(own.join(own.groupBy("fingerprint").count().where("count > 1").drop("count"), "fingerprint"))
+    joined = grouped(printed, counts, "fingerprint").drop("n")
+    alone = joined.join(apart.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    split = joined.join(apart, (joined["fingerprint"] == apart["fingerprint"]) & (joined["form"] == apart["bytes"])).select(*(joined[c] for c in printed.columns), F.col("own").alias("group_id"))
+    return alone.withColumnRenamed("least", "group_id").select(*printed.columns, "group_id").unionByName(split)
 
 
-_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("form", pa.binary())]
+_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form binary"
 
 
-def _edited(doc, text: str, after: str) -> tuple:
+def _edited(doc, text: str, form: bytes, after: str, after_form: bytes) -> tuple:
     n = len(text)
     edited = text[: n - n // 2] + after[: n // 2]
-    forms = [canonical(t) for t in (text, edited, after)]
-    one, two, three = map(fingerprint, forms)
-    near = [float(one == p and forms[0] == f) for p, f in ((two, forms[1]), (three, forms[2]))]
-    return doc, n, hashlib.sha256(edited.encode()).hexdigest(), one, two, *near
+    forms = form, canonical(edited), after_form
+    prints = [fingerprint(f) for f in forms]
+    near = [float(prints[0] == p and form == f) for p, f in zip(prints[1:], forms[1:])]
+    return doc, n, hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], *near, hashlib.sha256(form).digest()
 
 
 def _in_order(batches):
@@ -85,11 +84,12 @@ def _in_order(batches):
         out = []
         for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
             text = text or ""
+            form = canonical(text)
             if begun:
-                out.append((*_edited(*held, text), 0, part_no, None))
+                out.append((*_edited(*held, text, form), 0, part_no, None))
             else:
                 out.append((doc, *empty, 1, part_no, text))
-            held, begun = (doc, text), True
+            held, begun = (doc, text, form), True
         yield batch_of(schema, dict(zip(schema.names, zip(*out))))
     if begun:
         yield batch_of(schema, dict(zip(schema.names, zip((held[0], *empty, 2, part_no, held[1])))))
@@ -98,12 +98,12 @@ def _in_order(batches):
 def _tails(batches):
     schema = pa.schema(_RESULT)
     for batch in batches:
-        out = [_edited(*row) for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "after")))]
+        out = [_edited(doc, text, canonical(text), after, canonical(after)) for doc, text, after in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "after")))]
         yield batch_of(schema, dict(zip(schema.names, zip(*out)))) if out else batch_of(schema, {n: [] for n in schema.names})
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: its fingerprint, that of its text edited with the next document's beginning, and their likenesses.
+    """Per row: its fingerprint, that of its text edited with the next document's beginning, their likenesses, and its group_id.
 
     Texts are shuffled once, into ranges of doc_id. Only the first and the last text of
     each range are matched across ranges, by joins on the ranges' numbers.
@@ -116,4 +116,5 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     order = heads.select("part").withColumn("next", following)  # a number for each range
     after = heads.select(F.col("part").alias("next"), F.col("text").alias("after"))
     tails = rows.where("kind = 2").select("part", "doc_id", "text").join(order, "part").join(after, "next").select("doc_id", "text", "after").mapInArrow(_tails, _DDL)
-    return rows.where("kind = 0").drop("kind", "part", "text").unionByName(tails)
+    printed = cut(rows.where("kind = 0").drop("kind", "part", "text").unionByName(tails))
+    return equal_groups(docs, printed).drop("form")
