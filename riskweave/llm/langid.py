@@ -10,7 +10,10 @@ the bytes over all parts are a finer measure, which long texts that compress mos
 themselves and short ones of few bytes need. What is then still narrow can be rejected.
 
 Null texts and texts without a letter are `und` with score 0. Equal sizes go to the language
-first in order, that is, with the most labelled rows. Without any labelled text everything is `und`. A null doc_id is kept.
+first in order, that is, with the most labelled rows. Without any labelled text everything is `und`.
+Rows with a null or repeated doc_id are documents of their own, and repeated rows have equal
+results; an empty table gives an empty one. Long texts count whole, in blocks. Only the
+columns named are read; `accepted` passes all others on.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, slices, source
 
-#: The sample: most documents and most bytes a language, most languages (by number of labelled rows), most characters of one document, so that no long one fills a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, LANGUAGES, SAMPLE_CHARS = 200, 1 << 16, 64, 1024
+#: The sample: most documents and bytes of a language, most characters of one document, so that no long one fills a dictionary.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_CHARS = 200, 1 << 16, 1024
+#: Documents and bytes of all languages together; of more languages than these hold in full each has an equal share, and every one has a dictionary.
+ALL_DOCS, ALL_BYTES = 128 * SAMPLE_DOCS, 128 * SAMPLE_BYTES
 #: Bytes of a block, compression levels of all texts and of those with a margin below NARROW.
 BLOCK, LEVELS, NARROW = 2048, (9, 12), 0.02
 #: The third measure: for margins below TIE, with PARTS of each dictionary, in blocks of FINE bytes, at the last level.
@@ -33,20 +38,23 @@ TIE, PARTS, FINE = 0.002, 4, 512
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
-    """The dictionaries: (language, content), those with the most labelled rows first. Comes from at most sample_chars characters each of languages x sample_docs labelled rows, chosen by hash."""
-    labelled = source(labelled, doc_id=doc_id, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
-    keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    few = [r["lang"] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    first = keys.where(F.col("lang").isin(few)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= sample_docs)
-    ids = [r["doc_id"] for r in first.select("doc_id").collect()]  # at most languages x sample_docs
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(2 * languages * sample_docs).collect()
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_chars: int = SAMPLE_CHARS, all_docs: int = ALL_DOCS, all_bytes: int = ALL_BYTES) -> list[tuple[str, bytes]]:
+    """The dictionaries: (language, content), those with the most labelled rows first, one for every language.
+
+    A language's comes from at most sample_chars characters each of sample_docs rows, those with the least hashes of doc_id.
+    """
+    labelled = source(labelled, doc_id=doc_id, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
+    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row for each language
+    docs, size = (max(1, min(most, total // max(1, len(names)))) for most, total in ((sample_docs, all_docs), (sample_bytes, all_bytes)))
+    ranked = lambda df, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= docs).drop("k")
+    ids = ranked(labelled.select("lang", "h"), "h").distinct()  # at most all_docs
+    some = labelled.join(F.broadcast(ids), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
     content: dict[str, bytes] = {}
-    for r in rows:
+    for r in sorted(ranked(some, "h", "text").collect(), key=lambda r: (r["h"], r["text"])):  # at most all_docs
         have = content.get(r["lang"], b"")
-        if len(have) < sample_bytes:
-            content[r["lang"]] = have + (r["text"].lower() + "\n").encode()[: sample_bytes - len(have)]
-    return [(name, content[name]) for name in few if name in content]
+        if len(have) < size:
+            content[r["lang"]] = have + (r["text"].lower() + "\n").encode()[: size - len(have)]
+    return [(name, content[name]) for name in names if name in content]
 
 
 def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -89,7 +97,7 @@ def _identified(batches, dictionaries):
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, lang_pred, score (the margin). Needs no shuffle; the dictionaries, at most languages x sample_bytes, go with the tasks."""
+    """Per row: doc_id, lang_pred, score (the margin). Needs no shuffle; the dictionaries, at most ALL_BYTES or a byte a language, go with the tasks."""
     docs = source(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     return docs.mapInArrow(lambda it: _identified(it, sent.value), "doc_id long, lang_pred string, score double")

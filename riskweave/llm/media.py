@@ -7,7 +7,8 @@ files are deduplicated by joins: one stored place of a digest becomes the place
 reference to it, and copies in other files are no longer referenced. The digests are joined
 once for each file, so a chunk that a third of all media has is no hot key. A medium is the
 ordered list of its chunks. Reading takes the chunks from their places, checks every digest
-and puts the payload together. Bytes never go through a shuffle.
+and puts the payload together; chunks that lie one after another are read at once. Bytes
+never go through a shuffle.
 
 Null and empty payloads are one block of zeros when padded; a null id is kept; equal rows
 are media of their own that share all chunks; an empty table gives an empty one.
@@ -30,6 +31,8 @@ from .common import batch_of, cut, filesystem, slices, source
 LEAST, MASK_BITS, MOST = 1024, 12, 16384
 #: Digests a task remembers to store a chunk once; after that many it starts afresh.
 REMEMBERED = 500_000
+#: Bytes that one read takes at most beyond a chunk.
+READ = 1 << 22
 _GEAR = np.random.default_rng(20240301).integers(0, 1 << 32, 256, np.uint32)
 CHUNKS = "array<struct<digest:binary,size:int,path:string,at:bigint,stored:int>>"
 
@@ -117,6 +120,27 @@ def features(payload: bytes) -> str:
     return f"n={len(x)};mean={mean:.4f};rms={np.sqrt(np.mean((x - mean) ** 2)):.4f};crossings={int(np.count_nonzero(np.diff(x > mean)))};levels={len(np.unique(x))}"
 
 
+def joined_places(chunks: list[dict]) -> list[list[dict]]:
+    """Runs of chunks that lie one after another in one file: each run is one read."""
+    out: list[list[dict]] = []
+    for c in chunks:
+        last = out[-1][-1] if out else None
+        if last and last["path"] == c["path"] and last["at"] + last["stored"] == c["at"] and c["at"] - out[-1][0]["at"] < READ:
+            out[-1].append(c)
+        else:
+            out.append([c])
+    return out
+
+
+def _frames(chunks: list[dict]):
+    """The stored bytes of each chunk in order."""
+    for run in joined_places(chunks):
+        first = run[0]["at"]
+        data = _open(run[0]["path"]).read_at(run[-1]["at"] + run[-1]["stored"] - first, first)
+        for c in run:
+            yield data[c["at"] - first : c["at"] - first + c["stored"]]
+
+
 def _read(batches):
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("feature", pa.string())])
     unzip = zstandard.ZstdDecompressor()
@@ -124,8 +148,7 @@ def _read(batches):
         out, held = [], 0
         for key, n, chunks in zip(*(batch[c].to_pylist() for c in ("id", "n_bytes", "chunks"))):
             raw, frames = [], []
-            for c in chunks:
-                frame = _open(c["path"]).read_at(c["stored"], c["at"])
+            for c, frame in zip(chunks, _frames(chunks)):
                 piece = unzip.decompress(frame, max_output_size=c["size"])
                 if xxhash.xxh3_128_digest(piece) != c["digest"]:
                     raise ValueError(f"chunk at {c['path']}:{c['at']} is damaged")

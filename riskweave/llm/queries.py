@@ -67,7 +67,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))  # nothing is learned from rows without doc_id
     dictionaries = langid.fit(docs.where(~held_out))
     return langid.identify(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -110,6 +110,27 @@ def test_gear_hash_rolls_and_cuts_recur():
     assert all(b - a <= media.MOST for a, b in zip([0, *sorted(one)], sorted(one)))
 
 
+def test_equal_chunks_have_one_place(spark):
+    """Copies of a long text in many files: every reference to a digest has the same place, and neighbours are read at once."""
+    long = " ".join(f"w{i * 7919 % 10007}" for i in range(20_000))
+    docs = frame(spark, [long, f"x {long}", long, f"{long} y"], parts=4)
+    lists = [r["chunks"] for r in media.store(docs.drop("payload"), new_folder(spark, "m"), "text", "doc_id").collect()]
+    places: dict[bytes, set] = {}
+    for chunks in lists:
+        for c in chunks:
+            places.setdefault(bytes(c["digest"]), set()).add((c["path"], c["at"], c["stored"]))
+    assert all(len(p) == 1 for p in places.values()) and sum(map(len, lists)) > 2 * len(places)
+    runs = [media.joined_places([c.asDict() for c in chunks]) for chunks in lists]
+    assert all([c for run in r for c in run] == [c.asDict() for c in chunks] for r, chunks in zip(runs, lists))
+    assert min(len(r) for r in runs) < min(len(c) for c in lists) / 4
+
+
+def test_media_where_ids_repeat_or_lack(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "b"), (3, "a"), (3, "a"), (3, None)], "doc_id long, text string")
+    found = media.read(media.store(docs, new_folder(spark, "m"), "text", "doc_id")).collect()
+    assert Counter((r["id"], bytes(r["payload"]).rstrip(b"\0")) for r in found) == Counter([(None, b"a"), (None, b"b"), (3, b"a"), (3, b"a"), (3, b"")])
+
+
 def test_damaged_chunk_is_refused(spark):
     stored = media.store(frame(spark, ["some text"]), new_folder(spark, "m"), "text", "doc_id").toPandas()
     chunk = stored["chunks"][0][0].asDict()
@@ -137,6 +158,23 @@ def test_language_keeps_prose(spark):
     assert not [t for t in gone if len((t or "").split()) > 10 and any(c.isalpha() for c in t)]
 
 
+def test_language_learns_every_one(spark):
+    """More languages than a round number of them, each with words of its own, and one doc_id for many rows."""
+    rows = [(7 if k % 2 else 1000 * n + k, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{w}" for w in ("sun", "moon", "tree", "river", "stone")), f"l{n:03}") for n in range(150) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(docs, all_docs=150 * 2)
+    assert sorted(name for name, _ in model) == [f"l{n:03}" for n in range(150)]
+    classify = langid.Classifier(model)
+    assert sum(classify(t)[0] == lang for _, t, lang in rows) > 0.95 * len(rows)
+
+
+def test_language_where_ids_repeat_or_lack(spark):
+    docs = spark.createDataFrame([(None, "the cat sat on the mat", "en"), (None, "the cat sat on the mat", "en"), (1, "die Katze sitzt", "de"), (1, "the dog", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.fit(docs)).collect()
+    assert Counter((r["doc_id"], r["lang_pred"]) for r in found) == Counter([(None, "en"), (None, "en"), (1, "de"), (1, "en"), (2, "und")])
+    assert langid.accepted(docs, langid.fit(docs), 0.0).count() == 4
+
+
 def test_language_ties_go_to_the_commonest():
     model = [("xx", b"the same words in both\n"), ("aa", b"the same words in both\n")]
     assert langid.Classifier(model)("The same words in both, and more.") == ("xx", 0.0)
