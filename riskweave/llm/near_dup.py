@@ -240,7 +240,10 @@ def second_search(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width
     open_ = cut(grouped(labelled, mixed, "key").select("row", "component").distinct().join(texts, "row").withColumn("bytes", F.octet_length("text").cast("long")))
     common, place = _common(open_, width)
     tokens = cut(open_.mapInArrow(lambda it: _prefixes(it, width, percent, common, place), "token long, row long, component long, bytes long, smaller boolean"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("smaller")).where("lo < hi AND smaller")
+    # Tokens with the same documents are one: those documents meet once.
+    who = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("smaller"), *who).where("lo < hi AND smaller")
+    shared = shared.groupBy("who1", "who2", "n", "bytes").agg(F.min("token").alias("token"))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     met = grouped(tokens, cut(shared.select("token", "n", blocks.alias("blocks"))), "token").select("token", "row", "component", "blocks")
     met = met.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
