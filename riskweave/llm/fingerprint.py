@@ -18,13 +18,17 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, grouped, slices, source, width
+from .common import HEAVY, batch_of, cut, slices, source, width
+
+#: Bits of the map of shared fingerprints, at most.
+MOST_BITS = 1 << 27
 
 
 def canonical(text: str | None) -> bytes:
@@ -36,35 +40,56 @@ def canonical(text: str | None) -> bytes:
     return " ".join(text.split()).encode()
 
 
-def fingerprint(form: bytes) -> str:
-    return xxhash.xxh3_128_hexdigest(form)
+def fingerprint(form: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(form)
+
+
+def _form(form: bytes) -> bytes:
+    """Tells forms of one fingerprint apart once their bytes are compared."""
+    return hashlib.sha256(form).digest()[:16]
+
+
+def _bits(prints: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """Which places the last four bytes of these fingerprints (fingerprint) name, of a power of two; at most `most`."""
+    size = min(most, 1 << max(16, (16 * prints.count()).bit_length()))
+    at = F.conv(F.hex(F.substring("fingerprint", 13, 4)), 16, 10).cast("long") % size
+    words = prints.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toPandas()  # size / 64 rows
+    out = np.zeros(size // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def _forms(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string()), ("canonical", pa.binary())])
+def _forms(batches, bits: np.ndarray):
+    """Canonical bytes of the documents whose fingerprint has its bit set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.binary()), ("canonical", pa.binary())])
     for part in slices(batches, "text"):
         forms = [canonical(t) for t in part["text"].to_pylist()]
-        yield batch_of(schema, {"doc_id": part["doc_id"], "fingerprint": [fingerprint(f) for f in forms], "canonical": forms})
+        prints = [fingerprint(f) for f in forms]
+        at = np.frombuffer(b"".join(p[-4:] for p in prints), ">u4").astype(np.int64) % (64 * len(bits))
+        on = np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)).tolist()
+        yield batch_of(schema, {"doc_id": part["doc_id"].take(pa.array(on, pa.int64())), "fingerprint": [prints[i] for i in on], "canonical": [forms[i] for i in on]})
 
 
 def equal_groups(docs: DataFrame, printed: DataFrame) -> DataFrame:
     """Add group_id, the least doc_id with the same canonical bytes, to `printed` (doc_id, fingerprint, form, ...) of the same `docs` (doc_id, text).
 
-    Only documents that share a fingerprint are read again; their bytes decide.
+    Only bytes of documents that may share a fingerprint are shuffled: a bit map of the
+    shared ones, of bounded size, leaves out most others where the texts are read.
     """
-    counts = cut(printed.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")))
-    several = cut(counts.where("n > 1").select("fingerprint", "n"))
-    members = grouped(docs.mapInArrow(_forms, "doc_id long, fingerprint string, canonical binary"), several, "fingerprint")
-    own = cut(members.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("own")).select("fingerprint", "own", F.unhex(F.sha2("canonical", 256)).alias("bytes")))
-    apart = cut(own.join(own.groupBy("fingerprint").count().where("count > 1").drop("count"), "fingerprint"))
-    joined = grouped(printed, counts, "fingerprint").drop("n")
-    alone = joined.join(apart.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    split = joined.join(apart, (joined["fingerprint"] == apart["fingerprint"]) & (joined["form"] == apart["bytes"])).select(*(joined[c] for c in printed.columns), F.col("own").alias("group_id"))
-    return alone.withColumnRenamed("least", "group_id").select(*printed.columns, "group_id").unionByName(split)
+    shared = cut(printed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(shared))
+    forms = docs.mapInArrow(lambda it: _forms(it, bits.value), "doc_id long, fingerprint binary, canonical binary")
+    own = forms.groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
+    own = cut(own.where("n > 1").select("fingerprint", F.substring(F.unhex(F.sha2("canonical", 256)), 1, 16).alias("form"), "group_id", "n"))
+    total, key = own.agg(F.sum("n")).first()[0] or 0, ["fingerprint", "form"]
+    hot, rest = F.broadcast(own.where(F.col("n") * HEAVY > total).drop("n")), own.where(F.col("n") * HEAVY <= total).drop("n")
+    cold = printed.join(hot.select(*key), key, "left_anti").join(rest, key, "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
+    columns = [*printed.columns, "group_id"]
+    return cold.select(*columns).unionByName(printed.join(hot, key).select(*columns))
 
 
-_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("form", pa.binary())]
-_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, form binary"
+_RESULT = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.bool_()), ("near_next", pa.bool_()), ("form", pa.binary())]
+_DDL = "doc_id long, n_chars long, edited binary, fingerprint binary, edited_fingerprint binary, near_edited boolean, near_next boolean, form binary"
 
 
 def _edited(doc, text: str, form: bytes, after: str, after_form: bytes) -> tuple:
@@ -72,8 +97,8 @@ def _edited(doc, text: str, form: bytes, after: str, after_form: bytes) -> tuple
     edited = text[: n - n // 2] + after[: n // 2]
     forms = form, canonical(edited), after_form
     prints = [fingerprint(f) for f in forms]
-    near = [float(prints[0] == p and form == f) for p, f in zip(prints[1:], forms[1:])]
-    return doc, n, hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], *near, hashlib.sha256(form).digest()
+    near = [prints[0] == p and form == f for p, f in zip(prints[1:], forms[1:])]
+    return doc, n, hashlib.sha256(edited.encode()).digest(), *prints[:2], *near, _form(form)
 
 
 def _in_order(batches):
@@ -116,5 +141,9 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     order = heads.select("part").withColumn("next", following)  # a number for each range
     after = heads.select(F.col("part").alias("next"), F.col("text").alias("after"))
     tails = rows.where("kind = 2").select("part", "doc_id", "text").join(order, "part").join(after, "next").select("doc_id", "text", "after").mapInArrow(_tails, _DDL)
-    printed = cut(rows.where("kind = 0").drop("kind", "part", "text").unionByName(tails))
-    return equal_groups(docs, printed).drop("form")
+    printed = rows.where("kind = 0").drop("kind", "part", "text").unionByName(tails)
+    hexed = lambda c: F.lower(F.hex(c))
+    return equal_groups(docs, printed).select(
+        "doc_id", "n_chars", hexed("edited").alias("edited_sha256"), hexed("fingerprint").alias("fingerprint"), hexed("edited_fingerprint").alias("edited_fingerprint"),
+        F.col("near_edited").cast("double").alias("near_edited"), F.col("near_next").cast("double").alias("near_next"), "group_id",
+    )

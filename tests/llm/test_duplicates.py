@@ -150,9 +150,9 @@ def test_equal_groups_compare_bytes(spark, monkeypatch):
     assert {r["doc_id"]: r["group_id"] for r in found} == {1: 1, 4: 1, 7: 7, 10: 1, 13: 13, 16: 13, 19: 19}
     docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "A B"), (4, "C"), (5, "d")], "doc_id long, text string")
     # As if all of them had one fingerprint: the bytes still tell them apart.
-    printed = docs.selectExpr("doc_id", "'x' AS fingerprint", "unhex(sha2(lower(text), 256)) AS form")
-    alike = lambda batches: (b.set_column(1, "fingerprint", pa.array(["x"] * b.num_rows)) for b in forms(batches))
+    printed = docs.selectExpr("doc_id", "cast(repeat('x', 16) AS binary) AS fingerprint", "substring(unhex(sha2(lower(text), 256)), 1, 16) AS form")
     forms = fingerprint._forms
+    alike = lambda batches, bits: (b.set_column(1, "fingerprint", pa.array([b"x" * 16] * b.num_rows)) for b in forms(batches, ~np.zeros_like(bits)))
     monkeypatch.setattr(fingerprint, "_forms", alike)
     assert {r["doc_id"]: r["group_id"] for r in fingerprint.equal_groups(docs, printed).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5}
 
