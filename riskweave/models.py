@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import reply
-from .schema import ATTEMPTS
+from .schema import ATTEMPTS, RUN_FAILED, RUN_INVALID
 
 
 class CheckError(Exception):
@@ -52,32 +52,48 @@ class Chat:
         return self.client([*head, {"role": "user", "content": self.template.replace("{message}", message)}], self.options)
 
 
+#: The parameters of known chat models by id: temperature and seconds of an attempt.
+CHAT_PARAMETERS = {"deepseek": {"temperature": 0.6, "timeout": 120}, "glm4": {"temperature": 0, "timeout": 60}, "qwen25": {"temperature": 0, "timeout": 60}}
+
+
+def chat(family: str, client: Callable[[list[dict], dict], str], **more) -> Chat:
+    """A chat model of a known family with its parameters."""
+    return Chat(client, **(CHAT_PARAMETERS[family] | more))
+
+
 class Registry:
     """Model factories by id, with display name and description."""
 
     def __init__(self):
         self.entries: dict[str, tuple[Callable[[], Model], str, str]] = {}
+        self._made: dict[str, Model | None] = {}
 
     def register(self, model_id: str, factory: Callable[[], Model], display_name: str = "", description: str = "") -> None:
         self.entries[model_id] = (factory, display_name or model_id, description)
+        self._made.pop(model_id, None)
 
-    def _available(self, model_id: str) -> bool:
-        try:
-            return bool(self.entries[model_id][0]().detect())
-        except Exception:  # a model that can't start is unavailable, never fatal
-            return False
+    def _model(self, model_id: str) -> Model | None:
+        """The model, made and detected once; none if it's unavailable."""
+        if model_id not in self._made:
+            try:
+                model = self.entries[model_id][0]()
+                self._made[model_id] = model if model.detect() else None
+            except Exception:  # a model that can't start is unavailable, never fatal
+                self._made[model_id] = None
+        return self._made[model_id]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, name, text, self._available(k)) for k, (_, name, text) in self.entries.items()]
+        rows = [(k, name, text, self._model(k) is not None) for k, (_, name, text) in self.entries.items()]
         return spark.createDataFrame(rows, "model_id string, display_name string, description string, available boolean")
 
     def available(self, spark: SparkSession) -> DataFrame:
         return self.table(spark).where("available")
 
     def get(self, model_id: str) -> Model:
-        if model_id not in self.entries or not self._available(model_id):
+        model = self._model(model_id) if model_id in self.entries else None
+        if model is None:
             raise KeyError(model_id)
-        return self.entries[model_id][0]()
+        return model
 
 
 _made: dict[int, Model | None] = {}
@@ -103,12 +119,12 @@ def run(messages: DataFrame, factory: Callable[[], Model], column: str = "conten
         try:
             score, reason = model.check(text or "")
             if isinstance(score, bool) or not math.isfinite(score := float(score)) or not 0 <= score <= 100:
-                raise CheckError("invalid score")
+                raise CheckError(RUN_INVALID)
             return True, score, reason, None
         except CheckError as e:
-            return True, None, None, str(e).strip() or "failed"
+            return True, None, None, str(e).strip() or RUN_FAILED
         except Exception:
-            return True, None, None, "failed"
+            return True, None, None, RUN_FAILED
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(key, factory)
@@ -120,20 +136,27 @@ def run(messages: DataFrame, factory: Callable[[], Model], column: str = "conten
 
 
 def run_chat(messages: DataFrame, make: Callable[[], Chat], column: str = "content", attempts: int = ATTEMPTS) -> DataFrame:
-    """Ask a chat model about each message, up to `attempts` times while the call fails, and check the replies: adds reply, ok, score, reason."""
+    """Ask a chat model about each message and check the replies: adds reply, ok, score, reason.
+
+    A message whose call fails or whose reply isn't valid is asked again, up to `attempts`
+    times in all; details of a failed call aren't passed on.
+    """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in messages.schema)}, reply string"
 
-    def ask(chat: Chat, text) -> str | None:
+    def ask(chat: Chat, text) -> str:
+        found = ""
         for _ in range(attempts):
             try:
-                return chat.ask(text or "")
+                found = chat.ask(text or "") or ""
             except Exception:
                 continue
-        return None
+            if reply.acceptable(found):
+                break
+        return found
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = make()
         for frame in frames:
             yield frame.assign(reply=[ask(chat, t) for t in frame[column]])
 
-    return reply.checked(messages.mapInPandas(part, schema).withColumn("reply", F.coalesce("reply", F.lit(""))))
+    return reply.checked(messages.mapInPandas(part, schema))

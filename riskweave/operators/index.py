@@ -9,7 +9,7 @@ import hashlib
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, words
@@ -21,7 +21,8 @@ DIGESTED = 64
 
 
 def tokenized(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
-    return docs.select(*key, tokenizer(F.col("content")).alias("tokens"))
+    """(key, tokens). The tokens pass through a generator, so that no later use of them tokenizes the text again."""
+    return docs.select(*key, F.explode(F.array(tokenizer(F.col("content")))).alias("tokens"))
 
 
 def doc_lengths(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
@@ -30,7 +31,18 @@ def doc_lengths(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenize
 
 
 def postings(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
-    return tokenized(docs, key, tokenizer).select(*key, F.explode("tokens").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). A row is a document, so its terms are counted in place, as runs of its sorted tokens; nothing is shuffled."""
+    rows = tokenized(docs, key, tokenizer).select(*key, F.sort_array("tokens").alias("_sorted")).where(F.size("_sorted") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", F.greatest(i - 1, F.lit(0)))))
+    rows = rows.withColumn("_begins", begins)
+    ends = F.concat(F.slice("_begins", 2, F.size("_begins")), F.array(F.size("_sorted")))
+    runs = rows.select(*key, "_sorted", F.explode(F.arrays_zip(F.col("_begins").alias("a"), ends.alias("b"))).alias("_run"))
+    return runs.select(*key, F.get("_sorted", F.col("_run.a")).alias("term"), (F.col("_run.b") - F.col("_run.a")).cast("long").alias("tf"))
+
+
+def file_stats(lengths: DataFrame) -> DataFrame:
+    """(_file, doc_count, total_length)."""
+    return lengths.groupBy("_file").agg(F.count("*").alias("doc_count"), F.sum("length").alias("total_length"))
 
 
 def file_df(postings_: DataFrame) -> DataFrame:
@@ -43,10 +55,20 @@ def term_df(docs: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokenizer(F.col("content")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+def with_mean(counts: DataFrame) -> DataFrame:
+    """Add avgdl, total_length over doc_count rounded to six places; 0 of no documents."""
+    return counts.withColumn("avgdl", F.round(F.when(F.col("doc_count") > 0, F.col("total_length") / F.nullif(F.col("doc_count"), F.lit(0))).otherwise(0.0), 6))
+
+
 def global_meta(lengths: DataFrame) -> DataFrame:
     """One row: doc_count, total_length, avgdl rounded to six places."""
-    out = lengths.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_length"))
-    return out.withColumn("avgdl", F.round(F.when(F.col("doc_count") > 0, F.col("total_length") / F.nullif(F.col("doc_count"), F.lit(0))).otherwise(0.0), 6))
+    return with_mean(lengths.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_length")))
+
+
+def stored_meta(stats: DataFrame) -> DataFrame:
+    """As `global_meta`, from the counts of each file."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return with_mean(stats.agg(total("doc_count"), total("total_length")))
 
 
 def idf(doc_count: Column, df: Column) -> Column:
@@ -126,23 +148,33 @@ def _prune(spark, path: str, files: set[str]) -> None:
 
 
 def write_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words) -> None:
-    """Write postings (sorted by term), doc_lengths, terms and manifest of the files in `messages`; other files' parts stay."""
-    posts = postings(messages, tokenizer=tokenizer)
-    parts = {
-        "postings": posts.repartition("_file", "term").sortWithinPartitions("_file", "term"),
-        "doc_lengths": doc_lengths(messages, tokenizer=tokenizer),
-        "terms": file_df(posts).sortWithinPartitions("term"),
-        "manifest": manifest(messages),
-    }
-    for name, part in parts.items():
+    """Write postings (sorted by term), doc_lengths, terms, stats and manifest of the files in `messages`; other files' parts stay."""
+    spark = messages.sparkSession
+
+    def write(name: str, part: DataFrame) -> DataFrame:
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(f"{path}/{name}")
+        return read_part(spark, path, name)
+
+    files = messages.select("_file").distinct()
+    mine = lambda part: part.join(files, "_file", "left_semi")  # what was just written, not other files' parts
+    posts = write("postings", postings(messages, tokenizer=tokenizer).repartition("_file", "term").sortWithinPartitions("_file", "term"))
+    lengths = write("doc_lengths", doc_lengths(messages, tokenizer=tokenizer))
+    write("terms", mine(file_df(posts)).sortWithinPartitions("term"))
+    write("stats", mine(file_stats(lengths)))
+    write("manifest", manifest(messages))
+
+
+def read_part(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of an index's tables; file names stay text, whatever they look like."""
+    part = spark.read.parquet(f"{path}/{name}")
+    return part.withColumn("_file", F.col("_file").cast("string"))
 
 
 def refresh_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words) -> list[str]:
     """Bring an index up to date: rebuild files that are new or changed, prune those that are gone. Gives the files rebuilt."""
     spark = messages.sparkSession
     try:
-        old = spark.read.parquet(f"{path}/manifest").withColumn("_file", F.col("_file").cast("string"))
+        old = read_part(spark, path, "manifest")
     except Exception as e:  # no index yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -150,7 +182,7 @@ def refresh_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words)
     found = {r["_file"]: r["status"] for r in manifest_diff(old, manifest(messages)).where("status <> 'unchanged'").collect()}  # a row for each changed file
     fresh = sorted(f for f, s in found.items() if s != "removed")
     if gone := {f for f, s in found.items() if s == "removed"}:
-        for name in ("postings", "doc_lengths", "terms", "manifest"):
+        for name in ("postings", "doc_lengths", "terms", "stats", "manifest"):
             _prune(spark, f"{path}/{name}", gone)
     if fresh:
         write_index(messages.join(F.broadcast(spark.createDataFrame([(f,) for f in fresh], "_file string")), "_file", "left_semi"), path, tokenizer)

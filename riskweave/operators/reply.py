@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,19 @@ def prompt(template: str, message: Column) -> Column:
     return F.replace(F.lit(template), F.lit("{message}"), message)
 
 
+def acceptable(reply: str) -> bool:
+    """The rules of `checked` for one reply, for a client that is to be asked again at once."""
+    text = re.sub(r"(?s)<think(?:ing)?>.*?</think(?:ing)?>", "", reply).split(END_OF_THINKING)[-1]
+    found = re.search(r"(?s)\{.*\}", text)
+    try:
+        pairs = json.loads(found[0] if found else text, object_pairs_hook=list, parse_constant=lambda _: None)
+        (_, reason), (_, score) = sorted(pairs) if sorted(k for k, _ in pairs) == ["reason", "risk_score"] else ()
+    except (ValueError, TypeError):
+        return False
+    number = isinstance(score, int | float) and not isinstance(score, bool) and 0 <= score <= 100
+    return number and isinstance(reason, str) and reason.strip() != "" and len(reason) <= REASON_LIMIT
+
+
 def checked(replies: DataFrame, column: str = "reply") -> DataFrame:
     """Add score, reason and ok: an object of exactly risk_score (a number from 0 to 100) and reason (text that isn't blank, at most 2000 characters)."""
     text = json_object(cleaned(F.col(column)))

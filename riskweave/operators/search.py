@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, words
 from ..schema import B, K1, SEARCH_LIMIT
-from .index import KEY, global_meta, idf
+from .index import KEY, idf, read_part, stored_meta, tokenized, with_mean
 
 
 def query_terms(spark: SparkSession, query: str, tokenizer: Tokenizer = words) -> list[str]:
@@ -20,30 +20,46 @@ def weight(idf_: Column, tf: Column, length: Column, avgdl: Column, k1: float =
     return idf_ * tf * (k1 + 1) / F.nullif(tf + k1 * (1 - b + b * length / avgdl), F.lit(0.0))
 
 
-def _scored(hits: DataFrame, stats: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
+def _scored(hits: DataFrame, df: DataFrame, stats: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """`df` has as many rows as the query has terms, `stats` has one."""
     part = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats.where("avgdl > 0")))
     score = weight(idf(F.col("doc_count"), F.col("df")), F.col("tf"), F.col("length"), F.col("avgdl"))
     return part.groupBy(*key).agg(F.sum(score).alias("score"))
 
 
 def scores(docs: DataFrame, terms: list[str], key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
-    """(key, score) of every document with a query term.
+    """(key, score) of every document with a query term; a row is a document.
 
-    Texts are tokenized once; only the query's tokens are exploded, so what is shuffled is
-    a row for each document and term that match.
+    One pass over the texts gives the statistics of all documents and the number of
+    documents with each term, another the counts of the terms in each row, in place. Scores
+    are sums within a row, so only a row for each document that matches leaves its task.
+    A collection that is searched more than once should have an index.
     """
-    tokens = docs.select(*key, tokenizer(F.col("content")).alias("tokens")).select(*key, F.size("tokens").cast("long").alias("length"), F.filter("tokens", lambda t: t.isin(terms) if terms else F.lit(False)).alias("found"))
-    hits = tokens.where(F.size("found") > 0).select(*key, "length", F.explode("found").alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    return _scored(hits, global_meta(tokens), key)
-
-
-def indexed_scores(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """As `scores`, over a written index; the terms are pushed down to the postings' scan."""
-    lengths = spark.read.parquet(f"{path}/doc_lengths")
-    found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(terms) if terms else F.lit(False))
-    hits = found.join(lengths, list(KEY), "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    return _scored(hits, global_meta(lengths), KEY)
+    tokens = tokenized(docs, key, tokenizer)
+    has = [F.count_if(F.array_contains("tokens", F.lit(t))).alias(f"_{k}") for k, t in enumerate(terms)]
+    stats = tokens.agg(F.count("*").alias("doc_count"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("long").alias("total_length"), *has)
+    stats = with_mean(stats).where("avgdl > 0").drop("total_length")
+    count = lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("long")
+    found = tokens.where(F.arrays_overlap("tokens", F.array(*map(F.lit, terms)).cast("array<string>"))).select(*key, F.size("tokens").cast("long").alias("length"), F.array(*map(count, terms)).cast("array<bigint>").alias("tfs"))
+    both = found.crossJoin(F.broadcast(stats))  # one row
+    part = [F.when(F.col("tfs")[k] > 0, weight(idf(F.col("doc_count"), F.col(f"_{k}")), F.col("tfs")[k], F.col("length"), F.col("avgdl"))).otherwise(0.0) for k in range(len(terms))]
+    score = part[0] if part else F.lit(0.0)
+    for p in part[1:]:
+        score = score + p
+    return both.select(*key, score.alias("score"))
+
+
+def indexed_scores(spark: SparkSession, path: str, terms: list[str], key: tuple[str, ...] = KEY) -> DataFrame:
+    """As `scores`, over a written index: the terms are pushed down to the scans of postings and of stored document frequencies; statistics are stored, too."""
+    wanted = F.col("term").isin(terms) if terms else F.lit(False)
+    df = read_part(spark, path, "terms").where(wanted).groupBy("term").agg(F.sum("df").alias("df"))
+    hits = read_part(spark, path, "postings").where(wanted).join(read_part(spark, path, "doc_lengths"), list(key), "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return _scored(hits, df, stored_meta(read_part(spark, path, "stats")), key)
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int = SEARCH_LIMIT, tokenizer: Tokenizer = words) -> DataFrame:
+    """The keys and scores of the best messages of an index."""
+    return top(indexed_scores(spark, path, query_terms(spark, query, tokenizer)), limit)
 
 
 def top(scored: DataFrame, limit: int = SEARCH_LIMIT, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import FALSE, TRUE, VALIDATION_SHARE
+from ..schema import FALSE, LABEL_MEANING, TRUE, VALIDATION_SHARE
 
 
 def dataset(messages: DataFrame) -> DataFrame:
@@ -45,6 +45,27 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(correct.alias("correct"), F.count("*").alias("total")).withColumn("accuracy", F.col("correct") / F.greatest("total", F.lit(1)))
 
 
+def best_so_far(epochs: DataFrame) -> DataFrame:
+    """Add to (epoch, accuracy, ...) best, the best accuracy up to the epoch, and saved, whether the epoch reaches it. A row for each epoch."""
+    before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return epochs.withColumn("best", F.greatest(F.lit(0.0), F.max("accuracy").over(before))).withColumn("saved", F.col("accuracy") >= F.col("best"))
+
+
+def save(model, folder: str, samples: int, val_accuracy: float, trained_at: str, base_model: str = "logistic_regression") -> None:
+    """Write a fitted model to folder/model and what it was trained on to folder/train_meta, one JSON record."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{folder}/model")
+    meaning = F.create_map(F.lit("0"), F.lit(LABEL_MEANING[0]), F.lit("1"), F.lit(LABEL_MEANING[1]))
+    meta = spark.range(1).select(F.lit(base_model).alias("base_model"), F.lit(samples).alias("samples"), F.round(F.lit(val_accuracy), 4).alias("val_accuracy"), meaning.alias("label_meaning"), F.lit(trained_at).alias("trained_at"))
+    meta.coalesce(1).write.mode("overwrite").json(f"{folder}/train_meta")
+
+
+def load(folder: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(f"{folder}/model")
+
+
 def fit_classifier(data: DataFrame, features: int = 1 << 16, iterations: int = 20):
     """A logistic regression over hashed words; its probability of label 1, times 100, is a risk score."""
     from pyspark.ml import Pipeline

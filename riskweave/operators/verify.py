@@ -7,7 +7,7 @@ empty signature skips the check. A null field of an edit is left alone, "" empti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, skip_key
@@ -59,13 +59,12 @@ def statuses(messages: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def update(messages: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply the edits that are ok; at most one edit a row."""
+    """Apply the edits that are ok. Of several of one row one applies: those with a signature come first, then the least in its values."""
     fields = [c for c in COLUMNS if c in edits.columns]
-    named = edits.select(*KEY, "signature", *(F.col(c).alias(f"_new_{c}") for c in fields))
-    joined = messages.join(named, KEY, "left")
-    applies = (F.coalesce(F.col("signature"), F.lit("")) == "") | (F.col("signature") == F.col("_signature"))
-    changed = joined.withColumns({c: F.when(applies & F.col(f"_new_{c}").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields})
-    return changed.drop("signature", *(f"_new_{c}" for c in fields)).withColumn("_signature", signature())
+    free = F.coalesce(F.col("signature"), F.lit("")) == ""
+    ok = statuses(messages, edits).where("status = 'ok'").select(*KEY, F.struct(free.alias("free"), *fields).alias("edit"))
+    joined = messages.join(ok.groupBy(*KEY).agg(F.min("edit").alias("_edit")), KEY, "left")
+    return joined.withColumns({c: F.coalesce(F.col("_edit")[c], F.col(c)) for c in fields}).drop("_edit").withColumn("_signature", signature())
 
 
 def label(messages: DataFrame, edits: DataFrame, at: str | None = None) -> DataFrame:
@@ -76,19 +75,21 @@ def label(messages: DataFrame, edits: DataFrame, at: str | None = None) -> DataF
 def delete(messages: DataFrame, edits: DataFrame) -> DataFrame:
     """Delete rows whose edit is ok; later rows of the file move up.
 
-    How far a row moves is the number of deleted rows before it, found from the deleted
-    rows alone, within ranges of rows, so a large file needs no window over all its rows.
+    How far a row moves is the number of deleted rows before it: a running count within
+    ranges of rows, and the counts of the ranges before, so a file of any size is spread
+    over many tasks and no row carries a list.
     """
     size = 65_536
+    range_ = F.floor(F.col("_row") / size)
     gone = statuses(messages, edits).where("status = 'ok'").select(*KEY).distinct()
-    ranges = gone.groupBy("_file", F.floor(F.col("_row") / size).alias("_range")).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    files = ranges.groupBy("_file").agg(F.collect_list(F.struct("_range", F.size("_rows").alias("n"))).alias("_counts"))
-    kept = messages.join(gone, KEY, "left_anti").withColumn("_range", F.floor(F.col("_row") / size))
-    joined = kept.join(ranges, ["_file", "_range"], "left").join(files, "_file", "left")
-    earlier = F.coalesce(F.aggregate(F.filter("_counts", lambda c: c["_range"] < F.col("_range")), F.lit(0), lambda a, c: a + c["n"]), F.lit(0))
-    here = F.coalesce(F.size(F.filter("_rows", lambda r: r < F.col("_row"))), F.lit(0))
-    moved = F.col("_row") - earlier - F.when(F.col("_rows").isNull(), 0).otherwise(here)
-    return joined.withColumn("_row", moved).drop("_range", "_rows", "_counts")
+    ahead = Window.partitionBy("_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    gone_of = gone.groupBy("_file", range_.alias("_range")).agg(F.count("*").alias("n"))
+    # Every range of a touched file, with the deletions before it.
+    ranges = messages.select("_file", range_.alias("_range")).distinct().join(gone_of, ["_file", "_range"], "left").select("_file", "_range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))
+    flagged = messages.join(gone.withColumn("_gone", F.lit(1)), KEY, "left").withColumn("_range", range_)
+    before = Window.partitionBy("_file", "_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    moved = flagged.withColumn("_before", F.count("_gone").over(before)).where("_gone IS NULL").join(ranges, ["_file", "_range"])
+    return moved.withColumn("_row", F.col("_row") - F.col("_before") - F.col("_ahead")).select(*messages.columns)
 
 
 def append(messages: DataFrame, values: dict[str, str], file: str = "manual.csv", at: str | None = None) -> DataFrame:

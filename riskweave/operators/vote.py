@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import label, level, valid_score
 from ..functions.values import strip
-from ..schema import MESSAGE_LIMIT
+from ..schema import MESSAGE_LIMIT, RUN_FAILED, RUN_INVALID
 
+#: Sentences that users see.
 UNAVAILABLE, BAD_SCORE, BAD_REASON = "该模型当前不可用，请检查本地服务和模型权重", "模型返回了无效的风险分数", "模型未返回有效的风险说明"
+FAILED = "模型检测失败，请稍后重试"
 CLOSING = "语言风险不代表事实真假，模型一致也不等于事实已被核实。"
 
 
@@ -27,20 +29,45 @@ def request_error(message: Column, models: Column, known: list[str] | None = Non
     )
 
 
-def member(output: Column) -> Column:
-    """A member record of a model output (ordinal, model_id, available, score, reason)."""
+def member(output: Column, told: Column | None = None) -> Column:
+    """A member record of a model output (ordinal, model_id, available, score, reason); `told` is the text of an error at run time, if there was one."""
     score, reason = valid_score(output["score"]), strip(F.coalesce(output["reason"], F.lit("")))
-    ok = output["available"] & score.isNotNull() & (reason != "")
+    told = F.lit(None).cast("string") if told is None else told
+    ok = output["available"] & told.isNull() & score.isNotNull() & (reason != "")
     kept = F.when(ok, score)
-    error = F.when(~output["available"], UNAVAILABLE).when(score.isNull(), BAD_SCORE).when(reason == "", BAD_REASON)
+    said = F.when(strip(told).isin("", RUN_FAILED), FAILED).when(told == RUN_INVALID, BAD_SCORE).otherwise(strip(told))
+    error = F.when(~output["available"], UNAVAILABLE).when(told.isNotNull(), said).when(score.isNull(), BAD_SCORE).when(reason == "", BAD_REASON)
     status = F.when(~output["available"], "unavailable").when(ok, "ok").otherwise("error")
     shown = F.when(~output["available"], "模型不可用").when(ok, label(level(kept))).otherwise("检测失败")
     return F.struct(output["ordinal"].alias("ordinal"), output["model_id"].alias("model_id"), status.alias("status"), kept.alias("score"), level(kept).alias("level"), shown.alias("label"), F.when(ok, reason).otherwise("").alias("reason"), error.alias("error"))
 
 
 def members(outputs: DataFrame, column: str = "outputs") -> DataFrame:
-    """Replace the outputs by an array of member records."""
-    return outputs.withColumn("members", F.transform(column, member)).drop(column)
+    """Replace the outputs by an array of member records; outputs may have a further field `error`, as `models.run` gives it."""
+    fields = outputs.schema[column].dataType.elementType.names
+    one = lambda o: member(o, o["error"] if "error" in fields else None)
+    return outputs.withColumn("members", F.transform(column, one)).drop(column)
+
+
+def selected(requests: DataFrame, registry: DataFrame, models: str = "models") -> DataFrame:
+    """Requests with the models they select, in order: `selected`, an array of (ordinal, model_id, display_name, available).
+
+    The registry (model_id, display_name, available) is a short table and is joined once;
+    an id that it hasn't is unavailable and shown by its id.
+    """
+    known = registry.agg(F.map_from_entries(F.collect_list(F.struct("model_id", F.struct("display_name", "available")))).alias("_known"))  # one row
+    one = lambda m, k: F.struct(k.alias("ordinal"), m.alias("model_id"), F.coalesce(F.col("_known")[m]["display_name"], m).alias("display_name"), F.coalesce(F.col("_known")[m]["available"], F.lit(False)).alias("available"))
+    return requests.crossJoin(F.broadcast(known)).withColumn("selected", F.transform(models, one)).drop("_known")
+
+
+def available_count(registry: DataFrame) -> DataFrame:
+    """One row: models and how many of them are available."""
+    return registry.agg(F.count("*").alias("models"), F.count_if("available").alias("available"))
+
+
+def elapsed(started: Column, ended: Column) -> Column:
+    """Seconds between two timestamps, to three places."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(started)) / 1_000_000, 3)
 
 
 def _decide(df: DataFrame) -> DataFrame:

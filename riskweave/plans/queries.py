@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import risk, text, values
 from ..operators import batch, display, evaluate, hot_terms, index, reply, search, sessions, training, verify, vote
 from ..schema import HOT_MIN_DF
+from ..session import shared_folder
+from ..sources import messages as files
 from ..sources import testdata as td
 from . import oracle as sql
 
@@ -115,9 +117,104 @@ def hot_terms_stopwords(spark, d):
     return hot_terms.hot_terms(td.contents(spark, d), limit=30, min_df=HOT_MIN_DF, stop=stop)
 
 
+@query(sql.hot("AND substring(term, 1, 1) < 'n'", 20, "SELECT * FROM hot"))
+def hot_terms_pos(spark, d):
+    """With a tagger that takes terms from a to m for nouns and others for particles."""
+    tag = lambda term: F.when(F.substring(term, 1, 1) < "n", "n").otherwise("u")
+    return hot_terms.hot_terms(td.contents(spark, d), pos=tag)
+
+
+@query(sql.hot("AND false", 20, "SELECT * FROM hot"))
+def hot_terms_limit_zero(spark, d):
+    return hot_terms.hot_terms(td.contents(spark, d), limit=0)
+
+
+# ------------------------------------------------------------------ a stored index
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    """An index of the messages, written once for each application and table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = shared_folder(spark, "index")
+        index.write_index(td.messages(spark, d), path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+@query(sql.bm25(QUERY, "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)"))
+def bm25_indexed(spark, d):
+    """Postings, document frequencies and statistics come from the index; no text is read."""
+    found = search.indexed_scores(spark, _index(spark, d), search.query_terms(spark, QUERY))
+    return found.select("_file", "_row", F.round("score", 6).alias("score"))
+
+
+@query(sql.bm25("mit license", "SELECT m._file, m._row, h.score, m.content FROM (SELECT s.score, m.* FROM scores s JOIN signed m USING (doc_id) ORDER BY s.score DESC, m._file, m._row LIMIT 3) h JOIN signed m USING (doc_id)"))
+def bm25_indexed_topk(spark, d):
+    hits = search.search_index(spark, _index(spark, d), "MIT license")
+    return td.messages(spark, d).select("_file", "_row", "content").join(F.broadcast(hits), ["_file", "_row"])  # three hits
+
+
+@query(sql.bm25("qqqqzzzz", "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)"))
+def bm25_indexed_no_hit(spark, d):
+    found = search.indexed_scores(spark, _index(spark, d), search.query_terms(spark, "qqqqzzzz"))
+    return found.select("_file", "_row", F.round("score", 6).alias("score"))
+
+
+@query(sql.tokens("SELECT _file, count(*) AS doc_count, sum(len(tokens))::BIGINT AS total_length FROM tokens GROUP BY _file"))
+def index_file_stats(spark, d):
+    return index.read_part(spark, _index(spark, d), "stats").select("_file", "doc_count", "total_length")
+
+
+@query(sql.tokens("SELECT count(*) AS doc_count, sum(len(tokens))::BIGINT AS total_length, round(sum(len(tokens)) / count(*), 6) AS avgdl FROM tokens"))
+def index_stored_meta(spark, d):
+    return index.stored_meta(index.read_part(spark, _index(spark, d), "stats"))
+
+
+@query(sql.tokens("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY ALL"))
+def index_stored_terms(spark, d):
+    return index.read_part(spark, _index(spark, d), "terms").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+@query("SELECT DISTINCT concat(source, '.csv') AS _file, 1 AS version FROM documents")
+def index_manifest(spark, d):
+    return index.read_part(spark, _index(spark, d), "manifest").select("_file", "version")
+
+
 # ------------------------------------------------------------------ messages
 
 
+_HEAD = "sha1(content) AS content_sha1, nature, fake_probability, source, publish_time, process_time"
+
+
+@query(sql.messages(f"SELECT _file, _row, _signature, {_HEAD} FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY _file ORDER BY doc_id) - 1 AS _row) FROM signed)"))
+def load_all_csv(spark, d):
+    """Messages written as CSV files, one for each source, and read back as one table in one scan."""
+    folder, messages = shared_folder(spark, "csv"), td.messages(spark, d)
+    files.write_tables(messages, folder)
+    m = files.load_all(spark, folder)
+    return m.select("_file", "_row", "_signature", F.sha1(F.col("content").cast("binary")).alias("content_sha1"), "nature", "fake_probability", "source", "publish_time", "process_time")
+
+
+@query(sql.training("SELECT content, nature, label FROM data"))
+def train_scan_csv(spark, d):
+    """The training set from CSV files; one without the columns is skipped."""
+    folder = shared_folder(spark, "csv")
+    files.write_tables(td.messages(spark, d), folder)
+    spark.range(3).selectExpr("'x' AS other", "'真实' AS nature").coalesce(1).write.option("header", True).csv(f"{folder}/.more")
+    files.move_part(spark, f"{folder}/.more", folder, "zz-other.csv")
+    return training.dataset(files.training_rows(spark, folder))
+
+
+@query(sql.messages("SELECT * FROM (SELECT 'first' AS asked, * FROM (SELECT _file, _row FROM messages ORDER BY _file, _row LIMIT 20) UNION ALL SELECT 'last', * FROM (SELECT _file, _row FROM messages ORDER BY _file, _row LIMIT 20 OFFSET (SELECT ((greatest(count(*), 1) - 1) // 20) * 20 FROM messages)))"))
+def page_clamps(spark, d):
+    """A page before the first is the first, one after the last is the last."""
+    rows = td.messages(spark, d).select("_file", "_row")
+    return display.page(rows, -5).drop("place").withColumn("asked", F.lit("first")).unionByName(display.page(rows, 10**9).drop("place").withColumn("asked", F.lit("last")))
+
+
 @query(sql.messages("SELECT _file, _row, _signature, content, nature, fake_probability, source, publish_time, process_time FROM signed"))
 def messages_union(spark, d):
     return td.messages(spark, d).select("_file", "_row", "_signature", "content", "nature", "fake_probability", "source", "publish_time", "process_time")
@@ -262,6 +359,40 @@ def vote_members(spark, d):
     return _members(spark, d).select("doc_id", F.inline("members"))
 
 
+@query("""SELECT doc_id, ordinal, CASE WHEN ordinal = 0 THEN CASE doc_id % 3 WHEN 0 THEN '模型检测失败，请稍后重试' WHEN 1 THEN concat('told ', doc_id) END END AS error, CASE WHEN ordinal = 0 AND doc_id % 3 < 2 THEN 'error' ELSE 'ok' END AS status, CASE WHEN ordinal = 1 OR doc_id % 3 = 2 THEN 50.0::DOUBLE END AS score
+ FROM documents, (SELECT unnest([0, 1]) AS ordinal)""")
+def vote_run_errors(spark, d):
+    """Errors of a run reach the member: its own text, or a general one where there are no details."""
+    told = F.when(F.col("doc_id") % 3 == 0, "failed").when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" told "), F.col("doc_id").cast("string")))
+    one = lambda k, error: F.struct(F.lit(k).alias("ordinal"), F.lit(f"m{k}").alias("model_id"), F.lit(True).alias("available"), F.when(error.isNull(), 50.0).alias("score"), F.when(error.isNull(), "why").alias("reason"), error.alias("error"))
+    outputs = _docs(spark, d, F.array(one(0, told), one(1, F.lit(None).cast("string"))).alias("outputs"))
+    return vote.members(outputs).select("doc_id", F.inline("members")).select("doc_id", "ordinal", "error", "status", "score")
+
+
+def _registry(spark) -> DataFrame:
+    rows = [("alpha", "Alpha", True), ("beta", "Beta", False), ("gamma", "Gamma", True)]
+    return spark.createDataFrame(rows, "model_id string, display_name string, available boolean")
+
+
+@query("""SELECT doc_id, s.k - 1 AS ordinal, s.m AS model_id, CASE s.m WHEN 'alpha' THEN 'Alpha' WHEN 'beta' THEN 'Beta' ELSE s.m END AS display_name, s.m = 'alpha' AS available
+ FROM (SELECT doc_id, unnest([{'k': 1, 'm': 'beta'}, {'k': 2, 'm': CASE doc_id % 2 WHEN 0 THEN 'alpha' ELSE 'omega' END}]) AS s FROM documents)""")
+def selected_models(spark, d):
+    requests = _docs(spark, d, F.array(F.lit("beta"), F.when(F.col("doc_id") % 2 == 0, "alpha").otherwise("omega")).alias("models"))
+    return vote.selected(requests, _registry(spark)).select("doc_id", F.inline("selected"))
+
+
+@query("SELECT 3::BIGINT AS models, 2::BIGINT AS available")
+def available_models(spark, d):
+    return vote.available_count(_registry(spark))
+
+
+@query("SELECT event_id, round((event_id % 100003) / 1000000.0, 3) AS elapsed FROM events")
+def elapsed_times(spark, d):
+    e = td.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ended = F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 100_003)
+    return e.select("event_id", vote.elapsed(F.col("ts"), ended).alias("elapsed"))
+
+
 @query(sql.vote(f"SELECT {', '.join(_DECISION)} FROM decided"))
 def risk_vote(spark, d):
     return vote.vote(_members(spark, d)).withColumn("mean_score", F.round("mean_score", 6)).select(*_DECISION)
@@ -389,6 +520,14 @@ def edits_update(spark, d):
     return verify.update(m, td.edits(m)).select("doc_id", "nature", "_signature")
 
 
+@query(sql.edits("SELECT doc_id, CASE WHEN applies THEN '中立' ELSE nature END AS nature FROM joined"))
+def edits_update_twice(spark, d):
+    """Two edits of each row: one applies, and no row comes twice."""
+    m = td.messages(spark, d)
+    edits = td.edits(m)
+    return verify.update(m, edits.unionByName(edits.withColumn("nature", F.lit("中立")))).select("doc_id", "nature")
+
+
 @query(sql.edits("SELECT doc_id, _file, row_number() OVER (PARTITION BY _file ORDER BY _row) - 1 AS _row FROM joined WHERE NOT applies"))
 def edits_delete(spark, d):
     m = td.messages(spark, d)
@@ -468,6 +607,12 @@ def train_label_counts(spark, d):
     return training.label_counts(training.dataset(td.messages(spark, d)))
 
 
+@query("SELECT epoch, accuracy, max(accuracy) OVER (ORDER BY epoch) AS best, accuracy >= max(accuracy) OVER (ORDER BY epoch) AS saved FROM (SELECT r_regionkey AS epoch, ((r_regionkey * 7) % 5) / 10.0::DOUBLE AS accuracy FROM region)")
+def train_best_so_far(spark, d):
+    epochs = td.table(spark, d, "region").select(F.col("r_regionkey").alias("epoch"), ((F.col("r_regionkey") * 7 % 5) / 10.0).cast("double").alias("accuracy"))
+    return training.best_so_far(epochs)
+
+
 @query(None)
 def classifier_scores(spark, d):
     """Fit on the training part, score every message."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +17,19 @@ def session(name: str = "riskweave", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.execution.arrow.pyspark.enabled": "true"} | conf
     return builder.config(map=settings).getOrCreate()
+
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below `spark.checkpoint.dir`, the folder that driver and executors share; a local master may do without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="riskweave-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = f"file://{_local[0]}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -70,7 +70,10 @@ class _Flaky(models.Chat):
 
 
 class _Length:
+    detected = 0
+
     def detect(self):
+        _Length.detected += 1
         return True
 
     def check(self, message):
@@ -89,11 +92,52 @@ def test_models(spark):
     asked = models.run_chat(df.limit(1), _Flaky).first()
     assert asked["ok"] and asked["score"] == 61 and asked["reason"] == "rate abc"
     registry = models.Registry()
+    _Length.detected = 0
     registry.register("length", _Length)
     registry.register("template", models.Template)
     assert [r["model_id"] for r in registry.available(spark).collect()] == ["length"]
     with pytest.raises(KeyError):
         registry.get("template")
+    assert registry.get("length").check("abc") == (3.0, "length") and _Length.detected == 1
+    assert models.chat("deepseek", None).options == {"temperature": 0.6, "timeout": 120}
+
+
+class _Late(models.Chat):
+    """Bad replies first, then a good one, each message anew."""
+
+    BAD = ("null", '{"risk_score": true, "reason": "x"}', '{"risk_score": 101, "reason": "x"}', '{"risk_score": 1, "reason": " "}', '{"risk_score": 1}', '{"risk_score": 1, "reason": "x", "reason": "y"}', "[]", "")
+
+    def __init__(self):
+        self.asked = {}
+        super().__init__(self._reply)
+
+    def _reply(self, messages, options):
+        text = messages[-1]["content"]
+        self.asked[text] = self.asked.get(text, 0) + 1
+        return self.BAD[int(text)] if self.asked[text] < 2 else '<think>{}</think>{"risk_score": 7.5, "reason": "late"}'
+
+
+def test_bad_replies_are_asked_again(spark):
+    df = spark.createDataFrame([(str(k),) for k in range(len(_Late.BAD))], "content string").coalesce(1)
+    assert {(r["ok"], r["score"], r["reason"]) for r in models.run_chat(df, _Late).collect()} == {(True, 7.5, "late")}
+    assert {r["ok"] for r in models.run_chat(df, _Late, attempts=1).collect()} == {False}
+
+
+@pytest.mark.parametrize("text", [*_Late.BAD, '{"risk_score": 0, "reason": "x"}', 'so {"risk_score": 100.0, "reason": " x "} end', '{"risk_score": "5", "reason": "x"}', '{"risk_score": NaN, "reason": "x"}', '{"risk_score": -1, "reason": "x"}', '{"risk_score": 5, "reason": "x", "z": 1}', '{"risk_score": 5, "reason": 1}'])
+def test_acceptable_is_what_is_checked(spark, text):
+    from riskweave.operators import reply
+
+    assert reply.acceptable(text) == reply.checked(spark.createDataFrame([(text,)], "reply string")).first()["ok"]
+
+
+def test_model_and_its_record(spark, tmp_path):
+    rows = [(f"{w} {k}", label) for k in range(30) for w, label in (("rumour spread", 1), ("report checked", 0))]
+    data = spark.createDataFrame(rows, "content string, label int")
+    training.save(training.fit_classifier(data, iterations=5), str(tmp_path), 60, 0.98765, "2024-01-01 00:00:00")
+    meta = spark.read.json(f"{tmp_path}/train_meta").first()
+    assert (meta["samples"], meta["val_accuracy"], meta["label_meaning"]["1"]) == (60, 0.9877, "谣言")
+    scores = {r["content"]: r["score"] for r in training.classifier_scores(training.load(str(tmp_path)), data.limit(2)).collect()}
+    assert scores["rumour spread 0"] > 50 > scores["report checked 0"]
 
 
 def test_batch_keeps_stored_scores(spark):
