@@ -19,7 +19,11 @@ KEY = "_document"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language is uncertain. Learns from the stage's own labelled rows."""
+    """Drop documents without a letter, null texts among them, and those whose language is uncertain. Learns from the stage's own labelled rows.
+
+    Rows count one by one, whatever their doc_id; repeated rows stay or go together. An empty
+    table, like one without labelled rows, gives an empty one.
+    """
     return langid.accepted(docs, langid.fit(docs), LEAST_MARGIN)
 
 
@@ -40,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep the smallest doc_id of each near-duplicate group, one without doc_id only if the group has none.
 
     Rows with the same doc_id are documents of their own; of those with the same text
-    too, the least row stays. Rows without doc_id are compared like all others.
+    too, the least row stays. Rows without doc_id are compared like all others. Null and empty
+    texts are like nothing else and stay, each once for its doc_id. An empty table stays empty.
     """
     rows, unique = keyed(docs)
     kept = near_dup.near_duplicates(rows, doc_id=KEY, percent=SIMILAR).where("kept").select(F.col("doc_id").alias(KEY))
@@ -53,7 +58,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages. Texts that lose nothing stay as they are; a text that loses every word goes.
 
     Rows with the same doc_id are cut each by its own text; rows with the same text too
-    stay as often as they are. Rows without doc_id are cut like all others, after them.
+    stay as often as they are. Rows without doc_id are cut like all others, after them. Null
+    and empty texts lose nothing and stay. An empty table stays empty.
     """
     rows, unique = keyed(docs)
     cuts = substring.remove_repeats(rows, doc_id=KEY).where("n_removed > 0").select(F.col("doc_id").alias(KEY), F.col("text").alias("rest"))
@@ -63,7 +69,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenize and pack into sequences; the last stage, one row for each piece."""
+    """Tokenize and pack into sequences; the last stage, one row for each piece.
+
+    Rows are documents of their own, whatever their doc_id; null and empty texts are one
+    piece of the end id. An empty table gives an empty one.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, CAPACITY)
 
 
