@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. A line in an element that by
 its name, class, id or role is a menu, header, footer, sidebar, notice, advert, form,
 script, style or comment section has no weight, nor has a line outside articles that is
-mostly links. Sums of the weights over a sliding window of lines show where text surges
+mostly links and no paragraph. A class name that only has such a word as a part marks an
+element unless an article stands in it. Sums of the weights over a sliding window of lines show where text surges
 and where it dives: a stretch starts at the first weighty line of a surge and goes on until
 the sums dive to nothing. The heaviest stretch is the core of the text; an article or main
 element is one whole and counts twice. The text is the core and every stretch that belongs
@@ -12,7 +13,10 @@ lies between stretches of the text. Other article elements stay too, but for car
 text that stands outside: those with a line of links and under a quarter of its length.
 Lines without weight are left out, every other line of the text is kept however short.
 
-Null and empty pages, and pages without any text, give an empty text. Text after an
+Null and empty pages, and pages without any text, give an empty text; equal pages give equal
+texts, however often they come; a null page_id or url is kept; an empty table gives an empty
+one; other columns are not read. Long pages are read whole, in time that grows with their
+length. Text after an
 unfinished tag at the end is dropped with it; unknown character references stay. Optional
 end tags are implied, head among them. An element without page text that is never closed
 loses only its start tag, a title what follows up to the next tag; an open script or style
@@ -49,11 +53,18 @@ NESTED, EMPTY, ENDLESS = frozenset("svg math object template".split()), frozense
 BESIDE = frozenset("nav footer aside form menu dialog button fieldset header".split())
 #: Words of class, id or role that mark what is beside the article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words of a class name that says what a layout has or lacks.
+NEGATIONS = frozenset("has no non not with without".split())
+#: Fixed value: characters from which a paragraph that is mostly a link is text.
+LONG_LINK = 40
+#: Marks by parts of class names, which an article inside refutes, and all others.
+WEAK, STRONG = 1, 2
 _HEADERS = frozenset(("header", "masthead"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph; elements that end others by their start, and the elements this does not reach beyond.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul dd dt li".split())
 _SCOPE = frozenset("button caption table td th".split())
+_P, _PARAGRAPHS = frozenset(("p",)), frozenset(("p", "blockquote"))
 _LISTS, _TABLE = frozenset("ul ol menu dir table td th".split()), frozenset(("table",))
 _IMPLIED = {
     "li": (frozenset(("li",)), _LISTS), "dd": (frozenset(("dd", "dt")), _LISTS | {"dl"}), "dt": (frozenset(("dd", "dt")), _LISTS | {"dl"}),
@@ -80,29 +91,77 @@ def closings(page: str, name: str, start: int) -> dict[int, int]:
     return out
 
 
-def ended(stack: list[tuple], names: frozenset[str], bound: frozenset[str]) -> None:
-    """Take the innermost open element of these names, with all in it, off the stack, unless an element of `bound` is nearer."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in names:
-            del stack[k:]
-            return
-        if stack[k][0] in bound:
-            return
+class Element(NamedTuple):
+    name: str
+    #: WEAK or STRONG if the element is beside the article, and whether it or one around it is.
+    mark: int
+    beside: bool
+    link: bool
+    #: The numbers of the outermost article or main element and of the innermost container around its text; 0 for none.
+    article: int
+    container: int
+
+
+class Open:
+    """The open elements, and the places of each name among them, so that no tag costs a walk through all."""
+
+    def __init__(self):
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+        self.weak = 0
+
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else Element("", 0, False, False, 0, 0)
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        self.stack.append(e)
+        self.weak += e.mark == WEAK
+
+    def innermost(self, names: frozenset[str]) -> int:
+        """The place of the innermost of these, -1 if none is open."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def end(self, names: frozenset[str], bound: frozenset[str]) -> None:
+        """Take the innermost open element of these names, with all in it, off, unless an element of `bound` is nearer."""
+        at = self.innermost(names)
+        if at >= 0 and at > self.innermost(bound - names):
+            while len(self.stack) > at:
+                e = self.stack.pop()
+                self.places[e.name].pop()
+                self.weak -= e.mark == WEAK
+
+    def unmark(self) -> None:
+        """An article stands here: elements around it that only seemed to be beside it are not."""
+        if self.weak:
+            self.weak, beside = 0, False
+            for k, e in enumerate(self.stack):
+                mark = 0 if e.mark == WEAK else e.mark
+                beside = beside or bool(mark)
+                self.stack[k] = e._replace(mark=mark, beside=beside)
 
 
-def marked(name: str, rest: str, article: bool) -> set[str]:
-    """The words of class, id and role that mark what is beside the article.
+def marked(name: str, rest: str, article: bool) -> tuple[set[str], set[str]]:
+    """The words of class, id and role that mark what is beside the article, by whole names and by parts of names.
 
     Ids of headings are names of places. Inside an article only whole class names, ids
-    and roles count, and no ids of sections; outside, whole ids of sections.
+    and roles count, and no ids of sections; outside, whole ids of sections. A name that
+    says what is there or not, like no-sidebar, is no mark.
     """
-    found: set[str] = set()
+    whole: set[str] = set()
+    parts: set[str] = set()
     for mark, value in _MARK.findall(rest):
         value, is_id = value.strip("\"'").lower(), mark.lower() == "id"
         if is_id and (name in HEADINGS or name == "section" and article):
             continue
-        found.update(value.split() if article or is_id and name == "section" else _PART.findall(value))
-    return found & WORDS
+        names = value.split()
+        whole.update(names)
+        if not (article or is_id and name == "section"):
+            for n in names:
+                words = _PART.findall(n)
+                if not NEGATIONS.intersection(words):
+                    parts.update(words)
+    return whole & WORDS, (parts & WORDS) - whole
 
 
 class Line(NamedTuple):
@@ -117,20 +176,18 @@ class Line(NamedTuple):
 def lines_of(page: str) -> list[Line]:
     """Each line in page order; white space is folded."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int]] = []  # name, beside, number of an article, container or 0
+    stack, here = Open(), Element("", 0, False, False, 0, 0)
     words: list[str] = []
     linked = at = number = 0
     closed: dict[str, dict[int, int]] = {}
     unclosed: set[str] = set()
-    beside = link = False
-    article = container = 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            mostly = 2 * linked > len(text)
-            out.append(Line(text, 0 if beside or mostly and not article else len(text), article, container, mostly))
+            mostly = 2 * linked > len(text) and not (here.name in _PARAGRAPHS and len(text) >= LONG_LINK)
+            out.append(Line(text, 0 if here.beside or mostly and not here.article else len(text), here.article, here.container, mostly))
         words.clear()
         linked = 0
 
@@ -138,7 +195,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         if text:
             words.append(text)
-            if link:
+            if here.link:
                 linked += len(text.strip())
 
     end = len(page)
@@ -158,7 +215,7 @@ def lines_of(page: str) -> list[Line]:
         elif name == "br":
             words.append(" ")
         if closing:
-            ended(stack, frozenset((name,)), _REACH.get(name, frozenset()))
+            stack.end(frozenset((name,)), _REACH.get(name, frozenset()))
         elif name in NESTED:
             if not (name in EMPTY and rest.endswith("/")):
                 if name not in closed:
@@ -179,25 +236,26 @@ def lines_of(page: str) -> list[Line]:
         elif name == "head":
             continue
         elif name == "hr":
-            ended(stack, frozenset(("p",)), _SCOPE)
+            stack.end(_P, _SCOPE)
         elif name not in VOID and not rest.rstrip().endswith("/"):
             if name in _ENDS_P:
-                ended(stack, frozenset(("p",)), _SCOPE)
+                stack.end(_P, _SCOPE)
             if name in _IMPLIED:
-                ended(stack, *_IMPLIED[name])
-            beside, article = any(s[1] for s in stack), next((s[2] for s in stack if s[0] in ("article", "main")), 0)
-            is_article = name in ("article", "main")
-            marks = marked(name, rest, bool(article) or is_article)
-            is_beside = name in BESIDE or bool(marks) or bool(_HIDDEN.search(rest))
-            if is_beside and article and not beside and (name == "header" or marks <= _HEADERS and name not in BESIDE):
-                is_beside = False
+                stack.end(*_IMPLIED[name])
+            here, is_article = stack.top(), name in ("article", "main")
+            whole, parts = marked(name, rest, bool(here.article) or is_article)
+            marks, hidden = whole | parts, bool(_HIDDEN.search(rest))
+            mark = STRONG if name in BESIDE or whole or hidden else WEAK if parts else 0
+            if mark and here.article and not here.beside and (name == "header" or marks <= _HEADERS and name not in BESIDE):
+                mark = 0
             if is_article and marks <= _HEADERS or name in ("html", "body"):
-                is_beside = is_beside and bool(_HIDDEN.search(rest))
+                mark = STRONG if hidden else 0
+            if is_article and not mark:
+                stack.unmark()
+                here = stack.top()
             number += 1
-            stack.append((name, is_beside, number if name in CONTAINERS else 0))
-        beside, link = any(s[1] for s in stack), any(s[0] == "a" for s in stack)
-        article = next((s[2] for s in stack if s[0] in ("article", "main")), 0)
-        container = next((s[2] for s in reversed(stack) if s[2]), 0)
+            stack.push(Element(name, mark, here.beside or bool(mark), here.link or name == "a", here.article or (number if is_article else 0), number if name in CONTAINERS else here.container))
+        here = stack.top()
     end_line()
     return out
 

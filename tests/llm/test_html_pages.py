@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+
 import pytest
 
-from riskweave.llm.html_text import main_text
+from riskweave.llm.html_text import extract, lines_of, main_text, stretches
 
 TEXT = [f"Paragraph {k} of the text has more than enough words to be a part of the main text of a page, and it has a second clause too." for k in range(8)]
 ADVERT = "<div class=ad>Buy this</div><div class=ad>Buy that</div><div class=ad>Buy more</div><div class=ad>Buy all</div>"
@@ -52,3 +55,48 @@ def test_main_text_is_whole(page, want):
 )
 def test_markup_loses_no_text(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='layout no-sidebar'><article>{paragraphs(TEXT)}</article></div>", ALL),
+        (f"<div class='layout no-sidebar'><div>{paragraphs(TEXT)}</div></div>", ALL),
+        (f"<div class='main-menu-layout'><main>{paragraphs(TEXT)}</main></div><div class=main-menu><p>{TEXT[0]}</p></div>", ALL),
+        (f"<article><div class='widget-text'>{paragraphs(TEXT)}</div></article>", ALL),
+        (f"<div>{paragraphs(TEXT[:4])}<div class=promo><p>a b</p><p>c</p><p>d</p><p>e</p></div>{paragraphs(TEXT[4:])}</div>", ALL),
+        (f"<div>{paragraphs(TEXT[:4])}<p><a href=x>{TEXT[4]}</a></p>{paragraphs(TEXT[5:])}</div>", ALL),
+        (f"<article>{paragraphs(TEXT[:7])}<section class='article-footer-notes'><p>{TEXT[7]}</p></section></article>", ALL),
+        (f"<article>{paragraphs(TEXT)}<footer><p>Posted by someone.</p></footer></article>", ALL),
+        (f"<div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>{paragraphs(TEXT)}<p><a href=3>More</a></p></div>", ALL),
+    ],
+)
+def test_marks_say_what_is_beside(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["p", "div", "b", "li", "td", "article"])
+def test_unclosed_tags_take_linear_time(tag):
+    n = 100_000
+    began = time.process_time()
+    assert main_text(f"<{tag}>" * n + "x" + f"</{tag}>" * (n // 2) + "</i>" * n).split() == ["x"]
+    assert time.process_time() - began < 8
+
+
+def test_surge_and_dive_decide_on_every_page(spark, sf):
+    """Without its windows no page of the table has a text, and a window wider than the page leaves nothing out."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    lines = [lines_of(h) for h in pages]
+    cut = [stretches([x.weight for x in page]) for page in lines]
+    assert all(cut) and sum(sum(b - a for a, b in s) < len(page) for s, page in zip(cut, lines)) > len(pages) / 2
+    for h, s, page in zip(pages, cut, lines):
+        inside = {i for a, b in s for i in range(a, b)}
+        assert set(main_text(h).split()) <= {w for i in inside for w in page[i].text.split()}
+
+
+def test_pages_that_repeat_or_lack_ids(spark):
+    page = f"<article>{paragraphs(TEXT)}</article>"
+    rows = [(None, None, page), (1, "u", page), (1, "u", page), (1, "v", None), (2, "w", f"<div>{paragraphs(TEXT * 4000)}</div>")]
+    found = extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = Counter([(None, None, ALL), (1, "u", ALL), (1, "u", ALL), (1, "v", ""), (2, "w", " ".join(TEXT * 4000))])
+    assert Counter((r["page_id"], r["url"], r["text"]) for r in found) == want
