@@ -9,6 +9,10 @@ at every forced pair; only the last fragment of a pre-token carries the end-of-w
 A text is normalised once, as a whole; fragments are encoded from their bytes. What the pieces encode to is
 concatenated. Decoding concatenates the pieces' decodings in the same way.
 
+Rows are documents of their own: doc_id may be null or come twice, repeated rows have equal
+results. Null and empty texts have no ids; long texts are coded whole; an empty table gives
+an empty one; other columns are not read. Every text has one encoding, so there are no ties.
+
 `byte_encoder` encodes with a byte-level vocabulary file of the tokenizers library; the
 merges run in tiktoken on the same vocabulary, which gives the same ids faster.
 """
