@@ -203,7 +203,14 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             yield batch_of(schema, {"token": np.concatenate([np.unique(hashes[a:b]) for a, b in zip(at, at[1:])]).view(np.int64)})
 
     some = texts.where(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select("text").mapInArrow(tokens, "token long")
-    best = some.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(RANKED).toPandas()  # RANKED rows
+    counts = cut(some.groupBy("token").count().where("count > 1"))
+    least, n = 2, 0  # the least count that at most RANKED tokens reach
+    for r in sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True):  # at most a row for each sampled document
+        n += r["n"]
+        if n > RANKED:
+            least = r["count"] + 1
+            break
+    best = counts.where(F.col("count") >= least).toPandas().sort_values(["count", "token"], ascending=[False, True])  # at most RANKED rows
     hashes = best["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], len(hashes) - order
