@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_text, langid, media, near_dup, oracle, packing, sharding, substring, token_files
+from . import bpe, clustering, fingerprint, html_text, langid, media, mining, near_dup, oracle, packing, sharding, substring, token_files
 from .common import new_folder
 
 END_ID, CAPACITY, SHARDS = 2, 1024, 16
@@ -72,10 +72,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(*clustering.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_bpe_codec, op4_substring_dedup, op5_token_files, op6_sharding, op7_near_duplicates, op8_fingerprints, op9_media_columns, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_bpe_codec, op4_substring_dedup, op5_token_files, op6_sharding, op7_near_duplicates, op8_fingerprints, op9_media_columns, op10_language_id, op11_hard_negatives, op12_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are held against brute force in tests."""
-    return {"op4_substring_dedup": oracle.SUBSTRING_DEDUP, "op7_near_duplicates": oracle.NEAR_DUPLICATES}
+    return {"op4_substring_dedup": oracle.SUBSTRING_DEDUP, "op7_near_duplicates": oracle.NEAR_DUPLICATES, "op11_hard_negatives": oracle.HARD_NEGATIVES, "op12_centroid_clustering": oracle.CLUSTERS}
