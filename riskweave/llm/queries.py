@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, clustering, fingerprint, html_text, langid, media, mining, near_dup, oracle, packing, sharding, substring, token_files
+from . import bpe, chat, clustering, fingerprint, html_text, langid, media, mining, near_dup, oracle, packing, sharding, substring, token_files
 from .common import new_folder
 
 END_ID, CAPACITY, SHARDS = 2, 1024, 16
@@ -81,8 +81,18 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.report(*clustering.cluster(_table(spark, sf_dir, "embeddings")))
 
 
+_PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", _PLANTED), (-7, 1, "assistant", _PLANTED)], "conv_id long, turn long, role string, text string")
+    segments, _ = chat.write_conversations(chat.chain(rows.unionByName(planted)))
+    return chat.digests(segments).select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_bpe_codec, op4_substring_dedup, op5_token_files, op6_sharding, op7_near_duplicates, op8_fingerprints, op9_media_columns, op10_language_id, op11_hard_negatives, op12_centroid_clustering)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_html_extraction, op3_bpe_codec, op4_substring_dedup, op5_token_files, op6_sharding, op7_near_duplicates, op8_fingerprints, op9_media_columns, op10_language_id, op11_hard_negatives, op12_centroid_clustering, op13_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
