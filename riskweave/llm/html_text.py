@@ -1,10 +1,12 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line in an element that by
+Markup is stripped into lines, one for each block element. Text in an element that by
 its name, class, id or role is a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section has no weight, nor has a line outside articles that is
-mostly links and no paragraph. A class name that only has such a word as a part marks an
-element unless an article stands in it. Sums of the weights over a sliding window of lines show where text surges
+script, style or comment section has no weight: a line of such text alone has none, of a
+line with other text an inline element of that kind loses its own. Nor has a line outside
+articles that is mostly links and no paragraph. A name made of such a word and words of
+layout only, as comment-list, marks an element everywhere; a class name that has such a word
+beside others marks one outside articles, unless an article stands in it. Sums of the weights over a sliding window of lines show where text surges
 and where it dives: a stretch starts at the first weighty line of a surge and goes on until
 the sums dive to nothing. The heaviest stretch is the core of the text; an article or main
 element is one whole and counts twice. The text is the core and every stretch that belongs
@@ -50,9 +52,14 @@ RAW = frozenset("script style noscript template svg math iframe object canvas au
 #: Of these, those that can stand in one another, those that "/>" closes, and those that take the rest of the page if not closed.
 NESTED, EMPTY, ENDLESS = frozenset("svg math object template".split()), frozenset("svg math".split()), frozenset("script style".split())
 #: Elements beside the article.
-BESIDE = frozenset("nav footer aside form menu dialog button fieldset header".split())
+BESIDE = frozenset("nav footer aside form menu dialog button fieldset header label".split())
 #: Words of class, id or role that mark what is beside the article.
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Of these, words of comment sections, which ids of sections in articles may have, too, and words that names of whole layouts have.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+LAYOUT = frozenset("banner footer form header masthead menu menubar nav navbar navigation sidebar toolbar widget".split())
+#: Words that say no more than where or how something stands.
+NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content count counter fixed group holder icon icons inner item items left link links list main module outer page panel post posts reader readers right row section site slot sticky thread top unit user users wrap wrapper zone".split())
 #: Words of a class name that says what a layout has or lacks.
 NEGATIONS = frozenset("has no non not with without".split())
 #: Fixed value: characters from which a paragraph that is mostly a link is text.
@@ -74,9 +81,25 @@ _IMPLIED = {
 #: How far an end tag reaches.
 _REACH = {"p": _SCOPE} | {name: bound for name, (_, bound) in _IMPLIED.items()}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</?\Z""", re.S)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?""")
 _PART = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+
+
+def attributes(rest: str) -> dict[str, str]:
+    """Attribute names in lower case and their values; of a repeated one the first."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(rest):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def self_closed(rest: str) -> bool:
+    """Whether a tag ends in a slash that is no part of an unquoted value."""
+    if not rest.endswith("/"):
+        return False
+    _, equals, value = rest.rsplit(None, 1)[-1].rpartition("=")
+    return not equals or value[0] in "'\"/"
 
 
 def closings(page: str, name: str, start: int) -> dict[int, int]:
@@ -84,7 +107,7 @@ def closings(page: str, name: str, start: int) -> dict[int, int]:
     out, opened = {}, []
     for tag in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I).finditer(page, start):
         if not tag[1]:
-            if not (name in EMPTY and tag[2].endswith("/")):
+            if not (name in EMPTY and self_closed(tag[2])):
                 opened.append(tag.end())
         elif opened:
             out[opened.pop()] = tag.end()
@@ -93,9 +116,8 @@ def closings(page: str, name: str, start: int) -> dict[int, int]:
 
 class Element(NamedTuple):
     name: str
-    #: WEAK or STRONG if the element is beside the article, and whether it or one around it is.
+    #: WEAK or STRONG if the element is beside the article.
     mark: int
-    beside: bool
     link: bool
     #: The numbers of the outermost article or main element and of the innermost container around its text; 0 for none.
     article: int
@@ -103,20 +125,27 @@ class Element(NamedTuple):
 
 
 class Open:
-    """The open elements, and the places of each name among them, so that no tag costs a walk through all."""
+    """The open elements, the places of each name among them and of marks, so that no tag costs a walk through all."""
 
     def __init__(self):
         self.stack: list[Element] = []
         self.places: dict[str, list[int]] = {}
-        self.weak = 0
+        self.strong = 0
+        self.weak: list[int] = []
+
+    @property
+    def beside(self) -> bool:
+        return bool(self.strong or self.weak)
 
     def top(self) -> Element:
-        return self.stack[-1] if self.stack else Element("", 0, False, False, 0, 0)
+        return self.stack[-1] if self.stack else Element("", 0, False, 0, 0)
 
     def push(self, e: Element) -> None:
         self.places.setdefault(e.name, []).append(len(self.stack))
+        if e.mark == WEAK:
+            self.weak.append(len(self.stack))
+        self.strong += e.mark == STRONG
         self.stack.append(e)
-        self.weak += e.mark == WEAK
 
     def innermost(self, names: frozenset[str]) -> int:
         """The place of the innermost of these, -1 if none is open."""
@@ -129,39 +158,45 @@ class Open:
             while len(self.stack) > at:
                 e = self.stack.pop()
                 self.places[e.name].pop()
-                self.weak -= e.mark == WEAK
+                self.strong -= e.mark == STRONG
+            while self.weak and self.weak[-1] >= at:
+                self.weak.pop()
 
     def unmark(self) -> None:
         """An article stands here: elements around it that only seemed to be beside it are not."""
-        if self.weak:
-            self.weak, beside = 0, False
-            for k, e in enumerate(self.stack):
-                mark = 0 if e.mark == WEAK else e.mark
-                beside = beside or bool(mark)
-                self.stack[k] = e._replace(mark=mark, beside=beside)
+        self.weak.clear()
 
 
-def marked(name: str, rest: str, article: bool) -> tuple[set[str], set[str]]:
-    """The words of class, id and role that mark what is beside the article, by whole names and by parts of names.
+def marked(name: str, given: dict[str, str], article: bool) -> tuple[set[str], set[str]]:
+    """The words of class, id and role that mark what is beside the article for certain, and those that only seem to.
 
-    Ids of headings are names of places. Inside an article only whole class names, ids
-    and roles count, and no ids of sections; outside, whole ids of sections. A name that
-    says what is there or not, like no-sidebar, is no mark.
+    Certain are whole names, and names of such words and of layout only; the latter, if they
+    may name a whole layout, only inside an article. Other parts of names seem to mark, outside
+    articles. Ids of headings are names of places, and so are those of sections, but for whole
+    ones outside articles and comment sections. A name that says what is there or not, like
+    no-sidebar, is no mark.
     """
-    whole: set[str] = set()
-    parts: set[str] = set()
-    for mark, value in _MARK.findall(rest):
-        value, is_id = value.strip("\"'").lower(), mark.lower() == "id"
-        if is_id and (name in HEADINGS or name == "section" and article):
+    certain: set[str] = set()
+    seeming: set[str] = set()
+    for mark in ("class", "id", "role"):
+        is_id = mark == "id"
+        if is_id and name in HEADINGS:
             continue
-        names = value.split()
-        whole.update(names)
-        if not (article or is_id and name == "section"):
-            for n in names:
-                words = _PART.findall(n)
-                if not NEGATIONS.intersection(words):
-                    parts.update(words)
-    return whole & WORDS, (parts & WORDS) - whole
+        of_section = is_id and name == "section"
+        for n in given.get(mark, "").lower().split():
+            if n in WORDS and not (of_section and article and n not in COMMENTS):
+                certain.add(n)
+                continue
+            parts = set(_PART.findall(n))
+            found = parts & WORDS
+            if not found or parts & NEGATIONS:
+                continue
+            only = parts <= WORDS | NEUTRAL and not (of_section and not found & COMMENTS)
+            if only and (article or not found <= LAYOUT):
+                certain |= found
+            elif not (article or of_section):
+                seeming |= found
+    return certain, seeming - certain
 
 
 class Line(NamedTuple):
@@ -176,8 +211,9 @@ class Line(NamedTuple):
 def lines_of(page: str) -> list[Line]:
     """Each line in page order; white space is folded."""
     out: list[Line] = []
-    stack, here = Open(), Element("", 0, False, False, 0, 0)
+    stack, here = Open(), Element("", 0, False, 0, 0)
     words: list[str] = []
+    beside: list[str] = []
     linked = at = number = 0
     closed: dict[str, dict[int, int]] = {}
     unclosed: set[str] = set()
@@ -187,13 +223,18 @@ def lines_of(page: str) -> list[Line]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             mostly = 2 * linked > len(text) and not (here.name in _PARAGRAPHS and len(text) >= LONG_LINK)
-            out.append(Line(text, 0 if here.beside or mostly and not here.article else len(text), here.article, here.container, mostly))
+            out.append(Line(text, 0 if mostly and not here.article else len(text), here.article, here.container, mostly))
+        elif text := " ".join(html.unescape("".join(beside)).split()):
+            out.append(Line(text, 0, here.article, here.container, False))
         words.clear()
+        beside.clear()
         linked = 0
 
     def put(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and stack.beside:
+            beside.append(text)
+        elif text:
             words.append(text)
             if here.link:
                 linked += len(text.strip())
@@ -217,7 +258,7 @@ def lines_of(page: str) -> list[Line]:
         if closing:
             stack.end(frozenset((name,)), _REACH.get(name, frozenset()))
         elif name in NESTED:
-            if not (name in EMPTY and rest.endswith("/")):
+            if not (name in EMPTY and self_closed(rest)):
                 if name not in closed:
                     closed[name] = closings(page, name, tag.start())
                 at = closed[name].get(at, at)
@@ -237,16 +278,17 @@ def lines_of(page: str) -> list[Line]:
             continue
         elif name == "hr":
             stack.end(_P, _SCOPE)
-        elif name not in VOID and not rest.rstrip().endswith("/"):
+        elif name not in VOID:
             if name in _ENDS_P:
                 stack.end(_P, _SCOPE)
             if name in _IMPLIED:
                 stack.end(*_IMPLIED[name])
             here, is_article = stack.top(), name in ("article", "main")
-            whole, parts = marked(name, rest, bool(here.article) or is_article)
-            marks, hidden = whole | parts, bool(_HIDDEN.search(rest))
-            mark = STRONG if name in BESIDE or whole or hidden else WEAK if parts else 0
-            if mark and here.article and not here.beside and (name == "header" or marks <= _HEADERS and name not in BESIDE):
+            given = attributes(rest)
+            certain, seeming = marked(name, given, bool(here.article) or is_article)
+            marks, hidden = certain | seeming, "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(given.get("style", "")))
+            mark = STRONG if name in BESIDE or certain or hidden else WEAK if seeming else 0
+            if mark and not hidden and here.article and not stack.beside and (name == "header" or marks <= _HEADERS and name not in BESIDE):
                 mark = 0
             if is_article and marks <= _HEADERS or name in ("html", "body"):
                 mark = STRONG if hidden else 0
@@ -254,7 +296,7 @@ def lines_of(page: str) -> list[Line]:
                 stack.unmark()
                 here = stack.top()
             number += 1
-            stack.push(Element(name, mark, here.beside or bool(mark), here.link or name == "a", here.article or (number if is_article else 0), number if name in CONTAINERS else here.container))
+            stack.push(Element(name, mark, here.link or name == "a", here.article or (number if is_article else 0), number if name in CONTAINERS else here.container))
         here = stack.top()
     end_line()
     return out

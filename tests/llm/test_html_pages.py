@@ -75,6 +75,52 @@ def test_marks_say_what_is_beside(page, want):
     assert main_text(page) == want
 
 
+FURNITURE = ["class=comment-list", "class=post-comments", "class=reader-comments", "id=comments", "class=newsletter-signup", "class=ad-slot", "class='x share-buttons'", "class=cookie-banner", "class=sidebar-left", "class=site-footer", "class=related-posts", "id=comments-section", "role=navigation", "hidden", "aria-hidden=true", "style='color:red;display: none'"]
+
+
+@pytest.mark.parametrize("mark", FURNITURE)
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_furniture_goes_inside_articles_and_beside_them(tag, mark):
+    more = f"<{tag} {mark}><p>{TEXT[0]}</p><p>Another line of it.</p></{tag}>"
+    assert main_text(f"<body><article>{paragraphs(TEXT[1:4])}{more}{paragraphs(TEXT[4:])}</article></body>") == " ".join(TEXT[1:])
+    assert main_text(f"<body><article>{paragraphs(TEXT[1:])}</article>{more}</body>") == " ".join(TEXT[1:])
+    assert main_text(f"<body>{more}<div>{paragraphs(TEXT[1:])}</div></body>") == " ".join(TEXT[1:])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article data-title='the hidden gem'>{paragraphs(TEXT)}</article>",
+        f"<div data-x='a hidden gem'>{paragraphs(TEXT)}</div>",
+        f"<article data-id='search' data-class=ad>{paragraphs(TEXT)}</article>",
+        f"<article title='class=ad id=menu'>{paragraphs(TEXT)}</article>",
+        f"<nav data-base=/x/><p>{TEXT[0]}</p><a href=/>Home</a></nav><article>{paragraphs(TEXT)}</article>",
+        f"<article>{paragraphs(TEXT)}</article><aside data-u=/a/><p>{TEXT[0]}</p></aside>",
+        f"<div class='content-sidebar-wrap'><main>{paragraphs(TEXT)}</main></div>",
+        f"<article>{paragraphs(TEXT)}</article><ol class=comment-list>" + "".join(f"<li><article class=comment-body><p>{t} I say.</p></article>" for t in TEXT * 3) + "</ol>",
+        f"<article>{paragraphs(TEXT)}<div class=related-posts>{CARDS}</div></article>",
+        f"<article>{paragraphs(TEXT)}</article><div class=related-posts>{CARDS}</div>",
+        f"<article/>{paragraphs(TEXT)}</article>",
+    ],
+)
+def test_attributes_are_names_and_values(page):
+    assert main_text(page) == ALL
+
+
+@pytest.mark.parametrize("inline", ["<button>Press me</button>", "<span class='ad'>Buy now</span>", "<span hidden>Not shown</span>", "<label for=x>A label</label>", "<b class=share-buttons>Share <i>it</i></b>", "<span class='share'>share"])
+def test_inline_elements_lose_their_own_text_only(inline):
+    for kind in ("article", "div"):
+        assert main_text(f"<{kind}><p>{TEXT[0]} {inline}</p>{paragraphs(TEXT[1:])}</{kind}>") == ALL
+
+
+@pytest.mark.parametrize("piece", ["<div class='x-ad'><article></article>", "<div class='x-ad'>", "<article class=x-menu><p>", "<div class=ad><article>x</article></div>", "<span class=share>", "<a b='", "<svg a=/>", "<p =/="])
+def test_marks_and_attributes_take_linear_time(piece):
+    page = piece * (300_000 // len(piece))
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
+
+
 @pytest.mark.parametrize("tag", ["p", "div", "b", "li", "td", "article"])
 def test_unclosed_tags_take_linear_time(tag):
     n = 100_000
