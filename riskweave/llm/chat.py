@@ -152,6 +152,8 @@ def branches(messages: DataFrame, paths: int = 1) -> DataFrame:
     for k in reversed(range(len(ups))):
         up = ups[k].select("tree", F.col("id").alias("at"), F.col("up"), "total")
         climbed = climbed.join(up, ["tree", "at"], "left").select("tree", "leaf", F.coalesce("up", "at").alias("at"), (F.col("steps") + F.when(F.col("up").isNull(), 0).otherwise(1 << k)).alias("steps"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"))
+    if ups:  # what still has a parent goes round in a cycle
+        climbed = climbed.join(ups[0].select("tree", F.col("id").alias("at")), ["tree", "at"], "left_anti")
     rooted = climbed.join(nodes.select("tree", F.col("id").alias("at"), "parent", "score"), ["tree", "at"])
     mean = (F.col("sum") + F.col("score")) / (F.col("steps") + 1)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(mean.desc(), F.desc("steps"), "leaf"))

@@ -110,8 +110,9 @@ class Lists:
         alive = (self.labels[part][:, None] == labels[None, :]) == self.same
         if self.same:
             alive &= self.rows[part][:, None] != rows[None, :]
-        floor = np.maximum(self.low[part], self.scores[part, :, -1]).min(axis=1).astype(np.float64)[:, None]
-        roof = self.high[part].max(axis=1).astype(np.float64)[:, None]
+        floor = np.maximum(self.low[part], self.scores[part, :, -1]).min(axis=1)[:, None]
+        roof = self.high[part].max(axis=1)[:, None]
+        floor, roof = np.where(floor <= LEAST + 1, -np.inf, floor), np.where(roof == MOST, np.inf, roof)
         if not self.turned.steps:
             return np.nonzero(alive)
         kind = np.float32 if max(largest(mine), largest(vectors)) <= 2**20 else np.float64

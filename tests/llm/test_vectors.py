@@ -123,7 +123,7 @@ def test_hard_negatives_table(spark, sf):
 
 def lloyd(rows, k=16, rounds=3, dim=64, scale=64):
     kept = [(i, w) for i, v in rows if (w := whole(v, scale)) is not None and len(w) == dim]
-    hashed = sorted(kept, key=lambda x: (x[0] is None, sha256(f"1:{x[0]}".encode()).hexdigest() if x[0] is not None else "", [b for c in x[1] for b in c.to_bytes(2, "little", signed=True)]))
+    hashed = sorted(kept, key=lambda x: (x[0] is None, sha256(f"1:{x[0]}".encode()).hexdigest() if x[0] is not None else "", [b for c in x[1] for b in c.to_bytes(8, "little", signed=True)]))
     centroids = [v for _, v in hashed[:k]]
 
     def nearest(v):
@@ -155,9 +155,10 @@ def test_clusters_of_odd_rows(spark):
     assert clustered(frame(spark, [(i, v, None) for i, v in rows]), k=16, dim=4) == lloyd(rows, 16, 3, 4)
     assert clustered(frame(spark, []), dim=4) == (Counter(), [])
     assert clustering.report(*clustering.cluster(frame(spark, []))).collect() == []
-    huge = [(i, [x * 1e9 for x in v]) for i, v in enumerate(base)]
-    got, centroids = clustered(frame(spark, [(i, v, 1) for i, v in huge if max(map(abs, v)) < 5e8]), k=3, dim=4)
-    assert got and all(isinstance(x, int) for c in centroids for x in c)
+    large = [(i, [x * 1e6 for x in v]) for i, v in enumerate(base)]  # squares beyond what a double holds exactly
+    assert clustered(frame(spark, [(i, v, 1) for i, v in large]), k=3, dim=4) == lloyd(large, 3, 3, 4)
+    with pytest.raises(Exception, match="OverflowError|too large|not representable|out of"):
+        clustered(frame(spark, [(i, [x * 1e12 for x in v], 1) for i, v in enumerate(base)]), k=3, dim=4)
 
 
 def test_rounds_compare_only_what_changed():
