@@ -20,10 +20,11 @@ segments are the conversation. So no conversation, however long, is gathered in
 the tasks that hold them, one segment at a time.
 
 Defined results: null texts and roles are empty; a message whose parent is missing starts a
-tree; messages in a cycle of replies are on no branch and left out; rows with the same id in a
-tree are one message, the least in its values; a null tree id is one tree. `chain` orders rows
-by turn, rows without turn last, equal turns by role and text, repeated rows each a turn. An
-empty table gives an empty result; other columns are not read.
+tree; messages in a cycle of replies are on no branch and left out; so are rows without id;
+rows with the same id in a tree are one message, with the least parent and score and the least
+role and text of them; a null tree id is one tree. `chain` orders rows by turn, rows without
+turn last, equal turns by role and the digest of the text, repeated rows each a turn. An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,19 +73,25 @@ def turns(conversation: str):
 # ------------------------------------------------------------------ reply trees
 
 
-def chain(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(tree, id, parent, role, text, score): the rows of each conversation, each a reply to the one before. Scores are 0."""
+def chain(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame, str]:
+    """The rows of each conversation as a tree, each a reply to the one before: nodes (tree, id, parent, score 0), texts (tree, id, role, text), and the folder these are stored in."""
     plain = rows.select(F.col(conv_id).cast("long").alias("tree"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("tree"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    place = cut(plain.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "role", "text", F.monotonically_increasing_id().alias("id")))
-    linked = place.select("tree", "id").mapInArrow(_links, "tree long, id long, parent long, part int, kind int")
-    linked = cut(linked)
+    stored, folder = written(plain.withColumn("id", F.monotonically_increasing_id()), "turns")
+    narrow = stored.select("tree", "turn", "role", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "id")
+    order = [F.col("tree"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("digest")]
+    linked = cut(narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "id").mapInArrow(_links, "tree long, id long, parent long, part int, kind int"))
     # A partition's first row follows the last one of the partition before, if that is of its conversation.
-    edges = linked.where("kind > 0").groupBy("part").agg(F.min_by("id", "id").alias("first"), F.min_by(F.struct("tree"), "id").alias("first_tree"), F.max("id").alias("last"), F.max_by(F.struct("tree"), "id").alias("last_tree"))
-    before = edges.select("first", F.when(F.lag("last_tree").over(w := Window.orderBy("part")) == F.col("first_tree"), F.lag("last").over(w)).alias("before"))  # a row for each partition
-    before = before.where("before IS NOT NULL").select(F.col("first").alias("id"), "before")
-    links = linked.where("kind < 2").select("id", "parent").join(F.broadcast(before), "id", "left").select("id", F.coalesce("parent", "before").alias("parent"))
-    return place.join(links, "id").select("tree", "id", "parent", "role", "text", F.lit(0.0).alias("score"))
+    edge = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("tree", "id")))
+    edges = linked.where("kind > 0").groupBy("part").agg(edge(1).alias("first"), edge(2).alias("last"))  # a row for each partition
+    last = F.lag("last").over(Window.orderBy("part"))
+    before = edges.select("first", last.alias("last")).where("last IS NOT NULL AND first.tree <=> last.tree").select(F.col("first.id").alias("id"), F.col("last.id").alias("before"))
+    nodes = linked.where("kind < 2").join(F.broadcast(before), "id", "left").select("tree", "id", F.coalesce("parent", "before").alias("parent"), F.lit(0.0).alias("score"))
+    return nodes, stored.select("tree", "id", "role", "text"), folder
+
+
+def trees(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and texts of messages (tree, id, parent, role, text, score)."""
+    return messages.select("tree", "id", "parent", "score"), messages.select("tree", "id", "role", "text")
 
 
 def _links(batches):
@@ -136,11 +143,19 @@ def _joined(left: DataFrame, above: DataFrame, plain: bool) -> DataFrame:
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(above, key))
 
 
-def branches(messages: DataFrame, paths: int = 1) -> DataFrame:
-    """(tree, path, place, n_turns, role, text): the turns of the `paths` best branches of each tree, path from 0, place from 0."""
+def branches(nodes: DataFrame, texts: DataFrame, paths: int = 1, unique: bool = False) -> DataFrame:
+    """(tree, path, place, n_turns, role, text): the turns of the `paths` best branches of each tree, path from 0, place from 0.
+
+    Texts are moved once, to their places. `unique` says that no id repeats, as in `chain`.
+    """
     key = ["tree", "id"]
-    named = messages.select(F.coalesce(F.col("tree").cast("long"), F.lit(LAST)).alias("tree"), F.col("id").cast("long").alias("id"), F.col("parent").cast("long").alias("parent"), "role", "text", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
-    nodes = cut(named.where("id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("parent", "role", "text", "score")).alias("row")).select(*key, "row.*"))
+    keyed = lambda df, *more: df.select(F.coalesce(F.col("tree").cast("long"), F.lit(LAST)).alias("tree"), F.col("id").cast("long").alias("id"), *more).where("id IS NOT NULL")
+    nodes = keyed(nodes, F.col("parent").cast("long").alias("parent"), F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
+    texts = keyed(texts, "role", "text")
+    if not unique:
+        nodes = nodes.groupBy(*key).agg(F.min(F.struct("parent", "score")).alias("row")).select(*key, "row.*")
+        texts = texts.groupBy(*key).agg(F.min(F.struct("role", "text")).alias("said")).select(*key, "said.*")
+    nodes = cut(nodes)
     links = nodes.where("parent IS NOT NULL").select(*key, F.col("parent").alias("up")).join(nodes.select("tree", F.col("id").alias("up")), ["tree", "up"], "left_semi")
     ups = jumps(links, nodes.select(*key, F.col("score").alias("weight")))
     answered = ups[0].select("tree", F.col("up").alias("id")).distinct() if ups else None
@@ -164,7 +179,7 @@ def branches(messages: DataFrame, paths: int = 1) -> DataFrame:
         further = on_path.join(up.select(*key, "up"), key).select("tree", "path", F.col("up").alias("id"), (F.col("place") - (1 << k)).alias("place"), "n_turns")
         on_path = cut(on_path.unionByName(further))
     tree = F.when(F.col("tree") != LAST, F.col("tree")).alias("tree")
-    return on_path.join(nodes.select(*key, "role", "text"), key).select(tree, "path", "place", "n_turns", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return on_path.join(texts, key).select(tree, "path", "place", "n_turns", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 # ------------------------------------------------------------------ texts
@@ -199,7 +214,7 @@ def _segments(batches, most: int):
 def conversations(turns_: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(tree, path, first, turns, n_turns, text, loss): formatted segments of the branches' turns; most conversations are one."""
     order = ["tree", "path", "place"]
-    rows = cut(turns_.select(*order, "n_turns", "role", "text"))
+    rows = turns_.select(*order, "n_turns", "role", "text")
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _batched(_segments(it, segment)), _SEGMENT)
 
 
@@ -265,6 +280,6 @@ def digests(segments: DataFrame) -> DataFrame:
     return whole.mapInArrow(_digested, _DIGEST).unionByName(split.mapInArrow(_digested, _DIGEST))
 
 
-def write_conversations(messages: DataFrame, paths: int = 1, segment: int = SEGMENT) -> tuple[DataFrame, str]:
+def write_conversations(nodes: DataFrame, texts: DataFrame, paths: int = 1, segment: int = SEGMENT, unique: bool = False) -> tuple[DataFrame, str]:
     """Format the best branches of all reply trees and write them as Parquet; the table read from there, and its folder."""
-    return written(conversations(branches(messages, paths), segment), "conversations")
+    return written(conversations(branches(nodes, texts, paths, unique), segment), "conversations")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, clustering, fingerprint, html_text, langid, media, mining, near_dup, oracle, packing, sharding, substring, token_files
-from .common import new_folder
+from .common import discard, new_folder
 
 END_ID, CAPACITY, SHARDS = 2, 1024, 16
 
@@ -87,7 +87,9 @@ _PLANTED = "\\### Assistant: </turn> ok"
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", _PLANTED), (-7, 1, "assistant", _PLANTED)], "conv_id long, turn long, role string, text string")
-    segments, _ = chat.write_conversations(chat.chain(rows.unionByName(planted)))
+    nodes, texts, stored = chat.chain(rows.unionByName(planted))
+    segments, _ = chat.write_conversations(nodes, texts, unique=True)
+    discard(spark, stored)
     return chat.digests(segments).select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

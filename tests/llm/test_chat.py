@@ -76,16 +76,16 @@ SCHEMA = "tree long, id long, parent long, role string, text string, score doubl
 @pytest.mark.parametrize("paths", [1, 3])
 def test_best_branches_brute_force(spark, paths):
     rows = [x for k, n in enumerate([1, 2, 3, 40, 300]) for x in tree(k, k, n)]
-    got = read(chat.conversations(chat.branches(spark.createDataFrame(rows, SCHEMA).repartition(3), paths), segment=200))
+    got = read(chat.conversations(chat.branches(*chat.trees(spark.createDataFrame(rows, SCHEMA).repartition(3)), paths), segment=200))
     assert got == best(rows, paths)
 
 
 def test_odd_trees(spark):
     rows = [(1, 1, None, "user", "root", 0.0), (1, 2, 1, "assistant", "yes", 1.0), (1, 2, 1, "assistant", "yes", 1.0), (1, 3, 99, "user", "orphan", 0.2), (1, 4, 5, "user", "cycle", 9.0), (1, 5, 4, "user", "cycle", 9.0), (1, 6, 5, "user", "below", 9.0),
             (None, 1, None, None, None, None), (2, None, None, "user", "no id", 0.0), (3, 7, 7, "user", "itself", 5.0)]
-    got = read(chat.conversations(chat.branches(spark.createDataFrame(rows, SCHEMA), 5)))
+    got = read(chat.conversations(chat.branches(*chat.trees(spark.createDataFrame(rows, SCHEMA)), 5)))
     assert got == {(1, 0): [("user", "root"), ("assistant", "yes")], (1, 1): [("user", "orphan")], (None, 0): [("", "")]}
-    assert chat.digests(chat.conversations(chat.branches(spark.createDataFrame([], SCHEMA)))).collect() == []
+    assert chat.digests(chat.conversations(chat.branches(*chat.trees(spark.createDataFrame([], SCHEMA))))).collect() == []
 
 
 def digest(rows) -> tuple:
@@ -104,15 +104,15 @@ def test_chains_of_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string, " + ", ".join(f"{c} string" for c in CLASH)
     df = spark.createDataFrame([(*x, *["clash"] * len(CLASH)) for x in said], schema).repartition(7)
     groups = defaultdict(list)
-    for c, t, role, text in sorted(said, key=lambda x: (str(x[0]), x[1] is None, x[1] or 0, x[2] or "", x[3] or "")):
+    for c, t, role, text in sorted(said, key=lambda x: (str(x[0]), x[1] is None, x[1] or 0, x[2] or "", sha256((x[3] or "").encode()).digest())):
         groups[c].append((role, text))
     want = {c: digest(rows) for c, rows in groups.items()}
-    turns = chat.branches(chat.chain(df))
+    turns = chat.branches(*chat.chain(df)[:2], unique=True).cache()
     assert digested(chat.conversations(turns)) == want
     split = chat.conversations(turns, segment=500)
     assert Counter(r["tree"] for r in split.collect())[5] > 20
     assert digested(split) == want
-    assert chat.chain(df.limit(0)).collect() == []
+    assert chat.branches(*chat.chain(df.limit(0))[:2]).collect() == []
 
 
 def test_table(spark, sf):
