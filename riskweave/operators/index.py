@@ -6,10 +6,9 @@
 from __future__ import annotations
 
 import hashlib
-from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, words
@@ -30,14 +29,20 @@ def doc_lengths(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenize
     return tokenized(docs, key, tokenizer).select(*key, F.size("tokens").cast("long").alias("length"))
 
 
-def postings(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
-    """(key, term, tf). A row is a document, so its terms are counted in place, as runs of its sorted tokens; nothing is shuffled."""
-    rows = tokenized(docs, key, tokenizer).select(*key, F.sort_array("tokens").alias("_sorted")).where(F.size("_sorted") > 0)
+def runs(rows: DataFrame, tokens: str, *more: str) -> DataFrame:
+    """(more, _sorted, _runs): the sorted tokens of each row, and from and to where each distinct one stands in them. Nothing is shuffled."""
+    rows = rows.select(*more, F.sort_array(tokens).alias("_sorted"))
     begins = F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", F.greatest(i - 1, F.lit(0)))))
-    rows = rows.withColumn("_begins", begins)
+    rows = rows.withColumn("_begins", F.when(F.size("_sorted") > 0, begins).otherwise(F.array().cast("array<int>")))
     ends = F.concat(F.slice("_begins", 2, F.size("_begins")), F.array(F.size("_sorted")))
-    runs = rows.select(*key, "_sorted", F.explode(F.arrays_zip(F.col("_begins").alias("a"), ends.alias("b"))).alias("_run"))
-    return runs.select(*key, F.get("_sorted", F.col("_run.a")).alias("term"), (F.col("_run.b") - F.col("_run.a")).cast("long").alias("tf"))
+    return rows.select(*more, "_sorted", F.when(F.size("_sorted") > 0, F.arrays_zip(F.col("_begins").alias("a"), ends.alias("b"))).alias("_runs"))
+
+
+def postings(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
+    """(key, term, tf). A row is a document, so its terms are counted in place, as runs of its sorted tokens; nothing is shuffled."""
+    # An outer generator: of an inner one Spark infers a filter on all that its input is made of.
+    rows = runs(tokenized(docs, key, tokenizer), "tokens", *key).select(*key, "_sorted", F.explode_outer("_runs").alias("_run")).where("_run IS NOT NULL")
+    return rows.select(*key, F.get("_sorted", F.col("_run.a")).alias("term"), (F.col("_run.b") - F.col("_run.a")).cast("long").alias("tf"))
 
 
 def file_stats(lengths: DataFrame) -> DataFrame:
@@ -135,55 +140,3 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def stale(index_files: DataFrame, files: DataFrame) -> DataFrame:
     """Index parts whose file is gone."""
     return index_files.select("_file").join(files.select("_file"), "_file", "left_anti").distinct()
-
-
-def _prune(spark, path: str, files: set[str]) -> None:
-    """Delete the partition folders of these files; folder names are escaped as in URLs."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(where):
-        if unquote(status.getPath().getName().removeprefix("_file=")) in files:
-            fs.delete(status.getPath(), True)
-
-
-def write_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words) -> None:
-    """Write postings (sorted by term), doc_lengths, terms, stats and manifest of the files in `messages`; other files' parts stay."""
-    spark = messages.sparkSession
-
-    def write(name: str, part: DataFrame) -> DataFrame:
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_file").parquet(f"{path}/{name}")
-        return read_part(spark, path, name)
-
-    files = messages.select("_file").distinct()
-    mine = lambda part: part.join(files, "_file", "left_semi")  # what was just written, not other files' parts
-    posts = write("postings", postings(messages, tokenizer=tokenizer).repartition("_file", "term").sortWithinPartitions("_file", "term"))
-    lengths = write("doc_lengths", doc_lengths(messages, tokenizer=tokenizer))
-    write("terms", mine(file_df(posts)).sortWithinPartitions("term"))
-    write("stats", mine(file_stats(lengths)))
-    write("manifest", manifest(messages))
-
-
-def read_part(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One of an index's tables; file names stay text, whatever they look like."""
-    part = spark.read.parquet(f"{path}/{name}")
-    return part.withColumn("_file", F.col("_file").cast("string"))
-
-
-def refresh_index(messages: DataFrame, path: str, tokenizer: Tokenizer = words) -> list[str]:
-    """Bring an index up to date: rebuild files that are new or changed, prune those that are gone. Gives the files rebuilt."""
-    spark = messages.sparkSession
-    try:
-        old = read_part(spark, path, "manifest")
-    except Exception as e:  # no index yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = spark.createDataFrame([], "_file string, fingerprint string, version int")
-    found = {r["_file"]: r["status"] for r in manifest_diff(old, manifest(messages)).where("status <> 'unchanged'").collect()}  # a row for each changed file
-    fresh = sorted(f for f, s in found.items() if s != "removed")
-    if gone := {f for f, s in found.items() if s == "removed"}:
-        for name in ("postings", "doc_lengths", "terms", "stats", "manifest"):
-            _prune(spark, f"{path}/{name}", gone)
-    if fresh:
-        write_index(messages.join(F.broadcast(spark.createDataFrame([(f,) for f in fresh], "_file string")), "_file", "left_semi"), path, tokenizer)
-    return fresh

@@ -30,6 +30,22 @@ scores AS (SELECT _file, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 {select}"""
 
 
+def over(table: str, statement: str) -> str:
+    """The statement over another table in place of one of the given ones."""
+    return statement.replace("WITH ", f"WITH {table}, ", 1)
+
+
+def bm25_many(queries: tuple[str, ...], limit: int) -> str:
+    """The best messages of each query."""
+    asked = " UNION ALL ".join(f"SELECT '{q}' AS query, '{t}' AS term" for q in queries for t in sorted(set(q.split())))
+    return f"""WITH {_MESSAGES}, {_TOKENS}, asked AS ({asked}),
+meta AS (SELECT count(*) AS n, round(sum(len(tokens)) / count(*), 6) AS avgdl FROM tokens),
+tf AS (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tokens) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scores AS (SELECT query, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term), meta GROUP BY query, doc_id)
+SELECT query, _file, _row, score FROM scores JOIN messages USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, _file, _row) <= {limit}"""
+
+
 def hot(more: str, limit: int, select: str) -> str:
     return f"""WITH {_TOKENS}, df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY term),
 hot AS (SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(df * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS score FROM df, (SELECT count(*) AS n FROM documents)

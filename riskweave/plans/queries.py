@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk, text, values
-from ..operators import batch, display, evaluate, hot_terms, index, reply, search, sessions, training, verify, vote
+from ..operators import batch, display, evaluate, hot_terms, index, reply, search, segments, sessions, training, verify, vote
 from ..schema import HOT_MIN_DF
 from ..session import shared_folder
 from ..sources import messages as files
@@ -131,56 +131,143 @@ def hot_terms_limit_zero(spark, d):
 
 # ------------------------------------------------------------------ a stored index
 
-_indexes: dict[tuple[str, str], str] = {}
+_indexes: dict[tuple[str, str], segments.Index] = {}
+_DF = "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY ALL"
 
 
-def _index(spark: SparkSession, d: str) -> str:
+def _new_index(spark: SparkSession, messages: DataFrame) -> segments.Index:
+    made = segments.Index(spark, shared_folder(spark, "index"))
+    made.update(messages)
+    return made
+
+
+def _index(spark: SparkSession, d: str) -> segments.Index:
     """An index of the messages, written once for each application and table."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
-        path = shared_folder(spark, "index")
-        index.write_index(td.messages(spark, d), path)
-        _indexes[key] = path
+        _indexes[key] = _new_index(spark, td.messages(spark, d))
     return _indexes[key]
 
 
+@query(sql.tokens(_DF))
+def index_build(spark, d):
+    """An index is written anew; its document frequencies."""
+    return _new_index(spark, td.messages(spark, d)).terms()
+
+
 @query(sql.bm25(QUERY, "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)"))
 def bm25_indexed(spark, d):
-    """Postings, document frequencies and statistics come from the index; no text is read."""
-    found = search.indexed_scores(spark, _index(spark, d), search.query_terms(spark, QUERY))
+    """Postings, lengths, document frequencies and statistics come from the index; no text is read."""
+    found = search.indexed_scores(_index(spark, d), search.query_terms(spark, QUERY))
     return found.select("_file", "_row", F.round("score", 6).alias("score"))
 
 
 @query(sql.bm25("mit license", "SELECT m._file, m._row, h.score, m.content FROM (SELECT s.score, m.* FROM scores s JOIN signed m USING (doc_id) ORDER BY s.score DESC, m._file, m._row LIMIT 3) h JOIN signed m USING (doc_id)"))
 def bm25_indexed_topk(spark, d):
-    hits = search.search_index(spark, _index(spark, d), "MIT license")
+    hits = search.search_index(_index(spark, d), "MIT license")
     return td.messages(spark, d).select("_file", "_row", "content").join(F.broadcast(hits), ["_file", "_row"])  # three hits
 
 
 @query(sql.bm25("qqqqzzzz", "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)"))
 def bm25_indexed_no_hit(spark, d):
-    found = search.indexed_scores(spark, _index(spark, d), search.query_terms(spark, "qqqqzzzz"))
+    found = search.indexed_scores(_index(spark, d), search.query_terms(spark, "qqqqzzzz"))
     return found.select("_file", "_row", F.round("score", 6).alias("score"))
 
 
+#: Searches of one, two and more terms, rare and common ones, and one that nothing matches.
+SEARCHES = ("license", "the", "mit license", "der die das", "que", "released under the", "la le les un", "und ein license", "qqqqzzzz", "of")
+
+
+@query(sql.bm25_many(SEARCHES, 7))
+def bm25_bounded(spark, d):
+    """The best messages of several searches, by bounds of blocks."""
+    index_ = _index(spark, d)
+    out = None
+    for text_ in SEARCHES:
+        found = search.best_of_index(index_, search.query_terms(spark, text_), 7, (4, 16)).hits.withColumn("query", F.lit(text_))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(sql.messages("SELECT term, _file, _row // 128 AS _block, count(*) AS n, max(tf) AS max_tf, min(length) AS min_length FROM (SELECT _file, _row, term, count(*) AS tf, any_value(length) AS length FROM (SELECT _file, _row, len(tokens) AS length, unnest(tokens) AS term FROM (SELECT *, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS tokens FROM messages)) GROUP BY _file, _row, term) GROUP BY ALL"))
+def index_blocks(spark, d):
+    return _index(spark, d).blocks().select("term", "_file", "_block", "n", "max_tf", "min_length")
+
+
 @query(sql.tokens("SELECT _file, count(*) AS doc_count, sum(len(tokens))::BIGINT AS total_length FROM tokens GROUP BY _file"))
 def index_file_stats(spark, d):
-    return index.read_part(spark, _index(spark, d), "stats").select("_file", "doc_count", "total_length")
+    return _index(spark, d).stats()
 
 
 @query(sql.tokens("SELECT count(*) AS doc_count, sum(len(tokens))::BIGINT AS total_length, round(sum(len(tokens)) / count(*), 6) AS avgdl FROM tokens"))
 def index_stored_meta(spark, d):
-    return index.stored_meta(index.read_part(spark, _index(spark, d), "stats"))
+    return index.stored_meta(_index(spark, d).stats())
 
 
-@query(sql.tokens("SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY ALL"))
+@query(sql.tokens(_DF))
 def index_stored_terms(spark, d):
-    return index.read_part(spark, _index(spark, d), "terms").groupBy("term").agg(F.sum("df").alias("df"))
+    return _index(spark, d).terms()
+
+
+@query(sql.messages("SELECT _file, _row, _signature, len(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS length FROM signed"))
+def index_docs(spark, d):
+    return _index(spark, d).docs()
+
+
+def _blanked(messages: DataFrame) -> DataFrame:
+    """A later version: texts of every third document are blank."""
+    return messages.withColumn("content", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("content"))).withColumn("_signature", text.signature())
 
 
-@query("SELECT DISTINCT concat(source, '.csv') AS _file, 1 AS version FROM documents")
-def index_manifest(spark, d):
-    return index.read_part(spark, _index(spark, d), "manifest").select("_file", "version")
+_BLANK = "documents AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text) FROM main.documents)"
+
+
+@query(sql.over(_BLANK, sql.bm25("license", "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)")))
+def index_refresh_blank(spark, d):
+    """After an update, no posting of a text that became blank is left, and counts are those of the new texts."""
+    m = td.messages(spark, d)
+    index_ = _new_index(spark, m)
+    index_.update(_blanked(m))
+    return search.indexed_scores(index_, ["license"]).select("_file", "_row", F.round("score", 6).alias("score"))
+
+
+@query("SELECT 0::BIGINT AS hits_of_none, 0::BIGINT AS hits_of_blank, count(*) AS doc_count FROM documents")
+def index_empty_search(spark, d):
+    """An index that was never written, and one of blank texts only, give no hits."""
+    m, none = td.messages(spark, d), segments.Index(spark, shared_folder(spark, "index"))
+    blank = _new_index(spark, m.withColumn("content", F.lit(" ")))
+    hits = lambda i, name: search.search_index(i, "license").agg(F.count("*").alias(name))
+    return hits(none, "hits_of_none").crossJoin(hits(blank, "hits_of_blank")).crossJoin(index.stored_meta(blank.stats()).select("doc_count"))
+
+
+def _changed_index(spark, d, compact: bool) -> segments.Index:
+    """An index that documents came to in two batches, of which some then changed, moved up or went; compacted at last, or between."""
+    m = td.messages(spark, d)
+    index_ = _new_index(spark, m.where(F.col("doc_id") % 4 != 1))
+    index_.update(m)
+    if not compact:
+        index_.compact()
+    index_.update(_blanked(m))
+    later = verify.delete(_blanked(m), m.where(F.col("doc_id") % 7 == 2).select("_file", "_row", F.lit("").alias("signature"))).withColumn("_signature", text.signature())
+    index_.update(later)
+    if compact:
+        index_.compact()
+        index_.vacuum()
+    return index_
+
+
+_LATER = "documents AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text END AS text) FROM main.documents WHERE doc_id % 7 <> 2)"
+
+
+@query(sql.over(_LATER, sql.tokens(_DF)))
+def index_changed_terms(spark, d):
+    return _changed_index(spark, d, False).terms()
+
+
+@query(sql.over(_LATER, sql.bm25(QUERY, "SELECT m._file, m._row, h.score FROM scores h JOIN signed m USING (doc_id)")))
+def index_compacted_scores(spark, d):
+    found = search.indexed_scores(_changed_index(spark, d, True), search.query_terms(spark, QUERY))
+    return found.select("_file", "_row", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ messages

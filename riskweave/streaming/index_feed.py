@@ -1,7 +1,7 @@
 """An extension: feed an index from a stream of message files.
 
-Each micro-batch has whole files; their parts of the index are rebuilt, so a batch that
-runs twice after a failure leaves the same index.
+Each micro-batch has whole files; the index takes their new and changed rows and drops
+those they no longer have, so a batch that runs twice after a failure leaves the same index.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import signature
-from ..operators.index import write_index
+from ..operators.segments import Index
 from ..schema import COLUMNS
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("_file", *COLUMNS)]).add("_row", T.LongType())
@@ -25,5 +25,9 @@ def message_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -
 
 
 def feed_index(messages: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
-    """Rebuild the index parts of the files of each batch, until the stream has no more input."""
-    return messages.writeStream.foreachBatch(lambda batch, _: write_index(batch, index)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Update the index by the files of each batch, until the stream has no more input."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        Index(rows.sparkSession, index).update(rows, whole_files=True)
+
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

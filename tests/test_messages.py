@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.operators import index, search, verify
+from riskweave.functions.text import signature
+from riskweave.operators import search, segments, verify
 from riskweave.schema import COLUMNS
 from riskweave.sources import messages as src
 
@@ -71,21 +72,19 @@ def test_states(spark, folder):
 
 
 def test_index_upkeep(spark, folder, tmp_path):
-    m, path = src.load_all(spark, folder), str(tmp_path / "index")
-    assert index.refresh_index(m, path) == ["a b%.csv", "消息.csv"]
-    assert index.refresh_index(m, path) == []
-    assert spark.read.parquet(f"{path}/postings").agg(F.sum("tf")).first()[0] == spark.read.parquet(f"{path}/doc_lengths").agg(F.sum("length")).first()[0]
+    m, stored = src.load_all(spark, folder), segments.Index(spark, str(tmp_path / "index"))
+    assert stored.update(m) == (5, 0)
+    assert stored.update(m) == (0, 0)
     terms = search.query_terms(spark, "License license two")
     assert sorted(terms) == ["license", "two"]
     one = {(r["_file"], r["_row"]): round(r["score"], 9) for r in search.scores(m, terms).collect()}
-    two = {(r["_file"], r["_row"]): round(r["score"], 9) for r in search.indexed_scores(spark, path, terms).collect()}
+    two = {(r["_file"], r["_row"]): round(r["score"], 9) for r in search.indexed_scores(stored, terms).collect()}
     assert one == two and len(one) == 2
     assert search.search(m, "license").count() == 1 and search.search(m, "").count() == 0 and search.search(m, "license", 0).count() == 0
-    changed = m.withColumn("content", F.when(F.col("_file") == "消息.csv", "new words").otherwise(F.col("content")))
-    assert index.refresh_index(changed, path) == ["消息.csv"]
-    assert index.refresh_index(m.where(F.col("_file") == "消息.csv"), path) == ["消息.csv"]
-    assert [r[0] for r in spark.read.parquet(f"{path}/manifest").select("_file").collect()] == ["消息.csv"]
-
+    changed = m.withColumn("content", F.when(F.col("_file") == "消息.csv", "new words").otherwise(F.col("content"))).withColumn("_signature", signature())
+    assert stored.update(changed) == (2, 2)
+    assert stored.update(m.where(F.col("_file") == "消息.csv")) == (2, 5)
+    assert [r["_file"] for r in stored.stats().collect()] == ["消息.csv"]
 
 def test_stop_words(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("# comment\nThe\n\n of \n", encoding="utf-8")

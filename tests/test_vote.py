@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave import models
-from riskweave.operators import batch, evaluate, reply, sessions, training, vote
+from riskweave.operators import batch, evaluate, reply, segments, sessions, training, vote
 from riskweave.streaming import index_feed
 
 OUT = "id int, outputs array<struct<ordinal:int,model_id:string,available:boolean,score:double,reason:string>>"
@@ -175,4 +175,4 @@ def test_index_stream(spark, tmp_path):
     rows = [("f", "one two", "", "", "", "", "", 0), ("g", "two", "", "", "", "", "", 0)]
     spark.createDataFrame(rows, index_feed.SCHEMA).write.parquet(str(tmp_path / "in"))
     index_feed.feed_index(index_feed.message_stream(spark, str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == 3
+    assert {r["term"]: r["df"] for r in segments.Index(spark, str(tmp_path / "index")).terms().collect()} == {"one": 1, "two": 2}
