@@ -7,7 +7,10 @@ makes it on the executor; what it can't make or what `detect` refuses is unavail
 from __future__ import annotations
 
 import math
+import queue
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -18,6 +21,10 @@ from .operators import reply
 from .schema import ATTEMPTS, RUN_FAILED, RUN_INVALID
 
 
+#: Calls of a task that are under way at a time.
+POOL = 8
+
+
 class CheckError(Exception):
     """A message that couldn't be scored; its text may be shown."""
 
@@ -135,28 +142,58 @@ def run(messages: DataFrame, factory: Callable[[], Model], column: str = "conten
     return messages.mapInPandas(part, schema)
 
 
-def run_chat(messages: DataFrame, make: Callable[[], Chat], column: str = "content", attempts: int = ATTEMPTS) -> DataFrame:
+class Late(Exception):
+    """A call that took longer than its deadline."""
+
+
+def within(seconds: float, call: Callable[[], str]) -> str:
+    """The result of a call that ends in time, else Late. A late call goes on in a thread nobody waits for."""
+    done: queue.SimpleQueue = queue.SimpleQueue()
+
+    def work() -> None:
+        try:
+            done.put((True, call()))
+        except BaseException as e:
+            done.put((False, e))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        good, value = done.get(timeout=seconds)
+    except queue.Empty:
+        raise Late from None
+    if not good:
+        raise value
+    return value
+
+
+def asked(chat: Chat, text: str | None, attempts: int, deadline: float) -> str:
+    """The first acceptable reply within `attempts` calls, else the last reply there was."""
+    found = ""
+    for _ in range(attempts):
+        try:
+            found = within(deadline, lambda: chat.ask(text or "")) or ""
+        except Exception:  # failed or late: the details aren't passed on
+            continue
+        if reply.acceptable(found):
+            break
+    return found
+
+
+def run_chat(messages: DataFrame, make: Callable[[], Chat], column: str = "content", attempts: int = ATTEMPTS, pool: int = POOL, deadline: float | None = None) -> DataFrame:
     """Ask a chat model about each message and check the replies: adds reply, ok, score, reason.
 
-    A message whose call fails or whose reply isn't valid is asked again, up to `attempts`
-    times in all; details of a failed call aren't passed on.
+    Each task has up to `pool` calls under way at a time, so a client must bear calls from
+    several threads; rows keep their order. A message whose call fails, takes longer than
+    `deadline` seconds (the model's own timeout) or whose reply isn't valid is asked again, up
+    to `attempts` times in all; details of a failed call aren't passed on.
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in messages.schema)}, reply string"
 
-    def ask(chat: Chat, text) -> str:
-        found = ""
-        for _ in range(attempts):
-            try:
-                found = chat.ask(text or "") or ""
-            except Exception:
-                continue
-            if reply.acceptable(found):
-                break
-        return found
-
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chat = make()
-        for frame in frames:
-            yield frame.assign(reply=[ask(chat, t) for t in frame[column]])
+        seconds = chat.options["timeout"] if deadline is None else deadline
+        with ThreadPoolExecutor(pool) as workers:
+            for frame in frames:
+                yield frame.assign(reply=list(workers.map(lambda t: asked(chat, t, attempts, seconds), frame[column])))
 
     return reply.checked(messages.mapInPandas(part, schema))

@@ -285,6 +285,15 @@ def load_all_csv(spark, d):
     return m.select("_file", "_row", "_signature", F.sha1(F.col("content").cast("binary")).alias("content_sha1"), "nature", "fake_probability", "source", "publish_time", "process_time")
 
 
+@query(sql.messages(f"SELECT _file, _row, _signature, {_HEAD} FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY _file ORDER BY doc_id) - 1 AS _row) FROM signed)"))
+def load_all_csv_blocks(spark, d):
+    """As `load_all_csv`, every file read in blocks of 64 KB by tasks of their own."""
+    folder, messages = shared_folder(spark, "csv"), td.messages(spark, d)
+    files.write_tables(messages, folder)
+    m = files.load_all(spark, folder, large=0, block=1 << 16)
+    return m.select("_file", "_row", "_signature", F.sha1(F.col("content").cast("binary")).alias("content_sha1"), "nature", "fake_probability", "source", "publish_time", "process_time")
+
+
 @query(sql.training("SELECT content, nature, label FROM data"))
 def train_scan_csv(spark, d):
     """The training set from CSV files; one without the columns is skipped."""
@@ -563,6 +572,41 @@ def batch_checkpoints(spark, d):
     return batch.checkpoints(_scored(spark, d, True))
 
 
+class _Stopped(Exception):
+    pass
+
+
+def _stopped_and_resumed(spark, d) -> tuple[DataFrame, batch.Journal]:
+    """Score every message in five slices; the first run stops in its third slice, the second goes on."""
+    m, journal = td.messages(spark, d), batch.Journal(spark, shared_folder(spark, "journal"))
+    size = -(-m.agg(F.max("_row") + 1).first()[0] // 5)  # five slices
+    slices = iter(range(2))
+
+    def stopping(rows: DataFrame) -> DataFrame:
+        if next(slices, None) is None:
+            raise _Stopped
+        return rows.withColumn("score", td.raw_score(57))
+
+    try:
+        batch.run_slices(m, stopping, journal, True, size)
+    except _Stopped:
+        pass
+    batch.run_slices(m, lambda rows: rows.withColumn("score", td.raw_score(57)), journal, True, size)
+    return m, journal
+
+
+@query(sql.batch("true", "SELECT _file, _row, fake_probability, outcome FROM scored"))
+def batch_resumed(spark, d):
+    """A run that was stopped between slices and taken up again gives what an undisturbed one gives."""
+    return batch.resumed(*_stopped_and_resumed(spark, d), override=True).select("_file", "_row", "fake_probability", "outcome")
+
+
+@query(sql.messages("SELECT _file, _row, 1::BIGINT AS times FROM messages"))
+def batch_journal(spark, d):
+    """No message is scored twice."""
+    return _stopped_and_resumed(spark, d)[1].entries().groupBy("_file", "_row").agg(F.count("*").alias("times"))
+
+
 # ------------------------------------------------------------------ verification
 
 

@@ -18,7 +18,10 @@ from pyspark.sql import types as T
 
 from ..functions.text import signature
 from ..schema import COLUMNS, NA_TOKENS
+from .csv_blocks import BLOCK, File, read_blocks, readable
 
+#: Bytes from which a file is read in blocks.
+LARGE = 8 * BLOCK
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
 
@@ -64,6 +67,17 @@ def _header(spark: SparkSession, fs, path) -> list[str] | None:
     return None if line is None else next(csv.reader(io.StringIO(line.removeprefix("\ufeff"))), [])
 
 
+def _ends_with_crlf(spark: SparkSession, fs, path) -> bool:
+    """Whether the first line of a file does."""
+    stream = fs.open(path)
+    try:
+        while (byte := stream.read()) not in (-1, 10, 13):
+            pass
+        return byte == 13 and stream.read() == 10
+    finally:
+        stream.close()
+
+
 def _read(spark: SparkSession, paths: list[str], names: list[str], columns: tuple[str, ...]) -> DataFrame:
     """Files with one header, in one scan: `columns` as text and _file; a file comes in one piece."""
     places = T.StructType([T.StructField(f"_{k}", T.StringType()) for k in range(len(names))])
@@ -113,9 +127,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return located(_scans(spark, [checked_name(spark, folder, name)], COLUMNS))
 
 
-def load_all(spark: SparkSession, folder: str) -> DataFrame:
-    """All tables of a folder; (_file, _row) gives their order."""
-    return located(_scans(spark, [f"{folder.rstrip('/')}/{name}" for name in list_tables(spark, folder)], COLUMNS))
+def load_all(spark: SparkSession, folder: str, large: int = LARGE, block: int = BLOCK) -> DataFrame:
+    """All tables of a folder; (_file, _row) gives their order. Files of at least `large` bytes are read in blocks, by many tasks each."""
+    fs, where, Path = _hadoop(spark, folder)
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in list_tables(spark, folder)}
+    in_blocks = {name for name, path in paths.items() if fs.getFileStatus(Path(path)).getLen() >= large and readable(path)}
+    found = []
+    for name in sorted(in_blocks):
+        path = Path(paths[name])
+        if names := _header(spark, fs, path):
+            found.append(File(name, paths[name], fs.getFileStatus(path).getLen(), names, _ends_with_crlf(spark, fs, path)))
+    out = located(_scans(spark, [p for name, p in paths.items() if name not in in_blocks], COLUMNS))
+    return out.unionByName(read_blocks(spark, found, COLUMNS, block).withColumn("_signature", signature())) if found else out
 
 
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
