@@ -5,9 +5,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +12,8 @@ from ..functions.text import Tokenizer, words
 from ..schema import INDEX_VERSION
 
 KEY = ("_file", "_row")
-#: Rows of a file whose digests are joined together.
-DIGESTED = 64
+#: Rows or nodes whose digests are joined together, and levels of nodes above the rows' ranges.
+DIGESTED, LEVELS = 64, 4
 
 
 def tokenized(docs: DataFrame, key: tuple[str, ...] = KEY, tokenizer: Tokenizer = words) -> DataFrame:
@@ -87,39 +84,87 @@ def terms(docs: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
 
 
 def digest_ranges(messages: DataFrame) -> DataFrame:
-    """(_file, _range, n, digests): the row digests of each range of DIGESTED rows of a file, joined in row order."""
+    """(_file, _range, n, digest): rows and SHA-1 of the joined row digests of each DIGESTED rows of a file, in row order."""
     rows = messages.select("_file", F.floor(F.col("_row") / DIGESTED).alias("_range"), F.struct("_row", F.sha1(F.coalesce(F.col("content"), F.lit("")).cast("binary")).alias("h")).alias("r"))
     ordered = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"])
-    return rows.groupBy("_file", "_range").agg(F.count("*").alias("n"), F.array_join(ordered, "\x1f").alias("digests"))
-
-
-def _chained(batches):
-    schema = pa.schema([("_file", pa.string()), ("doc_count", pa.int64()), ("fingerprint", pa.string())])
-    file, count, sha = None, 0, None
-    for batch in batches:
-        done = []
-        for name, n, digests in zip(*(batch[c].to_pylist() for c in ("_file", "n", "digests"))):
-            if sha is not None and name == file:
-                sha.update(b"\x1f")
-            else:
-                if sha is not None:
-                    done.append((file, count, sha.hexdigest()))
-                file, count, sha = name, 0, hashlib.sha1()
-            sha.update(digests.encode())
-            count += n
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
-    if sha is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((file, count, sha.hexdigest()), schema)], schema=schema)
+    return rows.groupBy("_file", "_range").agg(F.count("*").alias("n"), F.sha1(F.array_join(ordered, "\x1f").cast("binary")).alias("digest"))
 
 
-def fingerprints(messages: DataFrame) -> DataFrame:
-    """(_file, doc_count, fingerprint): SHA-1 over the row digests of a file in row order.
+def parents(nodes: DataFrame, top: bool = False) -> DataFrame:
+    """The level above: a node over each DIGESTED neighbours, or, at the top, over all of a file."""
+    above = F.lit(0).cast("long") if top else F.floor(F.col("_range") / DIGESTED)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_range", "digest"))), lambda r: r["digest"])
+    return nodes.select("_file", above.alias("_up"), "_range", "n", "digest").groupBy("_file", F.col("_up").alias("_range")).agg(F.sum("n").alias("n"), F.sha1(F.array_join(ordered, "\x1f").cast("binary")).alias("digest"))
+
+
+def _levels(nodes: DataFrame) -> list[DataFrame]:
+    out = [nodes]
+    for level in range(1, LEVELS + 1):
+        out.append(parents(out[-1], level == LEVELS))
+    return out
+
+
+def _table(levels: list[DataFrame]) -> DataFrame:
+    out = None
+    for k, nodes in enumerate(levels):
+        rows = nodes.select(F.lit(k).alias("level"), "_file", "_range", "n", "digest")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    A row goes in as its own SHA-1, joined to those of its range of rows in many tasks.
-    The ranges of a file stream through one running SHA-1; no file is gathered.
+
+def digest_tree(messages: DataFrame) -> DataFrame:
+    """(level, _file, _range, n, digest): all nodes of the tree of digests of each file.
+
+    A node at level 0 is over DIGESTED rows, one above over DIGESTED nodes, the one at the
+    top over what is left of its file, one for 16.8 million rows. So no file goes through one
+    task, and a changed row changes one node of each level. Store it to compare versions.
     """
-    return digest_ranges(messages).repartition("_file").sortWithinPartitions("_file", "_range").select("_file", "n", "digests").mapInArrow(_chained, "_file string, doc_count long, fingerprint string")
+    return _table(_levels(digest_ranges(messages)))
+
+
+def fingerprints(messages: DataFrame) -> DataFrame:
+    """(_file, doc_count, fingerprint): the top of each file's tree of digests."""
+    return _levels(digest_ranges(messages))[-1].select("_file", F.col("n").alias("doc_count"), F.col("digest").alias("fingerprint"))
+
+
+def _of_level(tree: DataFrame, level: int) -> DataFrame:
+    return tree.where(F.col("level") == level).drop("level")
+
+
+def _above(level: int) -> Column:
+    """A node's number at the next level."""
+    return F.lit(0).cast("long") if level + 1 == LEVELS else F.floor(F.col("_range") / DIGESTED)
+
+
+def changed_ranges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(_file, _range, status added, removed or changed) of the ranges of rows that differ between two trees, found by descent: below equal nodes nothing is compared."""
+    nodes = old.select("level", "_file", "_range", F.col("digest").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(new.select("level", "_file", "_range", F.lit(None).cast("string").alias("a"), F.col("digest").alias("b")))
+    found = None
+    for level in range(LEVELS, -1, -1):
+        here = _of_level(nodes, level)
+        if found is not None:
+            here = here.withColumn("_up", _above(level)).join(found.select("_file", F.col("_range").alias("_up")), ["_file", "_up"], "left_semi")
+        found = here.groupBy("_file", "_range").agg(F.max("a").alias("a"), F.max("b").alias("b")).where(~F.col("a").eqNullSafe(F.col("b")))
+    return found.select("_file", "_range", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("status"))
+
+
+def update_tree(tree: DataFrame, messages: DataFrame, ranges: DataFrame, path: str) -> DataFrame:
+    """Write the tree of `messages` to `path`, of which only rows in `ranges` (_file, _range) differ from those of `tree`; only these ranges and the nodes above them are computed anew."""
+    spark = tree.sparkSession
+    ranges.select("_file", "_range").distinct().write.parquet(f"{path}/ranges")
+    touched, nodes = spark.read.parquet(f"{path}/ranges"), None
+    for level in range(LEVELS + 1):
+        if nodes is None:
+            rows = messages.withColumn("_range", F.floor(F.col("_row") / DIGESTED))
+            fresh = digest_ranges(rows.join(touched, ["_file", "_range"], "left_semi"))
+        else:
+            touched = touched.select("_file", _above(level - 1).alias("_range")).distinct()
+            below = nodes.withColumn("_up", _above(level - 1)).join(touched.withColumnRenamed("_range", "_up"), ["_file", "_up"], "left_semi").drop("_up")
+            fresh = parents(below, level == LEVELS)
+        part = f"{path}/tree/level={level}"
+        _of_level(tree, level).join(touched, ["_file", "_range"], "left_anti").unionByName(fresh).write.parquet(part)
+        nodes = spark.read.parquet(part)
+    return spark.read.parquet(f"{path}/tree").select("level", "_file", "_range", "n", "digest")
 
 
 def manifest(messages: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +87,95 @@ def classifier_scores(model, messages: DataFrame) -> DataFrame:
     p = vector_to_array("probability")[1]
     out = model.transform(messages).withColumn("score", p * 100).withColumn("reason", F.concat(F.lit("probability of a rumour "), F.format_number(p * 100, 2), F.lit("%, of none "), F.format_number((1 - p) * 100, 2), F.lit("%")))
     return out.select(*messages.columns, "score", "reason")
+
+
+# ------------------------------------------------------------------ training by epochs
+
+#: Hashed features; gradients and losses are added up as whole multiples of 1 / UNIT, so that their sums are the same in any order.
+FEATURES, UNIT = 1 << 16, float(1 << 32)
+_LOSS, _ROWS, _RIGHT = -1, -2, -3
+
+
+class Epochs(NamedTuple):
+    #: (epoch, loss, accuracy, best, saved) of each epoch.
+    history: DataFrame
+    weights: np.ndarray
+
+
+def encoded(data: DataFrame, features: int = FEATURES) -> DataFrame:
+    """(content, label, part, places): the hashed places of each content's distinct words; the last place is the bias."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    places = F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")))
+    return data.select("content", F.col("label").cast("int").alias("label"), "part", F.concat(places, F.array(F.lit(features))).alias("places"))
+
+
+def _forward(batch, weights: np.ndarray):
+    """For each row of a batch: where its places begin, the places, the label and the probability of label 1."""
+    column = batch.column("places")
+    ends = np.asarray(column.offsets)
+    places, ends = column.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]
+    z = np.add.reduceat(weights[places], ends[:-1]) if len(places) else np.zeros(0)
+    return ends, places, batch["label"].to_numpy(), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sums(batches, weights: np.ndarray, gradients: bool):
+    """Partial sums of a task: the gradient by place, loss, rows, right answers, in units."""
+    total, loss, rows, right = np.zeros(len(weights), np.int64), 0, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends, places, labels, p = _forward(batch, weights)
+        if gradients:
+            of_row = np.rint((p - labels) * UNIT).astype(np.int64)
+            np.add.at(total, places, np.repeat(of_row, np.diff(ends)))
+        loss += int(np.rint(-np.log(np.where(labels == 1, p, 1 - p)) * UNIT).astype(np.int64).sum())
+        rows, right = rows + batch.num_rows, right + int(((p >= 0.5) == (labels == 1)).sum())
+    at = np.flatnonzero(total)
+    schema = pa.schema([("place", pa.int32()), ("sum", pa.int64())])
+    yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), _LOSS, _ROWS, _RIGHT], pa.int32()), pa.array([*total[at].tolist(), loss, rows, right], pa.int64())], schema=schema)
+
+
+def _summed(rows: DataFrame, weights: np.ndarray, gradients: bool) -> dict[int, int]:
+    """The sums of all tasks: at most a row for each feature comes to the driver."""
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+    found = rows.select("label", "places").mapInArrow(lambda it: _sums(it, sent.value, gradients), "place int, sum long")
+    return {r["place"]: r["sum"] for r in found.groupBy("place").agg(F.sum("sum").alias("sum")).where("sum <> 0").collect()}
+
+
+def train_epochs(data: DataFrame, epochs: int = 3, batches: int = 4, rate: float = 4.0, features: int = FEATURES, folder: str | None = None) -> Epochs:
+    """Logistic regression by mini-batch gradient steps over (content, label, part).
+
+    Each epoch deals the training rows anew into `batches`, by hashes of epoch and content. A
+    step broadcasts the weights, one number a feature, and adds up the tasks' partial gradients.
+    An epoch's loss is the running mean over its steps; then the validation rows (the training
+    rows, if there are none) give the accuracy. Weights that reach the best accuracy so far are
+    the result, and saved to `folder`, if given. Sums are of whole units: the same data give the same
+    weights, whatever the partitions. `data` should be stored or cheap, it is read once a step.
+    """
+    spark = data.sparkSession
+    rows = encoded(data, features)
+    train, held = rows.where("part = 'train'"), rows.where("part = 'validation'")
+    held = train if held.isEmpty() else held
+    weights, best, kept, out = np.zeros(features + 1), 0.0, np.zeros(features + 1), []
+    for epoch in range(1, epochs + 1):
+        loss = n = 0
+        for b in range(batches):
+            dealt = train.where(F.pmod(F.xxhash64(F.lit(epoch), "content"), F.lit(batches)) == b)
+            sums = _summed(dealt, weights, True)
+            if not (size := sums.get(_ROWS, 0)):
+                continue
+            step = np.zeros(features + 1)
+            for place, total in sums.items():
+                if place >= 0:
+                    step[place] = total / UNIT / size
+            weights = weights - rate * step
+            loss, n = loss + sums.get(_LOSS, 0), n + size
+        sums = _summed(held, weights, False)
+        accuracy_ = sums.get(_RIGHT, 0) / max(1, sums.get(_ROWS, 0))
+        if accuracy_ >= best:
+            best, kept = accuracy_, weights
+            if folder:
+                table = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights) if w], "place int, weight double")  # a row for each feature
+                table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/weights")
+        out.append((epoch, loss / UNIT / max(1, n), accuracy_))
+    return Epochs(best_so_far(spark.createDataFrame(out, "epoch int, loss double, accuracy double")), kept)

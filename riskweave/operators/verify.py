@@ -7,12 +7,16 @@ empty signature skips the check. A null field of an edit is left alone, "" empti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import signature, skip_key
 from ..functions.values import normalized, now
 from ..schema import COLUMNS, LABELLED, UNVERIFIED
+from ..session import shared_folder
 
 KEY = ["_file", "_row"]
 
@@ -92,6 +96,47 @@ def delete(messages: DataFrame, edits: DataFrame) -> DataFrame:
     return moved.withColumn("_row", F.col("_row") - F.col("_before") - F.col("_ahead")).select(*messages.columns)
 
 
+def write_back(spark: SparkSession, path: str, edits: DataFrame) -> DataFrame:
+    """Apply edits to the table that `write_messages` stored at `path`; the edits with their status, of which conflicts and missing rows were left out.
+
+    Only files with an edit are read, and only those with one that applies are written: next
+    to the table first, then moved to its place, so other files aren't touched. Signatures are
+    compared with the rows as stored now. If a file was changed by another writer meanwhile,
+    nothing is moved and an error is raised: run it again. The names of a batch's files go
+    through the driver.
+    """
+    names = [r[0] for r in edits.select("_file").distinct().collect()]
+    table = spark.read.parquet(path)
+    messages = table.withColumn("_file", F.col("_file").cast("string")).where(F.col("_file").isin(names))
+    jvm = spark.sparkContext._jvm
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def state(folder) -> list[tuple[str, int]]:
+        return sorted((s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    folders = {s.getPath().getName(): s.getPath() for s in fs.listStatus(Path(path)) if s.isDirectory() and unquote(s.getPath().getName().removeprefix("_file=")) in names}
+    before = {name: state(folder) for name, folder in folders.items()}
+    stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
+    found = shared_folder(spark, "edits")
+    statuses(messages, edits).write.parquet(found)
+    done = spark.read.parquet(found)
+    ok = done.where("status = 'ok'").drop("status")
+    touched = messages.join(F.broadcast(ok.select("_file").distinct()), "_file", "left_semi")  # names of files
+    update(touched, ok).select(*messages.columns).write.partitionBy("_file").parquet(stage)
+    written = [s.getPath() for s in fs.listStatus(Path(stage)) if s.isDirectory()]
+    if any(state(folder) != before[name] for name, folder in folders.items()):
+        fs.delete(Path(stage), True)
+        raise RuntimeError("the table was changed at the same time")
+    for new in written:  # a rename for each file
+        old, gone = Path(path, new.getName()), Path(stage, f".old-{new.getName()}")
+        fs.rename(old, gone)
+        fs.rename(new, old)
+    fs.delete(Path(stage), True)
+    spark.catalog.refreshByPath(path)
+    return done
+
+
 def append(messages: DataFrame, values: dict[str, str], file: str = "manual.csv", at: str | None = None) -> DataFrame:
     """Add one message: normal forms, nature unverified and publish_time now unless given."""
     spark = messages.sparkSession

@@ -16,6 +16,16 @@ def messages(select: str) -> str:
     return f"WITH {_MESSAGES} {select}"
 
 
+def tree(select: str) -> str:
+    """Levels of digests: over 64 rows, over 64 nodes three times, and over what is left of a file."""
+    level = lambda k, up: f"l{k} AS (SELECT _file, {up} AS _range, sum(n)::BIGINT AS n, sha1(string_agg(digest, chr(31) ORDER BY _range)) AS digest FROM l{k - 1} GROUP BY _file, {up})"
+    levels = ", ".join(level(k, "_range // 64" if k < 4 else "0::BIGINT") for k in range(1, 5))
+    return f"""WITH {_MESSAGES},
+l0 AS (SELECT _file, _row // 64 AS _range, count(*) AS n, sha1(string_agg(sha1(content), chr(31) ORDER BY _row)) AS digest FROM messages GROUP BY _file, _row // 64), {levels},
+tree AS ({" UNION ALL ".join(f"SELECT {k} AS level, * FROM l{k}" for k in range(5))})
+{select}"""
+
+
 def tokens(select: str) -> str:
     return f"WITH {_TOKENS} {select}"
 

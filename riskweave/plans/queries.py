@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import risk, text, values
+from ..functions import risk, segment, text, values
 from ..operators import batch, display, evaluate, hot_terms, index, reply, search, segments, sessions, training, verify, vote
 from ..schema import HOT_MIN_DF
 from ..session import shared_folder
@@ -304,6 +304,12 @@ def train_scan_csv(spark, d):
     return training.dataset(files.training_rows(spark, folder))
 
 
+def _stored_counts(spark, d) -> DataFrame:
+    path = f"{shared_folder(spark, 'counts')}/counts"
+    display.range_counts(td.messages(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(sql.messages("SELECT * FROM (SELECT 'first' AS asked, * FROM (SELECT _file, _row FROM messages ORDER BY _file, _row LIMIT 20) UNION ALL SELECT 'last', * FROM (SELECT _file, _row FROM messages ORDER BY _file, _row LIMIT 20 OFFSET (SELECT ((greatest(count(*), 1) - 1) // 20) * 20 FROM messages)))"))
 def page_clamps(spark, d):
     """A page before the first is the first, one after the last is the last."""
@@ -321,15 +327,58 @@ def row_signature(spark, d):
     return td.unplaced(spark, d).select("doc_id", text.signature().alias("_signature"))
 
 
-@query(sql.messages("SELECT _file, count(*) AS doc_count, sha1(string_agg(sha1(content), chr(31) ORDER BY _row)) AS fingerprint FROM messages GROUP BY _file"))
+@query(sql.tree("SELECT _file, n AS doc_count, digest AS fingerprint FROM tree WHERE level = 4"))
 def content_fingerprint(spark, d):
     return index.fingerprints(td.messages(spark, d))
 
 
-@query(sql.messages("SELECT _file, _row, nature, (row_number() OVER (ORDER BY _file, _row) + 40)::INT AS place FROM (SELECT * FROM messages ORDER BY _file, _row LIMIT 20 OFFSET 40)"))
+@query(sql.tree("SELECT _file, n AS doc_count, digest AS fingerprint, 1 AS version FROM tree WHERE level = 4"))
+def index_manifest(spark, d):
+    """The manifest as stored and read back."""
+    path = f"{shared_folder(spark, 'manifest')}/manifest"
+    index.manifest(td.messages(spark, d)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(sql.tree("SELECT * FROM tree"))
+def fingerprint_tree(spark, d):
+    return index.digest_tree(td.messages(spark, d))
+
+
+def _stored_tree(spark, messages: DataFrame) -> DataFrame:
+    path = f"{shared_folder(spark, 'tree')}/tree"
+    index.digest_tree(messages).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_FILE_NUMBER = "regexp_extract(_file, '(\\d+)', 1)"
+_ADDED, _CHANGED = f"CAST({_FILE_NUMBER} AS INT) % 5 = 1", f"CAST({_FILE_NUMBER} AS INT) % 2 = 1 AND _row % 50 = 7"
+
+
+def _earlier(messages: DataFrame) -> DataFrame:
+    """An earlier version: without some files, and with other texts in some rows of others."""
+    return messages.where(f"NOT ({_ADDED})").withColumn("content", F.when(F.expr(_CHANGED), "earlier").otherwise(F.col("content")))
+
+
+@query(sql.messages(f"SELECT DISTINCT _file, _row // 64 AS _range, CASE WHEN {_ADDED} THEN 'added' ELSE 'changed' END AS status FROM messages WHERE {_ADDED} OR {_CHANGED}"))
+def fingerprint_changed_ranges(spark, d):
+    """The ranges of rows in which two stored versions differ."""
+    m = td.messages(spark, d)
+    return index.changed_ranges(_stored_tree(spark, _earlier(m)), _stored_tree(spark, m))
+
+
+@query(sql.tree("SELECT * FROM tree"))
+def fingerprint_updated(spark, d):
+    """The tree of a later version from the stored tree of an earlier one, computing only what changed."""
+    m = td.messages(spark, d)
+    ranges = m.where(f"{_ADDED} OR {_CHANGED}").select("_file", F.floor(F.col("_row") / index.DIGESTED).alias("_range"))
+    return index.update_tree(_stored_tree(spark, _earlier(m)), m, ranges, shared_folder(spark, "tree"))
+
+
+@query(sql.messages("SELECT _file, _row, nature, (row_number() OVER (ORDER BY _file, _row) + 40)::BIGINT AS place FROM (SELECT * FROM messages ORDER BY _file, _row LIMIT 20 OFFSET 40)"))
 def page_view(spark, d):
     rows = td.messages(spark, d).select("_file", "_row", "nature")
-    return display.page(rows, 3)
+    return display.page(rows, 3, counts=_stored_counts(spark, d))
 
 
 @query("SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM documents")
@@ -477,9 +526,16 @@ def selected_models(spark, d):
     return vote.selected(requests, _registry(spark)).select("doc_id", F.inline("selected"))
 
 
-@query("SELECT 3::BIGINT AS models, 2::BIGINT AS available")
+@query("SELECT count(*) AS models, count(*) FILTER (ok) AS available FROM (SELECT s_suppkey, s_suppkey % 3 <> 0 AS ok FROM supplier)")
 def available_models(spark, d):
-    return vote.available_count(_registry(spark))
+    """Suppliers taken for models, of which every third is unavailable."""
+    registry = td.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("model_id"), F.col("s_name").alias("display_name"), (F.col("s_suppkey") % 3 != 0).alias("available"))
+    return vote.available_count(registry)
+
+
+@query("SELECT doc_id, replace(printf('%.1f', ((doc_id * 7919) % 10001) / 100.0), ',', '') AS shown FROM documents")
+def one_decimal_display(spark, d):
+    return _docs(spark, d, values.one_decimal((F.col("doc_id") * 7919 % 10001) / 100.0).alias("shown"))
 
 
 @query("SELECT event_id, round((event_id % 100003) / 1000000.0, 3) AS elapsed FROM events")
@@ -677,6 +733,27 @@ def append_manual(spark, d):
     return m.select("_file", "_row", "content", "nature", "fake_probability", "publish_time")
 
 
+def _written_back(spark, d) -> tuple[str, DataFrame]:
+    """Two batches of edits made from one version and written one after the other: the path, and the statuses of the second."""
+    m, path = td.messages(spark, d), shared_folder(spark, "messages")
+    files.write_messages(m, path)
+    edits = td.edits(m)
+    verify.write_back(spark, path, edits)
+    return path, verify.write_back(spark, path, edits.withColumn("nature", F.lit("中立")))
+
+
+@query(sql.edits("SELECT doc_id, CASE WHEN applies THEN CASE WHEN doc_id % 20 = 3 AND nature <> '真实' THEN '真实' ELSE '中立' END ELSE nature END AS nature FROM joined"))
+def edits_written_back(spark, d):
+    """Edits with a signature apply once: the second batch, made from the same version, meets changed rows. Those without one apply again."""
+    path, _ = _written_back(spark, d)
+    return spark.read.parquet(path).select("doc_id", "nature")
+
+
+@query(sql.edits("SELECT e._file, e._row, CASE WHEN m.doc_id IS NULL THEN 'not_found' WHEN e.signature = '' OR e.signature = m._signature AND m.nature = '真实' THEN 'ok' ELSE 'conflict' END AS status FROM edits e LEFT JOIN signed m USING (_file, _row)"))
+def edits_written_back_conflicts(spark, d):
+    return _written_back(spark, d)[1].select("_file", "_row", "status")
+
+
 # ------------------------------------------------------------------ index maintenance
 
 
@@ -744,6 +821,38 @@ def train_best_so_far(spark, d):
     return training.best_so_far(epochs)
 
 
+@query(None)
+def train_epochs(spark, d):
+    """Loss, accuracy and what is saved, epoch by epoch."""
+    path = f"{shared_folder(spark, 'training')}/data"
+    training.split(training.dataset(td.messages(spark, d))).select("content", "label", "part").write.parquet(path)
+    history = training.train_epochs(spark.read.parquet(path)).history
+    return history.select("epoch", F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"), F.round("best", 6).alias("best"), "saved")
+
+
+#: Han characters that stand for Latin letters in a query.
+_HAN = "一二三四五六七八九十百千万人口日月水火木金土山石田禾"
+
+
+def _as_han(column: str) -> Column:
+    """Letters as Han characters, without the spaces between words: a text that has to be segmented."""
+    return F.translate(F.regexp_replace(F.lower(column), " +", ""), "abcdefghijklmnopqrstuvwxyz", _HAN)
+
+
+def _han_tokenizer(spark, d):
+    """Words of two to five letters that occur in the table, with their counts."""
+    found = td.table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z])([a-z]{2,5})(?![a-z])"), F.lit(1))).alias("w"))
+    counts = found.groupBy("w").count().where("count >= 5").select(F.translate("w", "abcdefghijklmnopqrstuvwxyz", _HAN).alias("word"), "count")
+    return segment.dictionary_tokenizer(counts)
+
+
+@query(None)
+def han_tokens(spark, d):
+    """Tokens of every document, its letters written as Han characters without spaces, by the most probable path."""
+    tokens = _han_tokenizer(spark, d)(_as_han("text"))
+    return td.table(spark, d, "documents").select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").alias("n_tokens"), F.sha1(F.array_join("tokens", "/").cast("binary")).alias("tokens_sha1"))
+
+
 @query(None)
 def classifier_scores(spark, d):
     """Fit on the training part, score every message."""

@@ -24,7 +24,7 @@ _local: list[str] = []
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below `spark.checkpoint.dir`, the folder that driver and executors share; a local master may do without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
