@@ -351,7 +351,7 @@ def _stored_tree(spark, messages: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-_FILE_NUMBER = "regexp_extract(_file, '(\\d+)', 1)"
+_FILE_NUMBER = "regexp_extract(_file, '([0-9]+)', 1)"
 _ADDED, _CHANGED = f"CAST({_FILE_NUMBER} AS INT) % 5 = 1", f"CAST({_FILE_NUMBER} AS INT) % 2 = 1 AND _row % 50 = 7"
 
 
