@@ -106,11 +106,12 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
 def accepted(docs: DataFrame, dictionaries: list[tuple[str, bytes]], least: float, text: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose language is certain by a margin of `least` or more."""
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    inner, at = docs.toDF(*(f"_{k}" for k in range(len(docs.columns)))), docs.columns.index(text)  # names of any kind
 
     def keep(batches):
         classify = Classifier(sent.value)
-        for part in slices(batches, text):
-            sure = [name != "und" and score >= least for name, score in map(classify, part[text].to_pylist())]
+        for part in slices(batches, f"_{at}"):
+            sure = [name != "und" and score >= least for name, score in map(classify, part[f"_{at}"].to_pylist())]
             yield part.filter(pa.array(sure, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return inner.mapInArrow(keep, inner.schema).toDF(*docs.columns)
