@@ -175,7 +175,7 @@ def bm25_indexed_no_hit(spark, d):
 
 
 #: Searches of one, two and more terms, rare and common ones, and one that nothing matches.
-SEARCHES = ("license", "the", "mit license", "der die das", "que", "released under the", "la le les un", "und ein license", "qqqqzzzz", "of")
+SEARCHES = ("the", "mit license", "der die das", "released under the", "qqqqzzzz")
 
 
 @query(sql.bm25_many(SEARCHES, 7))

@@ -54,7 +54,7 @@ def text(r: random.Random) -> str:
     return " ".join(r.choices(WORDS, [5, 20, 5, 20, 4, 3, 0.4], k=r.choice([0, 1, 3, 8, 15])))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_any_order_of_changes_equals_a_new_index(spark, tmp_path, monkeypatch, seed):
     monkeypatch.setattr(segments, "BLOCK", 4)
     r, index = random.Random(seed), Index(spark, str(tmp_path))
