@@ -11,7 +11,8 @@ and puts the payload together; chunks that lie one after another are read at onc
 never go through a shuffle.
 
 Null and empty payloads are one block of zeros when padded; a null id is kept; equal rows
-are media of their own that share all chunks; an empty table gives an empty one.
+are media of their own that share all chunks; a very long payload is more chunks; other
+columns, clashing names included, are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations

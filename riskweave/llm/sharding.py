@@ -11,7 +11,9 @@ Overflow is passed on between arcs in rounds; rows then join their arc and their
 it with the runs that each shard accepted. Ranks come from counts of salted parts.
 
 Null texts have size 1 and checksum 0; a null doc_id has the hash of null; rows equal in
-every column are spread like others; an empty table gives an empty one.
+every column are spread like others; a very long text is one row of its size, only its length
+and checksum are taken; other columns, clashing names included, are not read; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations

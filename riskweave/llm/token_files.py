@@ -13,7 +13,9 @@ only the manifest, which has the files of successful tasks, says which ones coun
 repeated task leaves nothing wrong behind.
 
 Null and empty texts have the end id only; a null doc_id sorts first; rows with the same
-doc_id follow one another; an empty table gives no file and no rows.
+doc_id follow one another; texts are encoded whole, however long, and one longer than a block
+is in several; other columns, clashing names included, are not read; an empty table gives no
+file and no rows.
 """
 
 from __future__ import annotations
