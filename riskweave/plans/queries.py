@@ -124,6 +124,12 @@ def hot_terms_pos(spark, d):
     return hot_terms.hot_terms(td.contents(spark, d), pos=tag)
 
 
+@query(sql.hot("", 20, "SELECT * FROM hot").replace("round(df * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS score", "round(df * pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 2), 6) AS score"))
+def hot_terms_own_score(spark, d):
+    """Ranked by another score, frequency times the square of idf."""
+    return hot_terms.hot_terms(td.contents(spark, d), score=lambda df, idf: df * idf * idf)
+
+
 @query(sql.hot("AND false", 20, "SELECT * FROM hot"))
 def hot_terms_limit_zero(spark, d):
     return hot_terms.hot_terms(td.contents(spark, d), limit=0)
