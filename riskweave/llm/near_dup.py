@@ -11,8 +11,8 @@ signatures give buckets. First each member is verified against its bucket's firs
 document. Members of buckets that are then in more than one component are searched
 again, with prefix filtering: in one order of all shingles, common ones last, a document's
 link to a larger one shows in its first shingles, as many as the similarity leaves room
-for. Documents that share such a shingle are swept in blocks of bounded size; what comes
-out is a spanning forest, never the pairs. So no link between documents that share a band
+for. Documents that share such a shingle are swept in blocks of bounded size, the largest
+component's against the others' only; what comes out is a spanning forest, never the pairs. So no link between documents that share a band
 is lost, and a pair at the threshold shares one with a probability over 1 - 3e-7.
 
 Hashes only name candidates. A link is made where the shingles themselves, as bytes, are
@@ -33,7 +33,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST, batch_of, cut, grouped, slices, source, versioned
@@ -240,6 +240,33 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("row"), "component").unionByName(stars.select(F.col("component").alias("row"), "component").distinct())
 
 
+def _blocks(n: Column, bytes_: Column, block: int) -> Column:
+    return F.greatest(F.ceil(n / block), F.ceil(bytes_ / BLOCK_BYTES)).cast("int")
+
+
+def in_blocks(tokens: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """(token, row, component, one, other): the documents of each group (token, n, blocks) in the pairs of blocks they meet in.
+
+    In a group of several blocks the component with most documents has blocks of its own,
+    which meet those of the others but not one another, for its documents are linked already.
+    So m documents beside n near copies of one another come to m x n / block rows, and the
+    copies themselves to one row each for every block of the others.
+    """
+    columns = ["token", "row", "component", "one", "other"]
+    zero = F.lit(0).alias
+    whole = grouped(tokens, groups.where("blocks = 1"), "token").select("token", "row", "component", zero("one"), zero("other"))
+    large = groups.where("blocks > 1").select("token", "n")
+    sizes = grouped(tokens, large, "token").groupBy("token", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sums = sizes.groupBy("token").agg(F.max(F.struct("n", "bytes", "component")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    rest = _blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"), block)
+    parts = cut(sums.select("token", "n", F.col("main.component").alias("main"), _blocks(F.col("main.n"), F.col("main.bytes"), block).alias("mains"), rest.alias("rest")))
+    of_main, hashed = F.col("component") == F.col("main"), F.xxhash64("row")
+    mine = F.when(of_main, F.col("rest") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int")
+    last = F.when(of_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    met = grouped(tokens, parts, "token").select("token", "row", "component", mine.alias("mine"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    return whole.unionByName(met.withColumns({"one": F.least("mine", "with"), "other": F.greatest("mine", "with")}).select(*columns))
+
+
 def second_search(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between different components of the same bucket, and others like them, as a spanning forest."""
     labelled = buckets.join(labels, "row", "left").select("key", "row", F.coalesce("component", "row").alias("component"))
@@ -251,10 +278,8 @@ def second_search(buckets: DataFrame, labels: DataFrame, texts: DataFrame, width
     who = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"who{k}") for k in (1, 2)]
     shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("smaller").alias("smaller"), *who).where("lo < hi AND smaller")
     shared = shared.groupBy("who1", "who2", "n", "bytes").agg(F.min("token").alias("token"))
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    met = grouped(tokens, cut(shared.select("token", "n", blocks.alias("blocks"))), "token").select("token", "row", "component", "blocks")
-    met = met.withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    swept = met.select("token", "row", "component", F.least("mine", "with").alias("one"), F.greatest("mine", "with").alias("other")).join(texts, "row")
+    met = in_blocks(tokens, cut(shared.select("token", "n", _blocks(F.col("n"), F.col("bytes"), block).alias("blocks"))), block)
+    swept = met.join(texts, "row")
     return swept.repartition("token", "one", "other").sortWithinPartitions("token", "one", "other").mapInArrow(lambda it: _swept(it, width, percent), "a long, b long")
 
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 from hashlib import sha256
+from itertools import combinations
 from unicodedata import normalize
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from cases import WORD, frame, groups, removed, rows
+from pyspark.sql import functions as F
 
 from riskweave.llm import fingerprint, near_dup, queries, substring
 from riskweave.llm.words import Words
@@ -65,6 +67,30 @@ def test_sweep_gives_a_spanning_forest():
     assert len(links) == 4 and {min(x) for x in links} <= {0, 1, 2, 4}
 
 
+def test_a_large_component_meets_the_others_only(spark):
+    n, few, block = 100_000, 5, 256
+    tokens = spark.range(n + few).select(F.lit(7).cast("long").alias("token"), F.col("id").alias("row"), F.when(F.col("id") < n, 1).otherwise(F.col("id")).cast("long").alias("component"), F.lit(100).cast("long").alias("bytes"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    met = near_dup.in_blocks(tokens, shared, block).cache()
+    mains = -(-n // block)
+    assert met.count() == n + few * (1 + mains)
+    assert met.where("other > 0").groupBy("other").agg(F.count_if(F.col("component") > 1).alias("others")).where(f"others <> {few}").isEmpty()
+    assert met.groupBy("one", "other").count().agg(F.max("count")).first()[0] < 2 * block
+
+
+@pytest.mark.parametrize("large", [1, 9])
+def test_blocks_bring_all_pairs_of_components_together(spark, large):
+    r = random.Random(large)
+    of = {k: r.randrange(12) if k % large == 0 else 99 for k in range(300)}
+    tokens = spark.createDataFrame([(t, k, c, 10) for t in (1, 2) for k, c in of.items()], "token long, row long, component long, bytes long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n"), F.lit(30).alias("blocks"))
+    together = {}
+    for x in near_dup.in_blocks(tokens, shared, 10).collect():
+        together.setdefault((x["token"], x["one"], x["other"]), []).append(x["row"])
+    found = {(key[0], *pair) for key, rows_ in together.items() for pair in combinations(sorted(rows_), 2)}
+    assert {(t, a, b) for t in (1, 2) for a, b in combinations(sorted(of), 2) if of[a] != of[b]} <= found
+
+
 def test_circulant_coordinates_are_shifts():
     one = near_dup.signature(np.array([5], np.uint64), 64)
     next_cell = near_dup.signature(np.array([6], np.uint64), 64)
