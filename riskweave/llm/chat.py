@@ -31,16 +31,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAVY, LAST, batch_of, cut, slices, written
+from .common import HEAVY, LAST, batch_of, cut, discard, slices, written
 
 #: Characters after which a conversation goes on in another segment.
 SEGMENT = 1 << 20
+#: Compression of stored tables.
+CODEC = "zstd"
 ASSISTANT = "assistant"
 _CONTROL, _ROLE_CONTROL = re.compile(r"\\|###|</turn>"), re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
@@ -76,7 +79,7 @@ def turns(conversation: str):
 def chain(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """The rows of each conversation as a tree, each a reply to the one before: nodes (tree, id, parent, score 0), texts (tree, id, role, text), and the folder these are stored in."""
     plain = rows.select(F.col(conv_id).cast("long").alias("tree"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    stored, folder = written(plain.withColumn("id", F.monotonically_increasing_id()), "turns")
+    stored, folder = written(plain.withColumn("id", F.monotonically_increasing_id()), "turns", CODEC)
     narrow = stored.select("tree", "turn", "role", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "id")
     order = [F.col("tree"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("digest")]
     linked = cut(narrow.repartitionByRange(*order).sortWithinPartitions(*order).select("tree", "id").mapInArrow(_links, "tree long, id long, parent long, part int, kind int"))
@@ -111,42 +114,43 @@ def _links(batches):
         yield batch_of(schema, {"tree": [last[0]], "id": [last[1]], "parent": [None], "part": [part], "kind": [2]})
 
 
-def jumps(links: DataFrame, weights: DataFrame) -> list[DataFrame]:
+def jumps(links: DataFrame, weights: DataFrame, kept: Callable[[DataFrame], DataFrame] = cut) -> list[DataFrame]:
     """Tables (tree, id, up, total): the ancestor 1, 2, 4, ... steps up, and the sum of the weights from `id` to below it.
 
     Links of a message that very many reply to join by broadcast, fewer than HEAVY of them;
     so no task has all of one. Messages in cycles go on for ever: tables end when the reach is
     beyond the number of messages.
     """
-    first = cut(links.join(weights, ["tree", "id"]).select("tree", "id", "up", F.col("weight").alias("total")))
+    first = kept(links.join(weights, ["tree", "id"]).select("tree", "id", "up", F.col("weight").alias("total")))
     n = first.count()
     fans = first.groupBy("tree", "up").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     out = [first] if n else []
     while out and 1 << len(out) <= n:
         reach = out[-1]
         above = reach.select("tree", F.col("id").alias("up"), F.col("up").alias("over"), F.col("total").alias("more"))
-        longer = cut(_joined(reach, above, fans).select("tree", "id", F.col("over").alias("up"), (F.col("total") + F.col("more")).alias("total")))
+        longer = kept(_joined(reach, above, fans, kept).select("tree", "id", F.col("over").alias("up"), (F.col("total") + F.col("more")).alias("total")))
         if longer.isEmpty():
             break
         out.append(longer)
     return out
 
 
-def _joined(left: DataFrame, above: DataFrame, plain: bool) -> DataFrame:
+def _joined(left: DataFrame, above: DataFrame, plain: bool, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Join on (tree, up), unique in `above`; hot ones of `left` are broadcast, unless every message has one reply at most."""
     key = ["tree", "up"]
     if plain:
         return left.join(above, key)
-    counts = cut(left.groupBy(*key).agg(F.count("*").alias("_n")))
+    counts = kept(left.groupBy(*key).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = cut(above.join(counts.where(F.col("_n") * HEAVY > total), key).drop("_n"))  # fewer than HEAVY rows
+    hot = kept(above.join(counts.where(F.col("_n") * HEAVY > total), key).drop("_n"))  # fewer than HEAVY rows
     return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(*key)), key, "left_anti").join(above, key))
 
 
-def branches(nodes: DataFrame, texts: DataFrame, paths: int = 1, unique: bool = False) -> DataFrame:
+def branches(nodes: DataFrame, texts: DataFrame, paths: int = 1, unique: bool = False, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(tree, path, place, n_turns, role, text): the turns of the `paths` best branches of each tree, path from 0, place from 0.
 
-    Texts are moved once, to their places. `unique` says that no id repeats, as in `chain`.
+    Texts are moved once, to their places. `unique` says that no id repeats, as in `chain`;
+    `kept` stores the tables between the steps.
     """
     key = ["tree", "id"]
     keyed = lambda df, *more: df.select(F.coalesce(F.col("tree").cast("long"), F.lit(LAST)).alias("tree"), F.col("id").cast("long").alias("id"), *more).where("id IS NOT NULL")
@@ -155,9 +159,9 @@ def branches(nodes: DataFrame, texts: DataFrame, paths: int = 1, unique: bool =
     if not unique:
         nodes = nodes.groupBy(*key).agg(F.min(F.struct("parent", "score")).alias("row")).select(*key, "row.*")
         texts = texts.groupBy(*key).agg(F.min(F.struct("role", "text")).alias("said")).select(*key, "said.*")
-    nodes = cut(nodes)
+    nodes = kept(nodes)
     links = nodes.where("parent IS NOT NULL").select(*key, F.col("parent").alias("up")).join(nodes.select("tree", F.col("id").alias("up")), ["tree", "up"], "left_semi")
-    ups = jumps(links, nodes.select(*key, F.col("score").alias("weight")))
+    ups = jumps(links, nodes.select(*key, F.col("score").alias("weight")), kept)
     answered = ups[0].select("tree", F.col("up").alias("id")).distinct() if ups else None
     leaves = nodes.select(*key, "score")
     if answered is not None:
@@ -172,12 +176,12 @@ def branches(nodes: DataFrame, texts: DataFrame, paths: int = 1, unique: bool =
     rooted = climbed.join(nodes.select("tree", F.col("id").alias("at"), "parent", "score"), ["tree", "at"])
     mean = (F.col("sum") + F.col("score")) / (F.col("steps") + 1)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(mean.desc(), F.desc("steps"), "leaf"))
-    chosen = cut(rooted.withColumn("rank", rank).where(F.col("rank") <= paths).select("tree", (F.col("rank") - 1).cast("int").alias("path"), F.col("leaf").alias("id"), "steps"))
-    # The messages on each chosen branch: those up to 2^k - 1 steps from the leaf, and each one's ancestor 2^k steps up.
+    chosen = kept(rooted.withColumn("rank", rank).where(F.col("rank") <= paths).select("tree", (F.col("rank") - 1).cast("int").alias("path"), F.col("leaf").alias("id"), "steps"))
+    # The messages on each chosen branch: a leaf's ancestor at the longest link, then of both the ones at the next, down to links of one step; so only the last rounds have many rows.
     on_path = chosen.select("tree", "path", "id", F.col("steps").alias("place"), (F.col("steps") + 1).alias("n_turns"))
-    for k, up in enumerate(ups):
-        further = on_path.join(up.select(*key, "up"), key).select("tree", "path", F.col("up").alias("id"), (F.col("place") - (1 << k)).alias("place"), "n_turns")
-        on_path = cut(on_path.unionByName(further))
+    for k in reversed(range(len(ups))):
+        further = on_path.join(ups[k].select(*key, "up"), key).select("tree", "path", F.col("up").alias("id"), (F.col("place") - (1 << k)).alias("place"), "n_turns")
+        on_path = kept(on_path.unionByName(further))
     tree = F.when(F.col("tree") != LAST, F.col("tree")).alias("tree")
     return on_path.join(texts, key).select(tree, "path", "place", "n_turns", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -282,4 +286,13 @@ def digests(segments: DataFrame) -> DataFrame:
 
 def write_conversations(nodes: DataFrame, texts: DataFrame, paths: int = 1, segment: int = SEGMENT, unique: bool = False) -> tuple[DataFrame, str]:
     """Format the best branches of all reply trees and write them as Parquet; the table read from there, and its folder."""
-    return written(conversations(branches(nodes, texts, paths, unique), segment), "conversations")
+    steps = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        table, folder = written(df, "links", CODEC)
+        steps.append(folder)
+        return table
+
+    result = written(conversations(branches(nodes, texts, paths, unique, kept), segment), "conversations", CODEC)
+    discard(nodes.sparkSession, *steps)
+    return result

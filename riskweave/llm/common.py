@@ -48,10 +48,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """`df` written as Parquet to a new folder and read from there, and the folder: a lineage cut that can be removed again."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
+    """`df` written as Parquet to a new folder and read from there, and the folder: a lineage cut that can be removed again. `codec` is another compression than the session's."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    (df.write.option("compression", codec) if codec else df.write).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
