@@ -22,8 +22,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ SCHEMAS = {
 KEY = ["_file", "_row"]
 #: Files of an update whose names are pushed down to the scan of documents; more are joined only.
 NAMED_FILES = 1000
+#: Tokens whose postings are sorted in one task, so that it holds them in memory at any size of the input.
+TOKENS = 1_000_000
 
 
 class Part(NamedTuple):
@@ -169,12 +175,12 @@ class Index:
         rows.write.partitionBy(*by).parquet(where)
         return self.spark.read.schema(SCHEMAS[table]).parquet(where)
 
-    def _write_segment(self, name: str, docs: DataFrame, gone: DataFrame | None, blocks: DataFrame | None = None) -> tuple[DataFrame, int]:
-        """Write docs and blocks, and what `gone`, rows as in docs, takes from the counts."""
+    def _write_segment(self, name: str, docs: DataFrame, gone: DataFrame | None, blocks: Callable[[int], DataFrame] | None = None) -> tuple[DataFrame, int]:
+        """Write docs and blocks (for a number of tokens), and what `gone`, rows as in docs, takes from the counts."""
         docs = self._write(name, "docs", docs)
-        added = docs.count()
+        added, tokens = docs.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if added:
-            self._write(name, "blocks", blocked(docs) if blocks is None else blocks, "bucket")
+            self._write(name, "blocks", blocked(docs, tokens) if blocks is None else blocks(tokens), "bucket")
         counts = docs.select("_file", F.lit(1).alias("sign"), "length", "terms.term")
         if gone is not None:
             counts = counts.unionByName(gone.select("_file", F.lit(-1).alias("sign"), "length", "terms.term"))
@@ -214,7 +220,8 @@ class Index:
             return
         name, number = uuid.uuid4().hex, max(p.number for p in parts) + 1
         docs = self._alive(self._read("docs", parts), parts).drop("_part")
-        _, added = self._write_segment(name, docs, None, merged(self._read("blocks", parts), self._read("gone", parts) if any(p.removed for p in parts) else None))
+        gone = self._read("gone", parts) if any(p.removed for p in parts) else None
+        _, added = self._write_segment(name, docs, None, lambda tokens: merged(self._read("blocks", parts), gone, tokens))
         self._commit(version + 1, [Part(number, name, added, 0)] if added else [])
 
 
@@ -230,34 +237,52 @@ def documents(messages: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
     return rows.select(*key, F.size("_sorted").cast("long").alias("length"), F.coalesce(of_run, F.array().cast("array<struct<term: string, tf: long>>")).alias("terms"))
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Rows of a bucket together, in as many parts as the session's shuffle partitions allow: a common term's blocks are not in one task."""
-    salts = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
-    rows = rows.withColumn("bucket", bucket()).withColumn("_salt", F.pmod(F.xxhash64("_file", "_block"), F.lit(salts)))
-    return rows.repartition("bucket", "_salt")
-
-
-def _grouped(rows: DataFrame, postings: Column) -> DataFrame:
-    """Blocks of `postings`, sorted by term, file and place."""
-    out = _spread(rows).groupBy("bucket", "_salt", "term", "_file", "_block").agg(F.array_sort(postings).alias("rows"))
-    most = F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: F.greatest(a, r["tf"]))
-    least = F.array_min(F.transform("rows", lambda r: r["length"]))
-    out = out.where(F.size("rows") > 0).select("term", "_file", "_block", F.size("rows").cast("long").alias("n"), most.alias("max_tf"), least.alias("min_length"), "rows", "bucket")
-    return out.sortWithinPartitions("bucket", "term", "_file", "_block")
-
-
-def blocked(docs: DataFrame) -> DataFrame:
-    """Blocks of documents' counted terms; a posting is shuffled once."""
-    place = F.floor(F.col("_row") / BLOCK).alias("_block")
-    rows = docs.select("_file", place, "_row", "length", F.inline("terms"))
-    return _grouped(rows, F.collect_list(F.struct("_row", "tf", "length")))
-
-
-def merged(blocks: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """Blocks of the same term and place become one, without postings that are gone. At most BLOCK rows come together."""
+def _folded(batches, size: int):
+    """Blocks of postings that come in the order of term, file and row; the last run of a batch may go on in the next."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
+        blocks = rows["_row"].to_numpy() // size
+        same = lambda c: pc.equal(rows[c][1:], rows[c][:-1]).to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.concatenate(([True], ~(same("term") & same("_file")) | (blocks[1:] != blocks[:-1]))))
+        kept = rows.slice(begins[-1])
+        if len(begins) > 1:
+            yield _block_rows(rows, blocks, begins)
+    if kept is not None:
+        yield _block_rows(kept, kept["_row"].to_numpy() // size, np.array([0, kept.num_rows]))
+
+
+def _block_rows(rows, blocks: np.ndarray, begins: np.ndarray):
+    """A row for each run but what is behind the last begin."""
+    at, end = begins[:-1], int(begins[-1])
+    whole = rows.slice(0, end)
+    of_run = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.StructArray.from_arrays([whole[c] for c in ("_row", "tf", "length")], ["_row", "tf", "length"]))
+    numbers = blocks[at], np.diff(begins), np.maximum.reduceat(whole["tf"].to_numpy(), at), np.minimum.reduceat(whole["length"].to_numpy(), at)
+    columns = [whole["term"].take(at), whole["_file"].take(at), *(pa.array(x, pa.int64()) for x in numbers), of_run, whole["bucket"].take(at)]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "_file", "_block", "n", "max_tf", "min_length", "rows", "bucket"])
+
+
+def folded(postings: DataFrame, tokens: int) -> DataFrame:
+    """Blocks of (term, _file, _row, tf, length), of texts with `tokens` tokens in all; a posting is shuffled once and sorted once, by term, file and row."""
+    size = BLOCK
+    parts = max(1, -(-tokens // TOKENS))
+    salt = F.pmod(F.xxhash64("_file", F.floor(F.col("_row") / size)), F.lit(-(-parts // BUCKETS)))
+    rows = postings.select("term", "_file", "_row", "tf", "length", bucket()).repartition(parts, "bucket", salt)
+    return rows.sortWithinPartitions("term", "_file", "_row").mapInArrow(lambda it: _folded(it, size), SCHEMAS["blocks"])
+
+
+def blocked(docs: DataFrame, tokens: int) -> DataFrame:
+    """Blocks of the counted terms of documents."""
+    return folded(docs.select("_file", "_row", "length", F.inline("terms")), tokens)
+
+
+def merged(blocks: DataFrame, gone: DataFrame | None, tokens: int) -> DataFrame:
+    """Blocks of all parts as one set of blocks, without postings that are gone."""
     if gone is not None:
         dead = gone.select("_file", F.floor(F.col("_row") / BLOCK).alias("_block"), F.struct("_row", "_part").alias("d")).groupBy("_file", "_block").agg(F.collect_set("d").alias("dead"))
         blocks = blocks.join(dead, ["_file", "_block"], "left")
         buried = lambda r: F.exists("dead", lambda d: (d["_row"] == r["_row"]) & (d["_part"] > F.col("_part")))
         blocks = blocks.withColumn("rows", F.when(F.col("dead").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda r: ~buried(r))))
-    return _grouped(blocks.select("term", "_file", "_block", "rows"), F.flatten(F.collect_list("rows")))
+    return folded(blocks.select("term", "_file", F.inline("rows")), tokens)

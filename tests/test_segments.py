@@ -138,3 +138,37 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(RuntimeError, match="same time"):
         other._commit(2, parts)
     assert len(one.parts()) == 2 and one.terms().count() == 2
+
+
+def test_blocks_are_sorted_in_small_tasks(spark, tmp_path, monkeypatch):
+    """A task has the postings of so many tokens, whatever the session's partitions; runs that batches cut come whole."""
+    monkeypatch.setattr(segments, "BLOCK", 4)
+    monkeypatch.setattr(segments, "TOKENS", 100)
+    texts = {f: ["the flood of the city"] * 30 for f in ("a", "b")}
+    docs = segments.documents(table(spark, texts))
+    assert segments.blocked(docs, 300 * 5).rdd.getNumPartitions() == 15
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = Index(spark, str(tmp_path))
+        index.update(table(spark, texts))
+        texts["b"][3] = "flood"
+        index.update(table(spark, texts))
+        holds(index, texts)
+        index.compact()
+        holds(index, texts)
+        blocks = index.blocks().select("term", "_file", "_block", "n", "max_tf", "min_length", F.size("rows").alias("size")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({r[:3] for r in blocks}) == len(blocks) == 4 * 2 * 8 and all(r["n"] == r["size"] for r in blocks)
+    assert [tuple(r)[3:6] for r in blocks if r[:3] == ("the", "b", 0)] == [(3, 2, 5)]
+
+
+def test_texts_of_messages_are_shuffled_once(spark):
+    """Labels and places are found without the texts, which no sort or window holds."""
+    from riskweave.sources import testdata as td
+
+    plan = td.messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    lines = [x for x in plan.splitlines() if "Sort [" in x or "Window [" in x]
+    assert lines and not any("content" in x or "text" in x for x in lines)
+    assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) <= 8
