@@ -185,13 +185,18 @@ def _parsed(batches, files: list[File], size: int, columns: tuple[str, ...]):
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
 
+def tasks(spark: SparkSession, blocks: int, size: int) -> int:
+    """Tasks for so many blocks: small ones share a task of up to BLOCK bytes, as long as every core has one."""
+    return max(1, min(blocks, max(spark.sparkContext.defaultParallelism, -(-blocks * size // BLOCK))))
+
+
 def blocks_of(spark: SparkSession, files: list[File], size: int = BLOCK) -> list[tuple[int, int, int, int, int]]:
     """(file, block, begin, row, state) of the blocks in which records begin: where the first one begins, its row's number, and whether the block ends inside quotes."""
     blocks = [(k, b) for k, f in enumerate(files) for b in range(-(-f.length // size))]
     if not blocks:
         return []
     shape = "file long, block long, " + ", ".join(f"{f}{k} long" for k in (0, 1) for f in Report._fields)
-    reports = spark.createDataFrame(blocks, "file long, block long").repartition(len(blocks)).mapInArrow(lambda it: _reports(it, files, size), shape).collect()  # a row for each block
+    reports = spark.createDataFrame(blocks, "file long, block long").repartition(tasks(spark, len(blocks), size)).mapInArrow(lambda it: _reports(it, files, size), shape).collect()  # a row for each block
     out, file, quoted, row = [], None, 0, 0
     for r in sorted(reports):
         if r["file"] != file:
@@ -204,10 +209,10 @@ def blocks_of(spark: SparkSession, files: list[File], size: int = BLOCK) -> list
 
 
 def read_blocks(spark: SparkSession, files: list[File], columns: tuple[str, ...] = COLUMNS, size: int = BLOCK) -> DataFrame:
-    """`columns` of the files as text, `_file` and `_row`. A task for each block."""
+    """`columns` of the files as text, `_file` and `_row`. A task for each BLOCK bytes of blocks."""
     blocks = blocks_of(spark, files, size)
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in (*columns, "_file")), T.StructField("_row", T.LongType())])
     if not blocks:
         return spark.createDataFrame([], schema)
-    rows = spark.createDataFrame(blocks, "file long, block long, begin long, row long, state long").repartition(len(blocks))
+    rows = spark.createDataFrame(blocks, "file long, block long, begin long, row long, state long").repartition(tasks(spark, len(blocks), size))
     return rows.mapInArrow(lambda it: _parsed(it, files, size, columns), schema)

@@ -71,3 +71,13 @@ def test_stray_quotes_are_characters(spark, tmp_path):
     for size in (3, 7, 1000):
         rows = csv_blocks.read_blocks(spark, [csv_blocks.File("f.csv", str(tmp_path / "f.csv"), len(text), ["content", "source"], False)], ("content", "source"), size).orderBy("_row").collect()
         assert [(r["content"], r["source"], r["_row"]) for r in rows] == [('5" disk', "a", 0), ('x"y', "b", 1), ('say "hi"', "c", 2), ('" "\n', "d", 3)]
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    """Tasks grow with the bytes, not with the number of blocks."""
+    assert csv_blocks.tasks(spark, 100_000, 1 << 16) == 196 and csv_blocks.tasks(spark, 3, 5) == 3
+    (tmp_path / "f.csv").write_text("content\n" + "some words\n" * 300)
+    size = (tmp_path / "f.csv").stat().st_size
+    df = csv_blocks.read_blocks(spark, [csv_blocks.File("f.csv", str(tmp_path / "f.csv"), size, ["content"], False)], ("content",), 16)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < size // 16
+    assert sorted(r["_row"] for r in df.collect()) == list(range(300))
