@@ -13,7 +13,7 @@ import math
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,8 @@ from .text import Tokenizer
 
 #: Words of a dictionary at most, as it goes with every task.
 MOST_WORDS = 1_000_000
+#: Characters whose tokens are held as Python objects at a time.
+SLICE = 1 << 18
 #: The blocks of Han characters.
 _HAN = "々〇㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _RUN = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]+")
@@ -59,6 +61,19 @@ class Dictionary:
         return out
 
 
+def cut_texts(texts: pa.Array, tokens: Callable[[str | None], list[str]]) -> pa.Array:
+    """The tokens of a batch of texts; no more than those of one long text, or of SLICE characters, are Python objects at a time."""
+    kind = pa.list_(pa.string())
+    done, waiting, size = [pa.array([], kind)], [], 0
+    for text in texts:
+        waiting.append(tokens(text := text.as_py()))
+        size += len(text or "")
+        if size >= SLICE:
+            done.append(pa.array(waiting, kind))
+            waiting, size = [], 0
+    return pa.concat_arrays([*done, pa.array(waiting, kind)])
+
+
 def dictionary_tokenizer(counts: DataFrame | dict[str, int], most: int = MOST_WORDS) -> Tokenizer:
     """A tokenizer with the words of a table (word, count), counts of a repeated word added up; ValueError if it has more than `most`."""
     if isinstance(counts, DataFrame):
@@ -68,9 +83,9 @@ def dictionary_tokenizer(counts: DataFrame | dict[str, int], most: int = MOST_WO
         raise ValueError(f"a dictionary of more than {most} words")
     known = Dictionary(counts)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(known.tokens)
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return cut_texts(texts, known.tokens)
 
     tokenizer: Callable = cut
     return tokenizer
