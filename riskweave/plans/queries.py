@@ -634,13 +634,20 @@ def batch_checkpoints(spark, d):
     return batch.checkpoints(_scored(spark, d, True))
 
 
+def _stored_messages(spark, d) -> DataFrame:
+    """Messages as a run of many slices reads them: numbered and signed once."""
+    path = f"{shared_folder(spark, 'messages')}/messages"
+    td.messages(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 class _Stopped(Exception):
     pass
 
 
 def _stopped_and_resumed(spark, d) -> tuple[DataFrame, batch.Journal]:
     """Score every message in five slices; the first run stops in its third slice, the second goes on."""
-    m, journal = td.messages(spark, d), batch.Journal(spark, shared_folder(spark, "journal"))
+    m, journal = _stored_messages(spark, d), batch.Journal(spark, shared_folder(spark, "journal"))
     size = -(-m.agg(F.max("_row") + 1).first()[0] // 5)  # five slices
     slices = iter(range(2))
 

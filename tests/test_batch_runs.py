@@ -95,3 +95,12 @@ def test_a_late_call_is_a_failed_attempt(spark):
     assert [(r["content"], r["ok"], r["score"]) for r in got] == [("one", True, 3.0), ("stuck", False, None), ("broken", False, None), (None, False, None)]
     with pytest.raises(models.Late):
         models.within(0.05, lambda: time.sleep(1))
+
+
+def test_slices_of_a_run_read_stored_messages(spark):
+    """A slice doesn't number and sign all messages again."""
+    from riskweave.plans import queries
+
+    m, journal = queries._stopped_and_resumed(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in m._jdf.queryExecution().executedPlan().toString()
+    assert journal.entries().count() == m.count() > 0
