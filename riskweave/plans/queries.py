@@ -869,6 +869,8 @@ def han_tokens(spark, d):
 @query(None)
 def classifier_scores(spark, d):
     """Fit on the training part, score every message."""
-    m = td.messages(spark, d)
-    model = training.fit_classifier(training.split(training.dataset(m)).where("part = 'train'").select("content", "label"))
+    m, path = td.messages(spark, d), shared_folder(spark, "training")
+    training.dataset(m).write.parquet(f"{path}/data")  # a split reads its data three times, a fit its rows in each pass
+    training.split(spark.read.parquet(f"{path}/data")).where("part = 'train'").select("content", "label").write.parquet(f"{path}/train")
+    model = training.fit_classifier(spark.read.parquet(f"{path}/train"))
     return training.classifier_scores(model, m).select("_file", "_row", F.round("score", 6).alias("score"), "reason")

@@ -98,3 +98,27 @@ def test_edits_are_written_back(spark, tmp_path):
     assert not [f for f in os.listdir(tmp_path) if "stage" in f]
     again = verify.write_back(spark, path, batch("中立", [("d", 0)]).withColumn("signature", F.lit("stale")))
     assert status(again) == {("d", 0): "conflict"} and os.stat(os.path.join(path, "_file=d")).st_mtime_ns == times["_file=d"]
+
+
+def test_tokens_of_a_batch_come_in_slices(monkeypatch):
+    """Only a slice's tokens are Python objects; nulls, empty and long texts keep their places."""
+    import pyarrow as pa
+
+    from riskweave.functions import segment
+
+    texts, known = ["金木", None, "", "水火水火水火 abc", "石"] * 3, segment.Dictionary({"金木": 5, "水火": 3})
+    for size in (1, 3, 1 << 18):
+        monkeypatch.setattr(segment, "SLICE", size)
+        assert segment.cut_texts(pa.array(texts, pa.string()), known.tokens).to_pylist() == [known.tokens(t) for t in texts]
+    assert segment.cut_texts(pa.array([], pa.string()), known.tokens).to_pylist() == []
+
+
+def test_classifier_is_fit_on_stored_rows(spark, monkeypatch):
+    """Passes over the training rows shuffle nothing again."""
+    from riskweave.operators import training
+    from riskweave.plans import queries
+
+    fit, seen = training.fit_classifier, []
+    monkeypatch.setattr(training, "fit_classifier", lambda data: seen.append(data) or fit(data, iterations=1))
+    queries.classifier_scores(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString() and not seen[0].isEmpty()
