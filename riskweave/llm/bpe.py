@@ -4,8 +4,8 @@
 vocabulary token can never be merged, so the place between its bytes is a certain cut,
 and fragments between cuts encode independently. White space is in no token: the first
 cuts are at white space, and the fragments between are looked up, since most recur. An
-unknown one is cut at its pre-token boundaries and then, whatever its script and length,
-at every forced pair; only the last fragment of a pre-token carries the end-of-word mark.
+unknown one is cut at its pre-token boundaries; these are looked up too, and an unknown
+one is cut, whatever its script and length, at every forced pair; only the last fragment of a pre-token carries the end-of-word mark.
 A text is normalised once, as a whole; fragments are encoded from their bytes. What the pieces encode to is
 concatenated. Decoding concatenates the pieces' decodings in the same way.
 
@@ -36,6 +36,8 @@ from .common import batch_of, slices, source
 
 #: Fragments that a Python worker remembers; then it starts afresh.
 REMEMBERED = 400_000
+#: Bytes up to which plain Python finds the forced pairs of a pre-token sooner than numpy.
+SHORT = 64
 #: The pre-token patterns of the two vocabularies.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
@@ -58,13 +60,13 @@ _END = b"\xff"
 
 
 class _Known(dict):
-    """Words and what they encode and decode to; learns on a miss and starts afresh when full."""
+    """Words, or their pre-tokens, and what they encode and decode to; learns on a miss and starts afresh when full."""
 
     def __init__(self, learn):
         super().__init__()
         self.learn = learn
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str | bytes) -> tuple[bytes, str]:
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = out = self.learn(word)
@@ -86,32 +88,42 @@ class WordCodec:
         ranks = {raw[t]: i for t, i in vocab.items() if t in raw}
         ranks[_END] = max(ranks.values()) + len(self.special) + 1  # every byte with the mark is a token: never left alone
         self._bpe = tiktoken.Encoding("word-end", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._piece = self._bpe._encode_single_piece
+        self._piece = self._bpe._core_bpe.encode_single_piece
         #: never[a, b]: no token has the byte a followed by b.
         self.never = np.ones((256, 256), bool)
         for token in ranks:
             pair = list(token)
             self.never[pair[:-1], pair[1:]] = False
-        self._known = _Known(self._learn)
+        self._forced = set(map(tuple, np.argwhere(self.never).tolist()))
+        self._known, self._coded = _Known(self._learn), _Known(self._code)
 
     def fragments(self, pre_token: bytes) -> list[bytes]:
         """Cut a marked pre-token at its forced boundaries."""
-        raw = np.frombuffer(pre_token, np.uint8)
-        cuts = (np.flatnonzero(self.never[raw[:-1], raw[1:]]) + 1).tolist()
+        if len(pre_token) <= SHORT:
+            cuts = [i for i, pair in enumerate(zip(pre_token, pre_token[1:]), 1) if pair in self._forced]
+        else:
+            raw = np.frombuffer(pre_token, np.uint8)
+            cuts = (np.flatnonzero(self.never[raw[:-1], raw[1:]]) + 1).tolist()
+        if not cuts:
+            return [pre_token]
         return [pre_token[a:b] for a, b in zip([0, *cuts], [*cuts, len(pre_token)])]
 
     def _pre_tokens(self, word: str) -> list[bytes]:
         """The bytes of each pre-token; where Unicode versions may differ, the library's own."""
         if _OTHER.search(word):
             return [bytes(map(_BYTES.__getitem__, pre)) for pre, _ in self._split(word)]
-        return [pre.encode() for pre in _PRE.findall(word)]
+        return [word.encode()] if word.isalpha() else [pre.encode() for pre in _PRE.findall(word)]
 
-    def _learn(self, word: str) -> tuple[bytes, str]:
+    def _code(self, pre_token: bytes) -> tuple[bytes, str]:
+        """Ids and decoding; a space ends the decoding."""
         ids: list[int] = []
-        for pre in self._pre_tokens(word):
-            for piece in self.fragments(pre + _END):
-                ids += self._piece(piece)
-        return array("I", ids).tobytes(), self.decode(ids)
+        for piece in self.fragments(pre_token + _END):
+            ids += self._piece(piece)
+        return array("I", ids).tobytes(), self.decode(ids) + " "
+
+    def _learn(self, word: str) -> tuple[bytes, str]:
+        coded = [self._coded[pre] for pre in self._pre_tokens(word)]
+        return coded[0] if len(coded) == 1 else (b"".join([x[0] for x in coded]), "".join([x[1] for x in coded]))
 
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -126,10 +138,10 @@ class WordCodec:
         found: list[tuple[bytes, str]] = []
         for part in self._specials.split(text) if self._specials and "<" in text else (text,):
             if part in self.special:
-                found.append((array("I", [self.special[part]]).tobytes(), part))
+                found.append((array("I", [self.special[part]]).tobytes(), part + " "))
             elif part:
                 found += map(self._known.__getitem__, self._words(part))
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]])
+        return b"".join([x[0] for x in found]), "".join([x[1] for x in found])[:-1]
 
 
 @lru_cache(maxsize=2)

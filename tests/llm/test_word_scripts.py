@@ -44,3 +44,12 @@ def test_every_script_is_cut_at_forced_pairs(monkeypatch):
     monkeypatch.setattr(codec, "fragments", lambda pre: cut.append(pre) or whole(pre))
     codec.encode("word слово λόγος 中文")
     assert [c.removesuffix(b"\xff").decode() for c in cut] == ["word", "слово", "λόγος", "中文"]
+
+
+def test_pre_tokens_are_encoded_once_whatever_stands_beside_them(monkeypatch):
+    codec, coder = bpe.WordCodec(WORDS), library(WORDS)
+    seen, piece = [], codec._piece
+    monkeypatch.setattr(codec, "_piece", lambda raw: seen.append(bytes(raw)) or piece(raw))
+    for text in ("thheingble thheingble. (thheingble), Thheingble's", "слово слово. «слово»", "a" * 500 + " " + "a" * 500 + ".", "x1 x. 1."):
+        same(codec, coder, text)
+    assert len(seen) == len(set(seen))
