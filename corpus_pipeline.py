@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import langid, near_dup, packing, substring
-from riskweave.llm.common import cut, new_folder
+from riskweave.llm.common import cut, new_folder, parted, written
 from riskweave.llm.queries import CAPACITY, END_ID
 
 #: Margin under which a language is uncertain: the best dictionary saves less than this share of the second best's bytes.
@@ -83,11 +83,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, key, unique = keyed(docs)
     rest = fresh(rows, "_rest")[0]
-    cuts = substring.remove_repeats(rows, doc_id=key).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("text").alias(rest))
-    joined = rows.join(cuts if unique else cuts.dropDuplicates([key]), key, "left").where(F.col(rest).isNull() | (F.col(rest) != ""))
+    cuts = substring.remove_repeats(rows, doc_id=key, losing=True).select(F.col("doc_id").alias(key), F.col("text").alias(rest))
+    cuts, _ = written(cuts, "cuts", "zstd")
+    some, others = parted(rows, key, cuts)
+    joined = some.join(cuts if unique else cuts.dropDuplicates([key]), key, "left").where(F.col(rest).isNull() | (F.col(rest) != ""))
     text = F.coalesce(F.col(rest), F.col("text"))
     length = lambda c: F.when(F.col(rest).isNull(), column(c)).otherwise(F.length(text)).cast(docs.schema[c].dataType)
-    return joined.select(*(text.alias(c) if c == "text" else length(c).alias(c) if c == "n_chars" else column(c) for c in docs.columns))
+    joined = joined.select(*(text.alias(c) if c == "text" else length(c).alias(c) if c == "n_chars" else column(c) for c in docs.columns))
+    return joined.union(others.select(*(column(c) for c in docs.columns)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Helpers the corpus operators share: lineage cuts, shared folders, ranks, joins with hot groups, Arrow slices."""
+"""Helpers the corpus operators share: lineage cuts, shared folders, ranks, joins with hot groups or few keys, Arrow slices."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: A group is hot that has more than one row in so many; so there are fewer hot groups than that.
 HEAVY = 4096
+#: Bits of the map of keys that `parted` broadcasts, at most: a million rows of 64.
+MOST_BITS = 1 << 26
 #: Stands for a missing doc_id, after all others.
 LAST = (1 << 63) - 1
 
@@ -117,6 +119,22 @@ def grouped(df: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFra
     return df.join(hot, key).unionByName(df.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
+def parted(df: DataFrame, key: str, keys: DataFrame, most: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows of `df` whose `key` may be among those of `keys`, and all others, none of which is; no row of `df` is shuffled.
+
+    A bit map of the keys' hashes, of at most `most` bits, is broadcast. Few other rows come
+    with the first, more once the map fills up: join these with `keys`. `keys` should be cut before.
+    """
+    size = min(most, 1 << max(16, (16 * keys.count()).bit_length()))
+    at = F.pmod(F.xxhash64(key), F.lit(size))
+    word, bits = (f"_{name}_{uuid.uuid4().hex}" for name in ("word", "bits"))
+    place = (at % 64).cast("int")
+    table = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias(bits))
+    marked = df.join(F.broadcast(table), F.floor(at / 64) == F.col(word), "left")
+    on = F.coalesce(F.getbit(F.col(bits), place) == 1, F.lit(False))
+    return marked.where(on).drop(word, bits), marked.where(~on).drop(word, bits)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has at most `most` bytes in a slice, or one row."""
     for batch in batches:

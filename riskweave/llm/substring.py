@@ -17,6 +17,9 @@ sequence also starts in a document with a smaller doc_id.
    node, and its smallest document comes from a partial aggregation, so no task holds a
    hot group.
 
+Whole texts are shuffled only of documents that may have a shared prefix, or lose words: a
+bit map of these, of bounded size, leaves most others where they are read.
+
 Hashes only choose groups. What is removed is decided on the words themselves, or where
 whole documents, hot windows and words of over 64 bytes are compared, on BLAKE2 digests.
 
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, grouped, new_folder, slices, source, versioned
+from .common import batch_of, cut, grouped, new_folder, parted, slices, source, versioned
 from .words import LONG, Words
 
 #: Words of a window; bytes of a group's suffixes that a task may hold, each with so many besides its words.
@@ -209,8 +212,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     shared = entries.groupBy("prefix").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size")).where("lo < hi")
     found = grouped(entries.select("row", "prefix"), cut(shared.select("prefix", "n", (F.col("size") > group).alias("hot"))), "prefix")
     wanted = found.groupBy("row").agg(F.collect_list(F.when(~F.col("hot"), F.col("prefix"))).alias("small"), F.collect_list(F.when(F.col("hot"), F.col("prefix"))).alias("large"))
-    wanted = named.select("row", "doc", "version").join(wanted, "row")
-    rows = docs.join(wanted, ["doc", "version"]).select("row", "doc", "text", "small", "large").mapInArrow(lambda it: _suffixes(it, width), "prefix long, row long, doc long, first int, n int, passage binary, windows array<struct<window:binary,places:array<int>>>")
+    wanted = cut(named.select("row", "doc", "version").join(wanted, "row"))
+    rows = parted(docs, "doc", wanted)[0].join(wanted, ["doc", "version"]).select("row", "doc", "text", "small", "large").mapInArrow(lambda it: _suffixes(it, width), "prefix long, row long, doc long, first int, n int, passage binary, windows array<struct<window:binary,places:array<int>>>")
     folder = new_folder(spark, "suffixes")
     rows.write.option("compression", "zstd").parquet(folder)
     rows = spark.read.parquet(folder)
@@ -225,8 +228,12 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, group: int = GROUP) ->
     return same.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>")).withColumn("whole", F.lit(True)))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, group: int = GROUP) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed and the text of the kept words, joined by one space."""
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, group: int = GROUP, losing: bool = False) -> DataFrame:
+    """Per row, or with `losing` per row that loses words: doc_id, n_words, n_removed and the text of the kept words, joined by one space."""
     docs = versioned(source(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long")))
     losses = cut(repeated_windows(docs.drop("doc_id"), width, group))
-    return docs.join(losses, ["doc", "version"], "left").select("doc_id", "text", "spans", "whole").mapInArrow(lambda it: _kept(it, width), "doc_id long, n_words long, n_removed long, text string")
+    some, others = parted(docs, "doc", losses)
+    rows = some.join(losses, ["doc", "version"], "inner" if losing else "left").select("doc_id", "text", "spans", "whole")
+    if not losing:
+        rows = rows.unionByName(others.select("doc_id", "text", *(F.lit(None).cast(losses.schema[c].dataType).alias(c) for c in ("spans", "whole"))))
+    return rows.mapInArrow(lambda it: _kept(it, width), "doc_id long, n_words long, n_removed long, text string")
