@@ -14,7 +14,7 @@ Tokenizer = Callable[[Column], Column]
 
 def words(text: Column) -> Column:
     """Runs of letters and digits in lower case; the default tokenizer."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def han_bigrams(text: Column) -> Column:

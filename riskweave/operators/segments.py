@@ -9,9 +9,9 @@ blocks lie in one of BUCKETS folders, so a search lists and reads those of its o
 An update compares the rows (file, place, signature) of a message table with those of the
 index. New and changed rows become one more segment; rows that are gone or changed become
 tombstones, which hold for all older segments, together with what they take from term counts
-and file statistics. So one changed row writes one row. Compaction merges the sorted postings
-of all segments without those that are gone and without reading a text again; any order of
-updates and compactions leaves the same answers as an index written anew.
+and file statistics. So one changed row writes one row. Compaction makes blocks of
+the counted terms of all rows that are alive, without reading a text again, and adds up the
+counts; any order of updates and compactions leaves the same answers as an index written anew.
 
 What is valid is what the latest file below `versions` lists. It appears in one step when
 all its parts are written, so a failed or repeated run leaves parts nobody reads, which
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Tokenizer, words
 from ..schema import INDEX_VERSION
-from .index import runs, tokenized
+from . import places
+from .index import tokenized
 
 #: Rows of a file whose postings of a term stand together; folders of a segment's blocks.
 BLOCK, BUCKETS = 128, 16
@@ -49,8 +50,10 @@ SCHEMAS = {
 KEY = ["_file", "_row"]
 #: Files of an update whose names are pushed down to the scan of documents; more are joined only.
 NAMED_FILES = 1000
-#: Tokens whose postings are sorted in one task, so that it holds them in memory at any size of the input.
-TOKENS = 1_000_000
+#: Tokens whose postings are sorted in one task, so that it holds them in memory at any size of the input; tokens counted at a time.
+TOKENS, COUNTED = 2_000_000, 1 << 18
+#: Rows of blocks that leave a Python task together.
+ROWS = 1 << 16
 
 
 class Part(NamedTuple):
@@ -139,8 +142,8 @@ class Index:
         """Without rows that a younger part's tombstones name."""
         if not any(p.removed for p in parts):
             return rows
-        gone = self._read("gone", parts).groupBy(*KEY).agg(F.max("_part").alias("_gone"))
-        return rows.join(gone, KEY, "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_part"))).drop("_gone")
+        gone = self._read("gone", parts).withColumnRenamed("_part", "_gone")
+        return places.outside(rows, places.words(gone, "_gone"), F.col("_gone") > F.col("_part"))
 
     def docs(self) -> DataFrame:
         """(_file, _row, _signature, length) of the messages in the index."""
@@ -160,7 +163,7 @@ class Index:
         """The blocks of all segments, or those of some terms: their folders and the terms themselves are pushed down to the scan."""
         if terms is None:
             return self._read("blocks")
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(bucket()).distinct().collect()] if terms else []
+        buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term")).select(bucket()).distinct().collect()] if terms else []
         return self._read("blocks", where=F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
     def postings(self, blocks: DataFrame) -> DataFrame:
@@ -172,21 +175,20 @@ class Index:
 
     def _write(self, name: str, table: str, rows: DataFrame, *by: str) -> DataFrame:
         where = f"{self.path}/parts/{name}/{table}"
-        rows.write.partitionBy(*by).parquet(where)
+        rows.write.option("compression", "zstd").partitionBy(*by).parquet(where)
         return self.spark.read.schema(SCHEMAS[table]).parquet(where)
 
-    def _write_segment(self, name: str, docs: DataFrame, gone: DataFrame | None, blocks: Callable[[int], DataFrame] | None = None) -> tuple[DataFrame, int]:
-        """Write docs and blocks (for a number of tokens), and what `gone`, rows as in docs, takes from the counts."""
+    def _write_segment(self, name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Write docs and their blocks; docs, (term, n) of each block, and the number of docs."""
         docs = self._write(name, "docs", docs)
         added, tokens = docs.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        if added:
-            self._write(name, "blocks", blocked(docs, tokens) if blocks is None else blocks(tokens), "bucket")
-        counts = docs.select("_file", F.lit(1).alias("sign"), "length", "terms.term")
-        if gone is not None:
-            counts = counts.unionByName(gone.select("_file", F.lit(-1).alias("sign"), "length", "terms.term"))
-        self._write(name, "terms", counts.select("sign", F.explode("term").alias("term")).groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0"))
-        self._write(name, "stats", counts.groupBy("_file").agg(F.sum("sign").alias("doc_count"), F.sum(F.col("sign") * F.col("length")).alias("total_length")))
-        return docs, added
+        blocks = self._write(name, "blocks", blocked(docs, tokens), "bucket") if added else self.spark.createDataFrame([], SCHEMAS["blocks"])
+        return docs, blocks.select("term", "n"), added
+
+    def _write_counts(self, name: str, terms: DataFrame, stats: DataFrame) -> None:
+        """Write the sums of (term, df) and of (_file, doc_count, total_length)."""
+        self._write(name, "terms", terms.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"))
+        self._write(name, "stats", stats.groupBy("_file").agg(F.sum("doc_count").alias("doc_count"), F.sum("total_length").alias("total_length")))
 
     def update(self, messages: DataFrame, whole_files: bool = False) -> Changes:
         """Bring the index to the rows of `messages`; with `whole_files`, only the files that occur in it."""
@@ -197,31 +199,44 @@ class Index:
         if whole_files:
             old = old.join(rows.select("_file").distinct(), "_file", "left_semi")
         here, there = rows.select(*KEY, "_signature"), old.select(*KEY, "_signature")
-        fresh, removed, gone = rows, 0, None
-        if parts:  # keys are compared first, so that texts of rows that stay aren't moved
+        fresh, removed, counted = rows, 0, []
+        if parts:  # keys are compared first; texts and terms stay where they are
             keys = self._write(name, "fresh", here.join(there, [*KEY, "_signature"], "left_anti"))
-            fresh = rows.join(keys, [*KEY, "_signature"], "left_semi")
+            fresh = places.inside(rows, places.words(keys))
             tombs = self._write(name, "gone", there.join(here, [*KEY, "_signature"], "left_anti"))
             removed = tombs.count()
             if removed:
-                files = [r[0] for r in tombs.select("_file").distinct().limit(NAMED_FILES + 1).collect()]
-                of_files = F.col("_file").isin(files) if len(files) <= NAMED_FILES else None
-                known = self._alive(self._read("docs", parts, of_files), parts)
-                gone = known.join(tombs, [*KEY, "_signature"], "left_semi")
-        _, added = self._write_segment(name, documents(fresh, self.tokenizer), gone)
+                counted = self._without(tombs, removed, parts)
+        docs, blocks, added = self._write_segment(name, documents(fresh, self.tokenizer))
+        terms, stats = blocks.select("term", F.col("n").alias("df")), docs.select("_file", F.lit(1).alias("doc_count"), F.col("length").alias("total_length"))
+        for t, n in counted:
+            terms, stats = terms.unionByName(t), stats.unionByName(n)
+        self._write_counts(name, terms, stats)
         if added or removed:
             self._commit(version + 1, [*parts, Part(number, name, added, removed)])
         return Changes(added, removed)
 
+    def _without(self, tombs: DataFrame, removed: int, parts: list[Part]) -> list[tuple[DataFrame, DataFrame]]:
+        """What rows that go take from (term, df) and (_file, doc_count, total_length): the counts of these rows or, if they are the most, all counts but those of rows that stay."""
+        most = removed * 2 > sum(p.added - p.removed for p in parts)
+        files = [] if most else [r[0] for r in tombs.select("_file").distinct().limit(NAMED_FILES + 1).collect()]
+        known = self._read("docs", parts, F.col("_file").isin(files) if 0 < len(files) <= NAMED_FILES else None)
+        known = self._alive(known.select(*KEY, "_part", "length", F.col("terms.term").alias("terms")), parts)
+        rows, sign = (places.outside(known, places.words(tombs)), 1) if most else (places.inside(known, places.words(tombs)), -1)
+        out = [(rows.select(F.explode("terms").alias("term"), F.lit(sign).alias("df")), rows.select("_file", F.lit(sign).alias("doc_count"), (F.col("length") * sign).alias("total_length")))]
+        if most:
+            minus = lambda c: (-F.col(c)).alias(c)
+            out.append((self._read("terms", parts).select("term", minus("df")), self._read("stats", parts).select("_file", minus("doc_count"), minus("total_length"))))
+        return out
+
     def compact(self) -> None:
-        """One segment of all that is alive: sorted postings of the same term and rows are merged."""
+        """One segment of all that is alive; its counts are the sums of those of the parts."""
         version, parts = self.version(), self.parts()
         if len(parts) < 2:
             return
         name, number = uuid.uuid4().hex, max(p.number for p in parts) + 1
-        docs = self._alive(self._read("docs", parts), parts).drop("_part")
-        gone = self._read("gone", parts) if any(p.removed for p in parts) else None
-        _, added = self._write_segment(name, docs, None, lambda tokens: merged(self._read("blocks", parts), gone, tokens))
+        *_, added = self._write_segment(name, self._alive(self._read("docs", parts), parts).drop("_part"))
+        self._write_counts(name, self._read("terms", parts), self._read("stats", parts))
         self._commit(version + 1, [Part(number, name, added, 0)] if added else [])
 
 
@@ -231,58 +246,117 @@ def bucket() -> Column:
 
 def documents(messages: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
     """(_file, _row, _signature, length, terms) of messages; one pass over the texts, no shuffle."""
-    key = (*KEY, "_signature")
-    rows = runs(tokenized(messages, key, tokenizer), "tokens", *key)
-    of_run = F.transform("_runs", lambda r: F.struct(F.get("_sorted", r["a"]).alias("term"), (r["b"] - r["a"]).cast("long").alias("tf")))
-    return rows.select(*key, F.size("_sorted").cast("long").alias("length"), F.coalesce(of_run, F.array().cast("array<struct<term: string, tf: long>>")).alias("terms"))
+    most = COUNTED
+    return tokenized(messages, (*KEY, "_signature"), tokenizer).mapInArrow(lambda it: _counted(it, most), SCHEMAS["docs"])
+
+
+def _ranked(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The place of each string among the distinct ones in their order, and these."""
+    coded = strings.dictionary_encode("encode")
+    order = pc.sort_indices(coded.dictionary)
+    ranks = np.empty(len(order), np.int64)
+    ranks[order.to_numpy()] = np.arange(len(order))
+    return ranks[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+
+
+def _counted(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of each row as its distinct terms in order, with their counts; about `most` tokens at a time."""
+    for batch in batches:
+        slices = np.cumsum(_sizes(batch["tokens"])) // most
+        cuts = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            rows = batch.slice(a, b - a)
+            sizes = _sizes(rows["tokens"])
+            ranks, terms = _ranked(rows["tokens"].flatten())
+            n = max(1, len(terms))
+            runs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + ranks, return_counts=True)
+            ends = np.cumsum(np.bincount(runs // n, minlength=len(sizes)))
+            of_row = pa.StructArray.from_arrays([terms.take(pa.array(runs % n)), pa.array(counts, pa.int64())], ["term", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), of_row)
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in (*KEY, "_signature")), pc.list_value_length(rows["tokens"]).cast(pa.int64()), lists], names=[*KEY, "_signature", "length", "terms"])
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+
+def _binaries(data: pa.Buffer, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Strings or binaries that end there in the data."""
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), data])
+
+
+def _data(binaries: pa.Array) -> pa.Buffer:
+    """The bytes of all strings or binaries."""
+    at = np.frombuffer(binaries.buffers()[1], np.int32)[binaries.offset : binaries.offset + len(binaries) + 1]
+    return binaries.buffers()[2][int(at[0]) : int(at[-1])] if at[-1] > at[0] else pa.py_buffer(b"")
+
+
+#: Counted terms of a row on their way: the terms without a gap, and their numbers of bytes and counts as 32-bit integers.
+_PACKED = "_file string, _row long, length long, terms binary, sizes binary, tfs binary"
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with packed terms: a third of what arrays of structs take in a shuffle."""
+    for batch in batches:
+        counted = batch["terms"].flatten()
+        terms, tfs, ends = counted.field(0), counted.field(1), np.cumsum(_sizes(batch["terms"]))
+        sizes = pc.binary_length(terms).to_numpy().astype(np.int32)
+        bytes_ = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[ends]
+        packed = [_binaries(_data(terms), bytes_, pa.binary()), *(_binaries(pa.py_buffer(x.astype(np.int32)), ends * 4, pa.binary()) for x in (sizes, tfs.to_numpy()))]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*KEY, "length")), *packed], names=[*KEY, "length", "terms", "sizes", "tfs"])
 
 
-def _folded(batches, size: int):
-    """Blocks of postings that come in the order of term, file and row; the last run of a batch may go on in the next."""
-    kept = None
+def _folded(batches: Iterable[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows with packed terms that come in the order of file and row, in the order of term, file and row for about `most` postings at a time; the last block of a batch may go on in the next."""
+    held, n = [], 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = pa.Table.from_batches([batch] if kept is None else [kept, batch]).combine_chunks().to_batches()[0]
-        blocks = rows["_row"].to_numpy() // size
-        same = lambda c: pc.equal(rows[c][1:], rows[c][:-1]).to_numpy(zero_copy_only=False)
-        begins = np.flatnonzero(np.concatenate(([True], ~(same("term") & same("_file")) | (blocks[1:] != blocks[:-1]))))
-        kept = rows.slice(begins[-1])
-        if len(begins) > 1:
-            yield _block_rows(rows, blocks, begins)
-    if kept is not None:
-        yield _block_rows(kept, kept["_row"].to_numpy() // size, np.array([0, kept.num_rows]))
-
-
-def _block_rows(rows, blocks: np.ndarray, begins: np.ndarray):
-    """A row for each run but what is behind the last begin."""
-    at, end = begins[:-1], int(begins[-1])
-    whole = rows.slice(0, end)
-    of_run = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.StructArray.from_arrays([whole[c] for c in ("_row", "tf", "length")], ["_row", "tf", "length"]))
-    numbers = blocks[at], np.diff(begins), np.maximum.reduceat(whole["tf"].to_numpy(), at), np.minimum.reduceat(whole["length"].to_numpy(), at)
-    columns = [whole["term"].take(at), whole["_file"].take(at), *(pa.array(x, pa.int64()) for x in numbers), of_run, whole["bucket"].take(at)]
-    return pa.RecordBatch.from_arrays(columns, names=["term", "_file", "_block", "n", "max_tf", "min_length", "rows", "bucket"])
-
-
-def folded(postings: DataFrame, tokens: int) -> DataFrame:
-    """Blocks of (term, _file, _row, tf, length), of texts with `tokens` tokens in all; a posting is shuffled once and sorted once, by term, file and row."""
-    size = BLOCK
-    parts = max(1, -(-tokens // TOKENS))
-    salt = F.pmod(F.xxhash64("_file", F.floor(F.col("_row") / size)), F.lit(-(-parts // BUCKETS)))
-    rows = postings.select("term", "_file", "_row", "tf", "length", bucket()).repartition(parts, "bucket", salt)
-    return rows.sortWithinPartitions("term", "_file", "_row").mapInArrow(lambda it: _folded(it, size), SCHEMAS["blocks"])
+        held.append(batch)
+        n += len(_data(batch["tfs"])) // 4
+        if n >= most:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(_blocks_of(rows, size)[-1])
+            if last:
+                yield from _block_rows(rows.slice(0, last), size)
+            held = [rows.slice(last)]
+            n = len(_data(held[0]["tfs"])) // 4
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+    if rows:
+        yield from _block_rows(rows[0], size)
+
+
+def _blocks_of(rows: pa.RecordBatch, size: int) -> np.ndarray:
+    """The first row of each block."""
+    return _begins(rows["_file"].dictionary_encode().indices.to_numpy(), rows["_row"].to_numpy() // size)
+
+
+def _block_rows(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A row for each term of each block."""
+    firsts, counts = _blocks_of(rows, size), pc.binary_length(rows["tfs"]).to_numpy().astype(np.int64) // 4
+    ranks, terms = _ranked(_binaries(_data(rows["terms"]), np.cumsum(np.frombuffer(_data(rows["sizes"]), np.int32), dtype=np.int64), pa.string()))
+    of = np.repeat(np.arange(len(counts)), counts)
+    order = np.argsort(ranks * len(counts) + of)  # no two are equal
+    ranks, of, tf = ranks[order], of[order], np.frombuffer(_data(rows["tfs"]), np.int32)[order]
+    block = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(counts))))[of]
+    row, length = rows["_row"].to_numpy()[of], rows["length"].to_numpy()[of]
+    at = _begins(ranks, block)
+    ends, first = np.append(at, len(order)), firsts[block[at]]
+    of_block = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (row, tf, length)], ["_row", "tf", "length"]))
+    numbers = row[at] // size, np.diff(ends), np.maximum.reduceat(tf, at), np.minimum.reduceat(length, at)
+    columns = [terms.take(pa.array(ranks[at])), rows["_file"].take(pa.array(first)), *(pa.array(x, pa.int64()) for x in numbers), of_block]
+    blocks = pa.RecordBatch.from_arrays(columns, names=["term", "_file", "_block", "n", "max_tf", "min_length", "rows"])
+    for k in range(0, blocks.num_rows, ROWS):
+        yield blocks.slice(k, ROWS)
 
 
 def blocked(docs: DataFrame, tokens: int) -> DataFrame:
-    """Blocks of the counted terms of documents."""
-    return folded(docs.select("_file", "_row", "length", F.inline("terms")), tokens)
-
-
-def merged(blocks: DataFrame, gone: DataFrame | None, tokens: int) -> DataFrame:
-    """Blocks of all parts as one set of blocks, without postings that are gone."""
-    if gone is not None:
-        dead = gone.select("_file", F.floor(F.col("_row") / BLOCK).alias("_block"), F.struct("_row", "_part").alias("d")).groupBy("_file", "_block").agg(F.collect_set("d").alias("dead"))
-        blocks = blocks.join(dead, ["_file", "_block"], "left")
-        buried = lambda r: F.exists("dead", lambda d: (d["_row"] == r["_row"]) & (d["_part"] > F.col("_part")))
-        blocks = blocks.withColumn("rows", F.when(F.col("dead").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda r: ~buried(r))))
-    return folded(blocks.select("term", "_file", F.inline("rows")), tokens)
+    """Blocks of the counted terms of documents with `tokens` tokens in all. Whole rows are shuffled, so that a task has all rows of its blocks and sorts their postings itself."""
+    size, most = BLOCK, TOKENS
+    rows = docs.where(F.size("terms") > 0).select(*KEY, "length", "terms").mapInArrow(_packed, _PACKED)
+    rows = rows.repartition(max(1, -(-tokens // most)), "_file", F.floor(F.col("_row") / size))
+    blocks = rows.sortWithinPartitions(*KEY).mapInArrow(lambda it: _folded(it, size, most), SCHEMAS["blocks"].removesuffix(", bucket int"))
+    return blocks.withColumn("bucket", bucket())

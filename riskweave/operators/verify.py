@@ -17,6 +17,7 @@ from ..functions.text import signature, skip_key
 from ..functions.values import normalized, now
 from ..schema import COLUMNS, LABELLED, UNVERIFIED
 from ..session import shared_folder
+from . import places
 
 KEY = ["_file", "_row"]
 
@@ -79,21 +80,21 @@ def label(messages: DataFrame, edits: DataFrame, at: str | None = None) -> DataF
 def delete(messages: DataFrame, edits: DataFrame) -> DataFrame:
     """Delete rows whose edit is ok; later rows of the file move up.
 
-    How far a row moves is the number of deleted rows before it: a running count within
-    ranges of rows, and the counts of the ranges before, so a file of any size is spread
-    over many tasks and no row carries a list.
+    How far a row moves is the number of deleted rows before it: those before its 64 rows,
+    counted within ranges and over the ranges before, and those among the 64. So a file of
+    any size is spread over many tasks, and messages stay where they are.
     """
-    size = 65_536
-    range_ = F.floor(F.col("_row") / size)
-    gone = statuses(messages, edits).where("status = 'ok'").select(*KEY).distinct()
-    ahead = Window.partitionBy("_file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    gone_of = gone.groupBy("_file", range_.alias("_range")).agg(F.count("*").alias("n"))
-    # Every range of a touched file, with the deletions before it.
-    ranges = messages.select("_file", range_.alias("_range")).distinct().join(gone_of, ["_file", "_range"], "left").select("_file", "_range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_ahead"))
-    flagged = messages.join(gone.withColumn("_gone", F.lit(1)), KEY, "left").withColumn("_range", range_)
-    before = Window.partitionBy("_file", "_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = flagged.withColumn("_before", F.count("_gone").over(before)).where("_gone IS NULL").join(ranges, ["_file", "_range"])
-    return moved.withColumn("_row", F.col("_row") - F.col("_before") - F.col("_ahead")).select(*messages.columns)
+    power = 16 - places.POWER
+    gone = statuses(messages, edits).where("status = 'ok'").select(*KEY)
+    words = messages.select("_file", places.word()).distinct().join(places.words(gone), ["_file", "_word"], "left")
+    words = words.select("_file", "_word", F.coalesce("_bits", F.lit(0).cast("long")).alias("_bits"), F.shiftright("_word", power).alias("_range"))
+    of_range = words.groupBy("_file", "_range").agg(F.sum(F.bit_count("_bits")).alias("n"))
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = of_range.select("_file", "_range", F.coalesce(F.sum("n").over(ahead(Window.partitionBy("_file").orderBy("_range"))), F.lit(0)).alias("_ahead"))
+    within = F.coalesce(F.sum(F.bit_count("_bits")).over(ahead(Window.partitionBy("_file", "_range").orderBy("_word"))), F.lit(0))
+    words = words.withColumn("_within", within).join(ranges, ["_file", "_range"]).select("_file", "_word", "_bits", (F.col("_ahead") + F.col("_within")).alias("_moved"))
+    placed = messages.withColumn("_word", places.word()).join(places.few(words), ["_file", "_word"]).where(~places.has())
+    return placed.withColumn("_row", F.col("_row") - F.col("_moved") - places.before()).select(*messages.columns)
 
 
 def write_back(spark: SparkSession, path: str, edits: DataFrame) -> DataFrame:

@@ -141,6 +141,13 @@ _indexes: dict[tuple[str, str], segments.Index] = {}
 _DF = "SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(tokens) AS term FROM tokens) GROUP BY ALL"
 
 
+def _stored(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    """Messages as several updates or slices read them: numbered and signed once."""
+    path = f"{shared_folder(spark, 'messages')}/messages"
+    messages.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _new_index(spark: SparkSession, messages: DataFrame) -> segments.Index:
     made = segments.Index(spark, shared_folder(spark, "index"))
     made.update(messages)
@@ -248,13 +255,14 @@ def index_empty_search(spark, d):
 
 def _changed_index(spark, d, compact: bool) -> segments.Index:
     """An index that documents came to in two batches, of which some then changed, moved up or went; compacted at last, or between."""
-    m = td.messages(spark, d)
+    m = _stored(spark, td.messages(spark, d))
     index_ = _new_index(spark, m.where(F.col("doc_id") % 4 != 1))
     index_.update(m)
     if not compact:
         index_.compact()
-    index_.update(_blanked(m))
-    later = verify.delete(_blanked(m), m.where(F.col("doc_id") % 7 == 2).select("_file", "_row", F.lit("").alias("signature"))).withColumn("_signature", text.signature())
+    blank = _blanked(m)
+    index_.update(blank)
+    later = verify.delete(blank, m.where(F.col("doc_id") % 7 == 2).select("_file", "_row", F.lit("").alias("signature"))).withColumn("_signature", text.signature())
     index_.update(later)
     if compact:
         index_.compact()
@@ -634,20 +642,13 @@ def batch_checkpoints(spark, d):
     return batch.checkpoints(_scored(spark, d, True))
 
 
-def _stored_messages(spark, d) -> DataFrame:
-    """Messages as a run of many slices reads them: numbered and signed once."""
-    path = f"{shared_folder(spark, 'messages')}/messages"
-    td.messages(spark, d).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 class _Stopped(Exception):
     pass
 
 
 def _stopped_and_resumed(spark, d) -> tuple[DataFrame, batch.Journal]:
     """Score every message in five slices; the first run stops in its third slice, the second goes on."""
-    m, journal = _stored_messages(spark, d), batch.Journal(spark, shared_folder(spark, "journal"))
+    m, journal = _stored(spark, td.messages(spark, d)), batch.Journal(spark, shared_folder(spark, "journal"))
     size = -(-m.agg(F.max("_row") + 1).first()[0] // 5)  # five slices
     slices = iter(range(2))
 

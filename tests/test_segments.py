@@ -172,3 +172,31 @@ def test_texts_of_messages_are_shuffled_once(spark):
     lines = [x for x in plan.splitlines() if "Sort [" in x or "Window [" in x]
     assert lines and not any("content" in x or "text" in x for x in lines)
     assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) <= 8
+
+
+@pytest.mark.parametrize("most_words", [0, 100])
+def test_compaction_sorts_rows_and_adds_counts(spark, tmp_path, monkeypatch, most_words):
+    """Postings of all parts aren't taken out of their blocks and compared with tombstones one by one; sets of rows may be shuffled or broadcast."""
+    from riskweave.operators import places
+
+    monkeypatch.setattr(places, "MOST_WORDS", most_words)
+    plans, write = {}, Index._write
+
+    def watched(self, name, table, rows, *by):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, name, table, rows, *by)
+
+    monkeypatch.setattr(Index, "_write", watched)
+    texts = {f: [f"flood the {k}" for k in range(150)] for f in ("a", "b")}
+    index = Index(spark, str(tmp_path))
+    index.update(table(spark, texts))
+    for k in (0, 63, 64, 127, 149):
+        texts["a"][k] = "alarm of alarm"
+    assert index.update(table(spark, texts)) == Changes(5, 5)
+    texts["a"] = [f"flood the {k}" for k in range(150)]
+    texts["b"] = ["city"] * 70
+    assert index.update(table(spark, texts)) == Changes(75, 155)
+    holds(index, texts)
+    index.compact()
+    assert not any(word in plans[t] for t in ("blocks", "terms", "stats") for word in ("exists(", "Generate"))
+    holds(index, texts)
