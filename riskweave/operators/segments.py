@@ -1,6 +1,7 @@
 """The stored index: immutable segments of blocked postings, tombstones, versions.
 
-A segment has `docs`, a row for each message with its signature, length and counted terms,
+A segment has `docs`, a row for each message with its signature, length and counted terms
+(packed: the terms without a gap, and their numbers of bytes and counts as 32-bit integers),
 and `blocks`: the postings of a term in BLOCK rows of a file, in row order, with their number,
 their greatest count and their least length. Lengths stand in the postings, so scoring joins
 nothing, and what a block can score at most is known without reading its postings. A term's
@@ -40,14 +41,15 @@ from .index import tokenized
 BLOCK, BUCKETS = 128, 16
 _ROW = "array<struct<_row: long, tf: long, length: long>>"
 SCHEMAS = {
-    "docs": "_file string, _row long, _signature string, length long, terms array<struct<term: string, tf: long>>",
+    "docs": "_file string, _row long, _signature string, length long, terms binary, sizes binary, tfs binary",
     "blocks": f"term string, _file string, _block long, n long, max_tf long, min_length long, rows {_ROW}, bucket int",
     "gone": "_file string, _row long, _signature string",
     "fresh": "_file string, _row long, _signature string",
     "terms": "term string, df long",
     "stats": "_file string, doc_count long, total_length long",
 }
-KEY = ["_file", "_row"]
+KEY, PACKED = ["_file", "_row"], ["terms", "sizes", "tfs"]
+FORMAT = INDEX_VERSION + 2
 #: Files of an update whose names are pushed down to the scan of documents; more are joined only.
 NAMED_FILES = 1000
 #: Tokens whose postings are sorted in one task, so that it holds them in memory at any size of the input; tokens counted at a time.
@@ -100,7 +102,7 @@ class Index:
         finally:
             stream.close()
         state = json.loads(text)
-        if state["format"] != INDEX_VERSION + 1:
+        if state["format"] != FORMAT:
             raise ValueError(f"an index of format {state['format']}")
         return [Part(*p) for p in state["parts"]]
 
@@ -108,7 +110,7 @@ class Index:
         fs, new = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
         out = fs.create(new)
         try:
-            out.write(bytearray(json.dumps({"format": INDEX_VERSION + 1, "parts": [list(p) for p in parts]}).encode()))
+            out.write(bytearray(json.dumps({"format": FORMAT, "parts": [list(p) for p in parts]}).encode()))
         finally:
             out.close()
         _, where = self._fs(f"{self.path}/versions/{version:010d}")
@@ -221,9 +223,10 @@ class Index:
         most = removed * 2 > sum(p.added - p.removed for p in parts)
         files = [] if most else [r[0] for r in tombs.select("_file").distinct().limit(NAMED_FILES + 1).collect()]
         known = self._read("docs", parts, F.col("_file").isin(files) if 0 < len(files) <= NAMED_FILES else None)
-        known = self._alive(known.select(*KEY, "_part", "length", F.col("terms.term").alias("terms")), parts)
+        known = self._alive(known.select(*KEY, "_part", "length", "terms", "sizes"), parts)
         rows, sign = (places.outside(known, places.words(tombs)), 1) if most else (places.inside(known, places.words(tombs)), -1)
-        out = [(rows.select(F.explode("terms").alias("term"), F.lit(sign).alias("df")), rows.select("_file", F.lit(sign).alias("doc_count"), (F.col("length") * sign).alias("total_length")))]
+        of_terms = rows.select("terms", "sizes").mapInArrow(_frequencies, "term string, df long")
+        out = [(of_terms.select("term", (F.col("df") * sign).alias("df")), rows.select("_file", F.lit(sign).alias("doc_count"), (F.col("length") * sign).alias("total_length")))]
         if most:
             minus = lambda c: (-F.col(c)).alias(c)
             out.append((self._read("terms", parts).select("term", minus("df")), self._read("stats", parts).select("_file", minus("doc_count"), minus("total_length"))))
@@ -245,7 +248,7 @@ def bucket() -> Column:
 
 
 def documents(messages: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
-    """(_file, _row, _signature, length, terms) of messages; one pass over the texts, no shuffle."""
+    """(_file, _row, _signature, length, terms, sizes, tfs) of messages; one pass over the texts, no shuffle."""
     most = COUNTED
     return tokenized(messages, (*KEY, "_signature"), tokenizer).mapInArrow(lambda it: _counted(it, most), SCHEMAS["docs"])
 
@@ -275,14 +278,8 @@ def _counted(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
             n = max(1, len(terms))
             runs, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + ranks, return_counts=True)
             ends = np.cumsum(np.bincount(runs // n, minlength=len(sizes)))
-            of_row = pa.StructArray.from_arrays([terms.take(pa.array(runs % n)), pa.array(counts, pa.int64())], ["term", "tf"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), of_row)
-            yield pa.RecordBatch.from_arrays([*(rows[c] for c in (*KEY, "_signature")), pc.list_value_length(rows["tokens"]).cast(pa.int64()), lists], names=[*KEY, "_signature", "length", "terms"])
-
-
-def _begins(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before."""
-    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+            of_rows = _packed(terms.take(pa.array(runs % n)), counts, ends)
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in (*KEY, "_signature")), pc.list_value_length(rows["tokens"]).cast(pa.int64()), *of_rows], names=[*KEY, "_signature", "length", *PACKED])
 
 
 def _binaries(data: pa.Buffer, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -292,23 +289,35 @@ def _binaries(data: pa.Buffer, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def _data(binaries: pa.Array) -> pa.Buffer:
     """The bytes of all strings or binaries."""
+    binaries = binaries.cast(pa.binary())
+    if not len(binaries):
+        return pa.py_buffer(b"")
     at = np.frombuffer(binaries.buffers()[1], np.int32)[binaries.offset : binaries.offset + len(binaries) + 1]
     return binaries.buffers()[2][int(at[0]) : int(at[-1])] if at[-1] > at[0] else pa.py_buffer(b"")
 
 
-#: Counted terms of a row on their way: the terms without a gap, and their numbers of bytes and counts as 32-bit integers.
-_PACKED = "_file string, _row long, length long, terms binary, sizes binary, tfs binary"
+def _packed(terms: pa.Array, counts: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Columns terms, sizes and tfs of rows whose terms end there."""
+    sizes = pc.binary_length(terms).fill_null(0).to_numpy().astype(np.int32)
+    bytes_ = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[ends]
+    return [_binaries(_data(terms), bytes_, pa.binary()), *(_binaries(pa.py_buffer(x.astype(np.int32)), ends * 4, pa.binary()) for x in (sizes, counts))]
+
 
+def _terms(rows: pa.RecordBatch) -> pa.Array:
+    """The terms of all rows, one after the other."""
+    return _binaries(_data(rows["terms"]), np.cumsum(np.frombuffer(_data(rows["sizes"]), np.int32), dtype=np.int64), pa.string())
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with packed terms: a third of what arrays of structs take in a shuffle."""
+
+def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a batch have each term."""
     for batch in batches:
-        counted = batch["terms"].flatten()
-        terms, tfs, ends = counted.field(0), counted.field(1), np.cumsum(_sizes(batch["terms"]))
-        sizes = pc.binary_length(terms).to_numpy().astype(np.int32)
-        bytes_ = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[ends]
-        packed = [_binaries(_data(terms), bytes_, pa.binary()), *(_binaries(pa.py_buffer(x.astype(np.int32)), ends * 4, pa.binary()) for x in (sizes, tfs.to_numpy()))]
-        yield pa.RecordBatch.from_arrays([*(batch[c] for c in (*KEY, "length")), *packed], names=[*KEY, "length", "terms", "sizes", "tfs"])
+        coded = _terms(batch).dictionary_encode()
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), pa.int64())], names=["term", "df"])
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
 
 
 def _folded(batches: Iterable[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -337,7 +346,7 @@ def _blocks_of(rows: pa.RecordBatch, size: int) -> np.ndarray:
 def _block_rows(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     """A row for each term of each block."""
     firsts, counts = _blocks_of(rows, size), pc.binary_length(rows["tfs"]).to_numpy().astype(np.int64) // 4
-    ranks, terms = _ranked(_binaries(_data(rows["terms"]), np.cumsum(np.frombuffer(_data(rows["sizes"]), np.int32), dtype=np.int64), pa.string()))
+    ranks, terms = _ranked(_terms(rows))
     of = np.repeat(np.arange(len(counts)), counts)
     order = np.argsort(ranks * len(counts) + of)  # no two are equal
     ranks, of, tf = ranks[order], of[order], np.frombuffer(_data(rows["tfs"]), np.int32)[order]
@@ -356,7 +365,6 @@ def _block_rows(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
 def blocked(docs: DataFrame, tokens: int) -> DataFrame:
     """Blocks of the counted terms of documents with `tokens` tokens in all. Whole rows are shuffled, so that a task has all rows of its blocks and sorts their postings itself."""
     size, most = BLOCK, TOKENS
-    rows = docs.where(F.size("terms") > 0).select(*KEY, "length", "terms").mapInArrow(_packed, _PACKED)
-    rows = rows.repartition(max(1, -(-tokens // most)), "_file", F.floor(F.col("_row") / size))
+    rows = docs.where(F.octet_length("tfs") > 0).select(*KEY, "length", *PACKED).repartition(max(1, -(-tokens // most)), "_file", F.floor(F.col("_row") / size))
     blocks = rows.sortWithinPartitions(*KEY).mapInArrow(lambda it: _folded(it, size, most), SCHEMAS["blocks"].removesuffix(", bucket int"))
     return blocks.withColumn("bucket", bucket())

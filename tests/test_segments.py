@@ -200,3 +200,35 @@ def test_compaction_sorts_rows_and_adds_counts(spark, tmp_path, monkeypatch, mos
     index.compact()
     assert not any(word in plans[t] for t in ("blocks", "terms", "stats") for word in ("exists(", "Generate"))
     holds(index, texts)
+
+
+def test_counts_of_rows_that_go(spark, tmp_path, monkeypatch):
+    """They are taken as whole rows, whether these or those that stay are fewer; no term of a row becomes a row of a join or shuffle."""
+    monkeypatch.setattr(segments, "COUNTED", 10)
+    monkeypatch.setattr(segments, "TOKENS", 50)
+    plans, write = [], Index._write
+
+    def watched(self, name, table, rows, *by):
+        plans.extend([rows._jdf.queryExecution().optimizedPlan().toString()] if table == "terms" else [])
+        return write(self, name, table, rows, *by)
+
+    monkeypatch.setattr(Index, "_write", watched)
+    long = " ".join(f"w{k}" for k in range(300))
+    texts = {"a": ["", " ", "é 漢字 ß é", long, "flood the rare"] * 20, "b": ["the", "rare 漢字 the"] * 3}
+    index = Index(spark, str(tmp_path))
+    index.update(table(spark, texts))
+    holds(index, texts)
+    texts["a"][3] = "rare"
+    assert index.update(table(spark, texts)) == Changes(1, 1)
+    holds(index, texts)
+    texts["a"] = [t + " the" for t in texts["a"]]
+    assert index.update(table(spark, texts)) == Changes(100, 100)
+    holds(index, texts)
+    assert len(plans) == 3 and not any("Generate" in p for p in plans)
+
+
+def test_a_text_that_is_missing(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0, "s", None), ("a", 1, "t", "flood")], "_file string, _row long, _signature string, content string")
+    index = Index(spark, str(tmp_path))
+    assert index.update(rows) == Changes(2, 0)
+    assert sorted(r["length"] or 0 for r in index.docs().collect()) == [0, 1] and [tuple(r) for r in index.terms().collect()] == [("flood", 1)]
